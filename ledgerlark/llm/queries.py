@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlark.llm import mixing, packing, pfor, quality_rules
+from ledgerlark.llm import fingerprints, mixing, packing, pfor, quality_rules, secrets
 from ledgerlark.llm.common import table
 
 #: Tokenizer of the queries; the operators take any path.
@@ -19,10 +19,18 @@ def op2_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "quota")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_pfor_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), END)
 
 
+def op6_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), packing.Pack(end=END))
 
@@ -32,7 +40,15 @@ def op9_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_sainte_lague_mix, op5_pfor_token_files, op7_cost_balanced_packing, op9_repetition_coverage)
+    f.__name__: f
+    for f in (
+        op2_sainte_lague_mix,
+        op3_secret_scan,
+        op5_pfor_token_files,
+        op6_prefix_fingerprints,
+        op7_cost_balanced_packing,
+        op9_repetition_coverage,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
