@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerlark.llm import fingerprints, mixing, packing, pfor, quality_rules, secrets
+from ledgerlark.llm import fingerprints, minhash, mixing, packing, pfor, quality_rules, rulefit, secrets, toxicity
 from ledgerlark.llm.common import table
 
 #: Tokenizer of the queries; the operators take any path.
@@ -15,6 +16,20 @@ TOKENIZER = "word_bpe_49k.json"
 END = 2
 
 
+def _remainder(of: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(of))
+
+
+def _judged(scores: DataFrame, held_out: Column, *more: str) -> DataFrame:
+    return scores.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), *more)
+
+
+def op1_rulefit_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = rulefit.fit(docs, table(spark, sf_dir, "labels"), _remainder(4) != 2)
+    return _judged(rulefit.score_documents(docs, model), _remainder(4) == 2, *rulefit.STATISTICS)
+
+
 def op2_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "quota")
 
@@ -23,6 +38,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_probminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_pfor_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), END)
 
@@ -35,6 +54,12 @@ def op7_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), packing.Pack(end=END))
 
 
+def op8_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), _remainder(3) != 1)
+    return _judged(toxicity.score_documents(docs, model), _remainder(3) == 1, "evidence")
+
+
 def op9_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(table(spark, sf_dir, "documents"))
 
@@ -42,11 +67,14 @@ def op9_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_rulefit_quality,
         op2_sainte_lague_mix,
         op3_secret_scan,
+        op4_probminhash_classes,
         op5_pfor_token_files,
         op6_prefix_fingerprints,
         op7_cost_balanced_packing,
+        op8_toxicity_neighbours,
         op9_repetition_coverage,
     )
 }
