@@ -155,8 +155,8 @@ def _in_order(docs: DataFrame) -> DataFrame:
     full = F.size(F.filter(coarse, lambda t: t < F.col("key"))) * step
     run = full + F.size(F.filter(F.slice(every, full + 1, F.lit(step)), lambda t: t < F.col("key")))
     own = rows.withColumn("run", run.cast("int")).withColumn("guest", F.lit(False))
-    to = spark.createDataFrame([(t, (k + 1) % len(tops)) for k, t in enumerate(tops)], "top long, to int")
-    guests = rows.join(to, F.col("key") == F.col("top")).select("doc_id", "text", "key", F.col("to").alias("run"), F.lit(True).alias("guest"))
+    at = F.create_map(*(F.lit(x) for k, t in enumerate(tops) for x in (t, (k + 1) % len(tops))))
+    guests = rows.where(F.col("key").isin(tops)).select("doc_id", "text", "key", at[F.col("key")].alias("run"), F.lit(True).alias("guest"))
     both = own.unionByName(guests).repartitionById(len(tops), "run")
     return both.sortWithinPartitions("guest", F.col("key").desc(), "text")
 
