@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import fingerprints, minhash, mixing, packing, pfor, quality_rules, rulefit, secrets, toxicity
+from ledgerlark.llm import block_lstm, fingerprints, minhash, mixing, packing, pfor, quality_rules, rulefit, secrets, toxicity
 from ledgerlark.llm.common import table
 
 #: Tokenizer of the queries; the operators take any path.
@@ -64,6 +64,10 @@ def op9_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(table(spark, sf_dir, "documents"))
 
 
+def op10_block_lstm_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_lstm.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_cost_balanced_packing,
         op8_toxicity_neighbours,
         op9_repetition_coverage,
+        op10_block_lstm_text,
     )
 }
 
