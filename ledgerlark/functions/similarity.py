@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlark.functions.strings import host
 
@@ -30,7 +31,7 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return F.when(both == 0, 0.0).otherwise(F.size(F.array_intersect(x, y)) / both)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     pairs = zip(a.fillna(""), b.fillna(""), strict=True)
     return pd.Series([0.0 if not x or not y else 1.0 if x == y else SequenceMatcher(None, x, y).ratio() for x, y in pairs], dtype="float64")

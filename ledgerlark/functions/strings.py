@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Legal forms dropped from company names.
 COMPANY_FORMS = ("private limited", "pvt ltd", "pvt limited", "limited", "ltd", "llp", "inc", "incorporated", "llc", "corp", "corporation", "gmbh", "plc", "co")
@@ -41,7 +42,7 @@ def strip_html(c: Column, limit: int = 4000) -> Column:
     return clean_text(out, limit)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode(), na_action="ignore")
 
