@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.llm import block_lstm, fingerprints, minhash, mixing, packing, pfor, quality_rules, rulefit, secrets, toxicity
-from ledgerlark.llm.common import table
+from ledgerlark.llm.common import WORD, table
 
 #: Tokenizer of the queries; the operators take any path.
 TOKENIZER = "word_bpe_49k.json"
@@ -84,4 +84,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _rules_sql(limits: quality_rules.Limits) -> str:
+    """The repetition rules for DuckDB, with window functions over words and lines."""
+
+    def gram(n: int) -> str:
+        return " || ' ' || ".join(["word"] + [f"lead(word, {k}) OVER w" for k in range(1, n)])
+
+    sizes = sorted(limits.grams)
+    grams = ", ".join(f"{gram(n)} AS g{n}" for n in (3, *sizes))
+    marks = ", ".join(f"g{n} IS NOT NULL AND row_number() OVER (PARTITION BY doc_id, g{n} ORDER BY i) > 1 AS f{n}" for n in sizes)
+    cover = ", ".join(f"max(f{n}::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS c{n}" for n in sizes)
+    chars = ", ".join(f"sum(c{n} * length(word)) AS x{n}" for n in sizes)
+    over = " OR ".join(f"100 * x{n} > {share} * word_chars" for n, share in sorted(limits.grams.items()))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+t AS (SELECT doc_id, regexp_extract_all(text, '{WORD}') AS words FROM d),
+v AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM t),
+g AS (SELECT doc_id, i, word, {grams} FROM v WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+f AS (SELECT doc_id, i, word, g3 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g3) > 1 AS f3, {marks} FROM g),
+c AS (SELECT doc_id, word, max(f3::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS c3, {cover} FROM f),
+s AS (SELECT doc_id, count(*) AS n_words, sum(length(word)) AS word_chars, sum(c3) AS n_repeat_words, {chars} FROM c GROUP BY 1),
+p AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM d),
+q AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS i FROM p),
+r AS (SELECT doc_id, length(regexp_replace(line, '[\\x20\\x09-\\x0D]+', '', 'g')) AS n, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS dup FROM q WHERE regexp_matches(line, '{WORD}')),
+l AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dup) AS n_dup_lines, coalesce(sum(n) FILTER (WHERE dup), 0) AS dup_line_chars FROM r GROUP BY 1),
+a AS (SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+  coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(dup_line_chars, 0)::BIGINT AS dup_line_chars, coalesce(x{sizes[0]}, 0)::BIGINT AS dup_gram_chars, coalesce({over}, false) AS over
+  FROM d LEFT JOIN s USING (doc_id) LEFT JOIN l USING (doc_id)),
+b AS (SELECT *, n_words < {limits.min_words} OR 100 * n_repeat_words > {limits.repeat_words} * n_words AS base_failed FROM a)
+SELECT * EXCLUDE (over), NOT base_failed AND NOT over AND 100 * n_dup_lines <= {limits.lines} * n_lines AND 100 * dup_line_chars <= {limits.line_chars} * word_chars AND 100 * n_symbols <= {limits.symbols} * n_words AS kept FROM b
+"""
+
+
+#: The other operators learn, hash or decode; tests/llm holds them against brute force.
+ORACLE_SQL: dict[str, str] = {"op9_repetition_coverage": _rules_sql(quality_rules.Limits())}
