@@ -54,3 +54,34 @@ def prize_bucket(amount: Column) -> Column:
         .when(amount <= 500_000, "2L_to_5L")
         .otherwise("above_5L")
     )
+
+
+#: Words and signs that tell that a number near them is pay.
+PAY_ANCHOR = r"(?:salary|salaries|ctc|stipend|package|pay|comp|compensation|lpa|per\s+annum|p\.a\.|₹|rs\.?|\$|€|£|inr|usd)"
+_PAY_UNIT = r"(lpa|lakhs?|lacs?|crore|cr|k)?"
+
+
+def inline_pay(c: Column) -> dict[str, Column]:
+    """low and high of pay written in running text, within a few words of a sign or word for pay.
+
+    A unit behind the last number holds for both; amounts below 1000 are durations, not pay.
+    """
+    text = F.lower(F.coalesce(c, F.lit("")))
+    money = r"(?:₹|rs\.?\s*|\$|€|£|inr\s*)?\s*"
+    span = rf"([0-9]+(?:[.,][0-9]+)*)\s*{_PAY_UNIT}\s*(?:-|–|—|\bto\b)\s*{money}([0-9]+(?:[.,][0-9]+)*)\s*{_PAY_UNIT}"
+    before, behind = rf"{PAY_ANCHOR}.{{0,60}}?{span}", rf"{span}.{{0,30}}?{PAY_ANCHOR}"
+
+    def part(k: int) -> Column:
+        a, b = F.regexp_extract(text, before, k), F.regexp_extract(text, behind, k)
+        return F.when(text.rlike(before), a).otherwise(b)
+
+    unit_of = F.when(part(4) != "", part(4)).otherwise(part(2))
+
+    def value(number: Column, unit: Column) -> Column:
+        own = F.when(unit != "", unit).otherwise(unit_of)
+        times = F.when(own.rlike("^(lpa|lakh|lac)"), 1e5).when(own.rlike("^cr"), 1e7).when(own == "k", 1e3).otherwise(1.0)
+        return F.replace(number, F.lit(","), F.lit("")).try_cast("double") * times
+
+    a, b = value(part(1), part(2)), value(part(3), part(4))
+    fine = F.least(a, b) >= 1000
+    return {"low": F.when(fine, F.least(a, b)), "high": F.when(fine, F.greatest(a, b))}

@@ -172,3 +172,23 @@ def ats_slug(url: Column) -> Column:
     for pattern in (r"boards\.greenhouse\.io/([A-Za-z0-9_-]+)", r"jobs\.lever\.co/([A-Za-z0-9_-]+)", r"jobs\.ashbyhq\.com/([A-Za-z0-9_-]+)", r"([A-Za-z0-9-]+)\.recruitee\.com", r"apply\.workable\.com/([A-Za-z0-9_-]+)"):
         out = F.coalesce(out, F.nullif(F.lower(F.regexp_extract(url, pattern, 1)), F.lit("")))
     return out
+
+
+def spreadsheet_rows(xml: Column) -> Column:
+    """Rows of a SpreadsheetML sheet as arrays of cells; ss:Index leaves empty cells before it."""
+    rows = F.regexp_extract_all(xml, F.lit(r"(?is)<Row[^>]*>(.*?)</Row>"), F.lit(1))
+
+    def cells(row: Column) -> Column:
+        found = F.regexp_extract_all(row, F.lit(r"(?is)<Cell[^>]*?(?:/>|>.*?</Cell>)"), F.lit(0))
+
+        def put(done: Column, cell: Column) -> Column:
+            at = F.regexp_extract(cell, r'(?i)ss:Index="(\d+)"', 1).try_cast("int")
+            gap = F.greatest(F.coalesce(at - 1, F.lit(0)) - F.size(done), F.lit(0))
+            text = F.trim(F.regexp_replace(F.regexp_extract(cell, r"(?is)<Data[^>]*>(.*?)</Data>", 1), r"[\r\n]+", " "))
+            for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+                text = F.replace(text, F.lit(name), F.lit(char))
+            return F.concat(done, F.array_repeat(F.lit(""), gap), F.array(text))
+
+        return F.aggregate(found, F.array().cast("array<string>"), put)
+
+    return F.filter(F.transform(rows, cells), lambda r: F.exists(r, lambda c: c != ""))
