@@ -27,13 +27,14 @@ def present(c: Column) -> Column:
     return ~blank(c)
 
 
-def clean_text(c: Column, limit: int = 4000) -> Column:
-    """One line without control characters, cut to the limit; NULL is empty."""
+def clean_text(c: Column, limit: int | None = 4000) -> Column:
+    """One line without control characters, cut to the limit if there is one; NULL is empty."""
     spaced = F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")
-    return F.left(F.trim(F.regexp_replace(spaced, r"\p{C}", "")), F.lit(limit))
+    line = F.trim(F.regexp_replace(spaced, r"\p{C}", ""))
+    return line if limit is None else F.left(line, F.lit(limit))
 
 
-def strip_html(c: Column, limit: int = 4000) -> Column:
+def strip_html(c: Column, limit: int | None = 4000) -> Column:
     """Text of a snippet: without scripts, styles and tags, six entities decoded."""
     out = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
     out = F.regexp_replace(out, r"<[^>]+>", " ")
@@ -59,7 +60,7 @@ def ascii_key(c: Column) -> Column:
 
 def name_key(c: Column) -> Column:
     """ascii_key() after folding accents."""
-    return ascii_key(fold(clean_text(c)))
+    return ascii_key(fold(clean_text(c, None)))
 
 
 def slug(c: Column, limit: int = 120) -> Column:

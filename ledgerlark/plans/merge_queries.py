@@ -10,15 +10,15 @@ from ledgerlark.plans.registry import query
 from ledgerlark.streaming import flows
 from ledgerlark.tables import table
 
-_OLD = "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 5 = 1 THEN ' ' ELSE o_orderpriority END AS priority, CASE WHEN o_orderkey % 4 <> 0 THEN o_totalprice END AS price, o_custkey AS stamp FROM orders WHERE o_orderkey % 3 <> 0"
-_NEW = "SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN 'N' || o_orderstatus END AS priority, CASE WHEN o_orderkey % 6 <> 0 THEN o_totalprice * 2 END AS price, o_custkey + o_orderkey % 2 * 2 - 1 AS stamp FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 9 = 0"
+_OLD = "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 5 = 1 THEN ' ' ELSE o_orderpriority END AS priority, CASE WHEN o_orderkey % 4 <> 0 THEN o_totalprice END AS price, o_custkey AS stamp FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01'"
+_NEW = "SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN 'N' || o_orderstatus END AS priority, CASE WHEN o_orderkey % 6 <> 0 THEN o_totalprice * 2 END AS price, o_custkey + o_orderkey % 2 * 2 - 1 AS stamp FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01'"
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     o = table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
-    old = o.where(key % 3 != 0).select("o_orderkey", F.when(key % 5 == 0, None).when(key % 5 == 1, " ").otherwise(F.col("o_orderpriority")).alias("priority"), F.when(key % 4 != 0, F.col("o_totalprice")).alias("price"), F.col("o_custkey").alias("stamp"))
-    new = o.where((key % 2 == 0) | (key % 9 == 0)).select("o_orderkey", F.when(key % 7 != 0, F.concat(F.lit("N"), "o_orderstatus")).alias("priority"), F.when(key % 6 != 0, F.col("o_totalprice") * 2).alias("price"), (F.col("o_custkey") + key % 2 * 2 - 1).alias("stamp"))
+    old = o.where("o_orderdate < timestamp_ntz '1999-01-01'").select("o_orderkey", F.when(key % 5 == 0, None).when(key % 5 == 1, " ").otherwise(F.col("o_orderpriority")).alias("priority"), F.when(key % 4 != 0, F.col("o_totalprice")).alias("price"), F.col("o_custkey").alias("stamp"))
+    new = o.where("o_orderdate >= timestamp_ntz '1998-01-01'").select("o_orderkey", F.when(key % 7 != 0, F.concat(F.lit("N"), "o_orderstatus")).alias("priority"), F.when(key % 6 != 0, F.col("o_totalprice") * 2).alias("price"), (F.col("o_custkey") + key % 2 * 2 - 1).alias("stamp"))
     return old, new
 
 
@@ -62,11 +62,11 @@ def upsert_confident(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT event_id, CASE WHEN user_id % 10 = 0 THEN 'already_claimed' WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1 THEN 'claimed' ELSE 'already_claimed' END AS outcome FROM events WHERE event_type = 'click'
+SELECT event_id, CASE WHEN user_id IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 200) THEN 'already_claimed' WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1 THEN 'claimed' ELSE 'already_claimed' END AS outcome FROM events WHERE event_type = 'click'
 """)
 def claim_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    taken = events.where("user_id % 10 = 0").select("user_id")
+    taken = events.where("event_type = 'signup' AND value > 200").select("user_id")
     return merging.claim_first(events.where("event_type = 'click'").select("user_id", "ts", "event_id"), "user_id", "event_id", "ts", taken).select("event_id", "outcome")
 
 
@@ -85,12 +85,13 @@ def stage_transition_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH k AS (SELECT o_orderkey AS duplicate, o_orderkey - 1 AS kept FROM orders WHERE o_orderkey % 10 = 1)
+WITH k AS (SELECT * FROM (SELECT o_orderkey AS duplicate, min(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority) AS kept FROM orders) WHERE duplicate <> kept)
 SELECT coalesce(kept, l_orderkey) AS l_orderkey, count(*) AS n FROM lineitem LEFT JOIN k ON duplicate = l_orderkey GROUP BY 1
 """)
 def duplicate_merge_reparent(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
-    links = orders.where("o_orderkey % 10 = 1").select(F.col("o_orderkey").alias("duplicate"), (F.col("o_orderkey") - 1).alias("kept"))
+    first = orders.groupBy("o_custkey", "o_orderpriority").agg(F.min("o_orderkey").alias("kept"))
+    links = orders.join(first, ["o_custkey", "o_orderpriority"]).where("o_orderkey <> kept").select(F.col("o_orderkey").alias("duplicate"), "kept")
     rest, moved = merging.merge_duplicates(orders, links, "o_orderkey", {"lineitem": (table(spark, sf_dir, "lineitem"), "l_orderkey")})
     return moved["lineitem"].groupBy("l_orderkey").agg(F.count("*").alias("n"))
 
@@ -128,8 +129,8 @@ def reclaim_stalled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.reclaimed(jobs, "state", "ts", F.to_timestamp_ntz(F.lit("2024-01-20 00:00:00"))).select("event_id", "state")
 
 
-@query("SELECT event_id, array_to_string(list_sort([event_type || '=new', 'base=' || CASE WHEN event_type = 'base' THEN 'new' ELSE 'old' END]), ',') AS merged FROM events WHERE event_id < 500")
+@query("SELECT event_id, array_to_string(list_sort([event_type || '=new', 'base=' || CASE WHEN event_type = 'base' THEN 'new' ELSE 'old' END]), ',') AS merged FROM events")
 def map_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = F.create_map(F.lit("base"), F.lit("old"), F.col("event_type"), F.lit("old")), F.create_map(F.col("event_type"), F.lit("new"))
     merged = F.transform(F.map_entries(merging.right_wins(old, new)), lambda e: F.concat_ws("=", e["key"], e["value"]))
-    return table(spark, sf_dir, "events").where("event_id < 500").select("event_id", F.array_join(F.array_sort(merged), ",").alias("merged"))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(F.array_sort(merged), ",").alias("merged"))

@@ -106,12 +106,12 @@ def reenrichment_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH l AS (SELECT user_id, max(ts) AS seen FROM events WHERE ts < TIMESTAMP '2024-01-10' AND user_id % 2 = 0 GROUP BY 1), n AS (SELECT event_id, user_id, min(event_id) OVER (PARTITION BY user_id) AS f FROM events WHERE ts >= TIMESTAMP '2024-01-20')
+WITH l AS (SELECT user_id, max(ts) AS seen FROM events WHERE ts < TIMESTAMP '2024-01-10' AND event_type = 'view' GROUP BY 1), n AS (SELECT event_id, user_id, min(event_id) OVER (PARTITION BY user_id) AS f FROM events WHERE ts >= TIMESTAMP '2024-01-20')
 SELECT event_id, CASE WHEN event_id > f THEN 'repeated' WHEN seen IS NULL THEN 'inserted' WHEN seen > TIMESTAMP '2024-01-30' - INTERVAL 21 DAY THEN 'refreshed' ELSE 'reset' END AS outcome FROM n LEFT JOIN l USING (user_id)
 """)
 def dedup_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    known = e.where("ts < timestamp_ntz '2024-01-10' AND user_id % 2 = 0").select("user_id", "ts")
+    known = e.where("ts < timestamp_ntz '2024-01-10' AND event_type = 'view'").select("user_id", "ts")
     new = e.where("ts >= timestamp_ntz '2024-01-20'").select(F.col("event_id").alias("row"), "user_id")
     got = outreach.window_dedup(known, new, "user_id", "ts", F.to_timestamp_ntz(F.lit("2024-01-30 00:00:00")), 21)
     return got.select(F.col("row").alias("event_id"), "outcome")

@@ -113,11 +113,11 @@ def import_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imports.tally(imports.resolve(rows, spark.createDataFrame(_LEADS, "lead_id string, company string, title string, url string, seen int")))
 
 
-@query("SELECT c_custkey, c_custkey % 7 = 0 OR c_custkey % 11 = 3 AS suppressed FROM customer")
+@query("SELECT c_custkey, c_acctbal < 0 OR c_mktsegment = 'BUILDING' AS suppressed FROM customer")
 def import_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit(" C"), "c_custkey", F.lit("@X.com ")).alias("email"), F.concat(F.lit("0"), (F.col("c_custkey") + 9_000_000_000).cast("string")).alias("mobile"))
-    mails = c.where("c_custkey % 7 = 0").select(F.concat(F.lit("c"), "c_custkey", F.lit("@x.com")).alias("contact"))
-    phones = c.where("c_custkey % 11 = 3").select(F.concat(F.lit("+91"), (F.col("c_custkey") + 9_000_000_000).cast("string")).alias("contact"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment", F.concat(F.lit(" C"), "c_custkey", F.lit("@X.com ")).alias("email"), F.concat(F.lit("0"), (F.col("c_custkey") + 9_000_000_000).cast("string")).alias("mobile"))
+    mails = c.where("c_acctbal < 0").select(F.concat(F.lit("c"), "c_custkey", F.lit("@x.com")).alias("contact"))
+    phones = c.where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("+91"), (F.col("c_custkey") + 9_000_000_000).cast("string")).alias("contact"))
     return imports.suppressed(c, "c_custkey", "email", "mobile", mails.union(phones), "contact").select("c_custkey", "suppressed")
 
 
@@ -156,10 +156,10 @@ def saved_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT source, doc_id, CAST(rank AS INT) AS rank FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC, left(text, 40)) AS rank FROM documents
-WHERE regexp_matches(lower(left(text, 40)), 'the|and') AND doc_id >= 910) WHERE rank <= 5
+SELECT source, doc_id, CAST(rank AS INT) AS rank FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC, text) AS rank FROM documents
+WHERE regexp_matches(lower(text), 'thth|ández|ausch')) WHERE rank <= 5
 """)
 def hiring_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "documents").select("source", "doc_id", F.left("text", F.lit(40)).alias("title"), F.timestamp_seconds(F.col("doc_id") * 86_400).alias("published"))
-    got = reports.hiring_signals(items, "source", "title", "published", ["the", "and"], F.timestamp_seconds(F.lit(1000 * 86_400)))
+    items = table(spark, sf_dir, "documents").select("source", "doc_id", F.col("text").alias("title"), F.timestamp_seconds(F.col("doc_id") * 86_400).alias("published"))
+    got = reports.hiring_signals(items, "source", "title", "published", ["thth", "ández", "ausch"], F.timestamp_seconds(F.lit(0)))
     return got.select("source", "doc_id", "rank")

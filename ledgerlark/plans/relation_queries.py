@@ -62,10 +62,9 @@ def exists_in_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT l_orderkey, l_linenumber, c_name, p_name, s_name, cn.n_name AS customer_nation, sn.n_name AS supplier_nation
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = l_partkey
 JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN nation cn ON cn.n_nationkey = c_nationkey LEFT JOIN nation sn ON sn.n_nationkey = s_nationkey
-WHERE l_shipdate >= TIMESTAMP '2001-09-01' AND l_returnflag = 'N'
 """)
 def star_join_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").where("l_shipdate >= timestamp_ntz '2001-09-01' AND l_returnflag = 'N'")
+    items = table(spark, sf_dir, "lineitem")
     nation = table(spark, sf_dir, "nation")
     got = items.join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
     got = got.join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey")).join(table(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
@@ -173,12 +172,12 @@ def search_ranked_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT kind, id, turn, event_type FROM (SELECT 'message' AS kind, conv_id AS id, turn, CAST(NULL AS VARCHAR) AS event_type FROM conversations WHERE conv_id < 50
-UNION ALL SELECT 'event', event_id, NULL, event_type FROM events WHERE event_id < 50)
+SELECT kind, id, turn, event_type FROM (SELECT 'message' AS kind, conv_id AS id, turn, CAST(NULL AS VARCHAR) AS event_type FROM conversations
+UNION ALL SELECT 'event', event_id, NULL, event_type FROM events)
 """)
 def timeline_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = table(spark, sf_dir, "conversations").where("conv_id < 50").select(F.lit("message").alias("kind"), F.col("conv_id").alias("id"), "turn")
-    done = table(spark, sf_dir, "events").where("event_id < 50").select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), "event_type")
+    said = table(spark, sf_dir, "conversations").select(F.lit("message").alias("kind"), F.col("conv_id").alias("id"), "turn")
+    done = table(spark, sf_dir, "events").select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), "event_type")
     return K.timeline(said, done, by=[F.desc("id"), F.asc_nulls_last("turn"), F.col("kind")])
 
 

@@ -13,9 +13,9 @@ from ledgerlark.sources import markup, tabular
 from ledgerlark.tables import table
 
 
-@query("SELECT doc_id, sha256(lower(regexp_replace(source, '[^a-zA-Z0-9]', '', 'g')) || '|' || lower(regexp_replace(left(text, 60), '[^a-zA-Z0-9]', '', 'g')) || '|') AS fingerprint FROM documents")
+@query("SELECT doc_id, sha256(lower(regexp_replace(source, '[^a-zA-Z0-9]', '', 'g')) || '|' || lower(regexp_replace(text, '[^a-zA-Z0-9]', '', 'g')) || '|') AS fingerprint FROM documents")
 def fingerprint_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", S.fingerprint(F.col("source"), F.left("text", F.lit(60)), F.lit("")).alias("fingerprint"))
+    return table(spark, sf_dir, "documents").select("doc_id", S.fingerprint(F.col("source"), F.col("text"), F.lit("")).alias("fingerprint"))
 
 
 @query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY sha256(text) HAVING count(*) > 1")
@@ -50,15 +50,15 @@ def host_and_domain_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g') AS t FROM pages),
 b AS (SELECT page_id, regexp_replace(t, '<[^>]+>', ' ', 'g') AS t FROM a),
 c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&#39;', ''''), '&quot;', '"') AS t FROM b)
-SELECT page_id, md5(left(trim(regexp_replace(t, '\s+', ' ', 'g')), 4000)) AS text_md5 FROM c
+SELECT page_id, md5(trim(regexp_replace(t, '\s+', ' ', 'g'))) AS text_md5 FROM c
 """)
 def strip_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(S.strip_html(F.col("html"))).alias("text_md5"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(S.strip_html(F.col("html"), None)).alias("text_md5"))
 
 
-@query(r"SELECT doc_id, md5(left(trim(regexp_replace(text, '\s+', ' ', 'g')), 4000)) AS text_md5 FROM documents")
+@query(r"SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS text_md5 FROM documents")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(S.clean_text(F.col("text"))).alias("text_md5"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(S.clean_text(F.col("text"), None)).alias("text_md5"))
 
 
 _MONEY = {"₹5 Lakh": 500000.0, "INR 1,00,000": 100000.0, "1.5 crore": 15000000.0, "$10,000": 10000.0, "no prize mentioned": None, "50k": 50000.0, "2 million": 2000000.0, "0": None, "3,500": 3500.0}
@@ -222,4 +222,4 @@ def list_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def name_key_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", S.name_key(F.left("text", F.lit(80))).alias("key"), S.slug(F.left("text", F.lit(80))).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", S.name_key(F.col("text")).alias("key"), S.slug(F.col("source")).alias("slug"))
