@@ -38,8 +38,8 @@ def page_rows(df: DataFrame, order: Sequence[Column], number: int, size: int) ->
 def capped(df: DataFrame, order: Sequence[Column], most: int) -> DataFrame:
     """At most `most` rows with truncated: whether there are more."""
     first = df.orderBy(*order).limit(most + 1)
-    n = first.agg(F.count("*").alias("_n"))
-    return first.crossJoin(F.broadcast(n)).withColumn("truncated", F.col("_n") > most).drop("_n").orderBy(*order).limit(most)
+    more = first.agg(F.count("*").alias("n")).scalar() > most
+    return first.withColumn("truncated", more).orderBy(*order).limit(most)
 
 
 def best_per(df: DataFrame, key: str | Sequence[str], order: Sequence[Column], n: int = 1, rank: str | None = None) -> DataFrame:

@@ -179,4 +179,4 @@ FROM (SELECT median(o_totalprice) AS m FROM orders), (SELECT max(n) AS n, sum(n)
 def median_and_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     share = orders.groupBy("o_orderpriority").agg(F.count("*").alias("n")).agg(F.round(F.max("n") / F.sum("n"), 4).alias("mode_share"))
-    return orders.agg(F.median("o_totalprice").alias("median_price")).crossJoin(F.broadcast(share))
+    return orders.agg(F.median("o_totalprice").alias("median_price")).withColumn("mode_share", share.scalar())
