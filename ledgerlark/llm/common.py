@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,6 +18,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 _own_base: dict[str, str] = {}
 _staged: dict[str, list[str]] = {}
+_cleaned: set[str] = set()
+
+
+_own_thread = threading.local()
+
+
+def _scopes() -> list[list[str]]:
+    """For this thread, the lists of paths that staged_from() will remove."""
+    if not hasattr(_own_thread, "scopes"):
+        _own_thread.scopes = []
+    return _own_thread.scopes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,10 +50,12 @@ def new_path(spark: SparkSession, tag: str) -> str:
     """A fresh path in the shared folder; it goes when the driver ends."""
     path = f"{shared_dir(spark)}/ledgerlark/{tag}-{uuid.uuid4().hex}"
     app = spark.sparkContext.applicationId
-    if app not in _staged:
-        _staged[app] = []
+    if app not in _cleaned:
+        _cleaned.add(app)
         atexit.register(_clean, spark, app)
-    _staged[app].append(path)
+    _staged.setdefault(app, []).append(path)
+    if _scopes():
+        _scopes()[-1].append(path)
     return path
 
 
@@ -67,6 +81,20 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_from(build: Callable[[], DataFrame], spark: SparkSession, tag: str) -> DataFrame:
+    """staged() of what build returns; what build staged on the way goes as soon as the result is written."""
+    _scopes().append([])
+    try:
+        df = build()
+    finally:
+        made = _scopes().pop()
+    out = staged(df, tag)
+    for path in made:
+        delete(spark, path)
+        _staged[spark.sparkContext.applicationId].remove(path)
+    return out
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
