@@ -16,6 +16,10 @@ from pyspark.sql import types as T
 #: White space of the word contract: U+0020 and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of an Arrow batch: what a Python worker and its JVM side hold of the input at once, but for one long row.
+BATCH_BYTES = 16 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _own_base: dict[str, str] = {}
 _staged: dict[str, list[str]] = {}
 _cleaned: set[str] = set()
@@ -104,4 +108,8 @@ def map_arrow(
     fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     schema: T.StructType | str,
 ) -> DataFrame:
+    """mapInArrow() with batches of at most BATCH_BYTES, unless the session has a limit of its own."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, None) in (None, "67108864b", "67108864", "64m"):  # Spark's default
+        conf.set(_BATCH, str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)

@@ -17,8 +17,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words kept by one Python worker.
-CACHE_WORDS = 400_000
+#: Words kept by one Python worker, about 80 MB.
+CACHE_WORDS = 360_000
+#: Parts of words kept by one Python worker.
+CACHE_PARTS = 150_000
 
 _SPLIT = re.compile("[ \t-\r]+")
 #: Python's split() takes these as white space, the tokenizer doesn't.
@@ -117,7 +119,7 @@ class Encoder:
     def _learn(self, words: list[str]) -> None:
         odd = [w for w in words if not _PLAIN.fullmatch(w) or "<|" in w]
         whole = dict(zip(odd, self._whole(odd), strict=True))
-        if len(self.parts) > CACHE_WORDS:
+        if len(self.parts) > CACHE_PARTS:
             self.parts = {}
         get, part, runs = self.parts.get, self._part, []
         for w in words:
