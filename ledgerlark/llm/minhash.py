@@ -8,9 +8,10 @@ Jaccard similarity, which is the Jaccard similarity where all weights are equal.
 
 Texts with equal shingles and weights collapse to one node first. Nodes that share a band are
 candidates; a pair is a link if its shingle sets have a Jaccard similarity of `similarity` or more.
-Candidates of a bucket are tried against one member, then, round by round, a few drawn members of different
-components against each other, until a round has no untried pair or finds no link. Buckets stay rows of a join, so a
-hot bucket is split like any skewed key, and no pair of a bucket is made but those tried.
+Candidates of a bucket are tried against one member. All pairs of a bucket that are then in different components are
+compared too: as pairs in buckets of at most FEW members, and block by block in larger ones, where a task counts the common
+shingles of two blocks as a matrix product and returns only the links. So no bucket becomes rows for all its pairs, the
+blocks of a hot bucket go to many tasks, and every candidate pair is either linked, connected or found apart.
 
 Texts without words are copies of each other. Nulls count as empty texts. Rows that repeat a doc_id are rows of
 their own; a null doc_id has the class of its text. The class id is the least doc_id of the class, null only where
@@ -34,6 +35,10 @@ from ledgerlark.llm.common import map_arrow, staged, staged_from
 
 #: Bits of the bitmap that keeps texts which are no candidates out of a shuffle.
 FILTER_BITS = 1 << 25
+#: Members of a bucket up to which its pairs are rows of a join.
+FEW = 8
+#: Members and shingles of a block of a larger bucket, about; columns and rows of a matrix of it.
+BLOCK, BLOCK_SHINGLES, WIDE, TALL = 1024, 1 << 19, 1024, 512
 
 
 @dataclass(frozen=True)
@@ -42,8 +47,6 @@ class Near:
     similarity: float = 0.8
     bands: int = 24
     rows: int = 4
-    rounds: int = 6
-    draws: int = 1
 
 
 def shingles(c: S.Chunk, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,19 +158,86 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(ends)
 
 
-def _pairs(multi: DataFrame, turn: int, draws: int) -> DataFrame:
-    """Pairs of a round: in each bucket and each draw, a member of each component against those of two components."""
-
-    def drawn(k: int) -> Column:
-        return F.min(F.struct(F.xxhash64("node", "key", F.lit(turn * draws + k)).alias("o"), "node", "n", "component")).alias(f"x{k}")
-
-    one = multi.groupBy("key", "component").agg(*(drawn(k) for k in range(draws)))
-    ends = one.groupBy(F.col("key").alias("of")).agg(*(f(f"x{k}").alias(f"{n}{k}") for k in range(draws) for n, f in (("a", F.min), ("b", F.max)))).where("a0.node <> b0.node")
-    sides = F.array(*(F.struct(F.col(f"x{k}").alias("x"), F.col(f"{n}{k}").alias("y")) for k in range(draws) for n in "ab"))
-    met = one.join(ends, F.col("key") == F.col("of")).select(F.explode(sides).alias("p")).select("p.x", "p.y")
-    return met.where("x.component <> y.component").select(
-        F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v"), F.col("x.n").alias("p"), F.col("y.n").alias("q")
-    )
+def _met(key: np.ndarray, at: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Some of xs, ys and how many of the numbers key[at[k]:at[k + 1]] each two of them have in common."""
+
+    def laid(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = at[own + 1] - at[own]
+        first = np.repeat(at[own] - np.append(0, np.cumsum(size)[:-1]), size)
+        return np.repeat(np.arange(len(own)), size), key[first + np.arange(len(first))]
+
+    def matrix(row: np.ndarray, column: np.ndarray, n: int, low: int) -> np.ndarray:
+        own = (column >= low) & (column < low + WIDE)
+        out = np.zeros((n, WIDE), dtype=np.float32)
+        out[row[own], column[own] - low] = 1
+        return out
+
+    y_row, y_key = laid(ys)
+    for k in range(0, len(xs), TALL):
+        some = xs[k : k + TALL]
+        x_row, x_key = laid(some)
+        both = np.intersect1d(x_key, y_key)
+        (xr, xc), (yr, yc) = ((r[m], np.searchsorted(both, v[m])) for r, v in ((x_row, x_key), (y_row, y_key)) for m in [np.isin(v, both)])
+        common = np.zeros((len(some), len(ys)), dtype=np.float32)
+        for low in range(0, len(both), WIDE):
+            common += matrix(xr, xc, len(some), low) @ matrix(yr, yc, len(ys), low).T
+        yield some, ys, common
+
+
+def links_of_blocks(node: np.ndarray, component: np.ndarray, second: np.ndarray, key: np.ndarray, at: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links between members of two blocks (second: whether in the second one) in different components; without a second block, within the first."""
+    names, place = np.unique(component, return_inverse=True)
+    most = place == np.bincount(place).argmax()  # no pair within the largest component
+    if second.any():
+        sides = [(~second & ~most, second), (~second & most, second & ~most)]
+    else:
+        sides = [(~most, np.ones(len(node), dtype=bool))]
+    size = at[1:] - at[:-1]
+    out = []
+    for x, y in sides:
+        for xs, ys, common in _met(key, at, np.flatnonzero(x), np.flatnonzero(y)) if x.any() and y.any() else ():
+            total = size[xs][:, None] + size[ys][None, :]
+            i, j = np.nonzero((common >= similarity * (total - common)) & (place[xs][:, None] != place[ys][None, :]))
+            out.append((node[xs[i]], node[ys[j]]))
+    u, v = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in (zip(*out, strict=True) if out else ((), ())))
+    both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
+    return both[0], both[1]
+
+
+def _apart(multi: DataFrame, label: DataFrame) -> DataFrame:
+    """Members of the buckets that still have several components, with their component and their bucket's size."""
+    named = multi.join(label.select(F.col("node").alias("ln"), "component"), F.col("node") == F.col("ln"), "left")
+    named = named.select("key", "node", "n", "lead", F.coalesce("component", "node").alias("component"))
+    sizes = named.groupBy(F.col("key").alias("of")).agg(F.count("*").alias("members"), F.sum("n").alias("total"), F.min("component").alias("c"), F.max("component").alias("d"))
+    return named.join(sizes.where("c <> d and members > 2").drop("c", "d"), F.col("key") == F.col("of")).drop("of")
+
+
+def _few(apart: DataFrame) -> DataFrame:
+    """Untried pairs between components of small buckets: all that are not with the lead."""
+    few = apart.where((F.col("members") <= FEW) & (F.col("node") != F.col("lead")))
+    a, b = (few.select(F.col("key").alias(f"{x}k"), F.col("node").alias(x), F.col("n").alias(m), F.col("component").alias(f"{x}c")) for x, m in (("u", "p"), ("v", "q")))
+    return a.join(b, F.col("uk") == F.col("vk")).where("u < v and uc <> vc").select("u", "v", "p", "q")
+
+
+def _between_blocks(apart: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
+    """Links between components of larger buckets; each two blocks of a bucket are a group."""
+    n = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
+    many = apart.where(F.col("members") > FEW).withColumn("blocks", n).withColumn("block", F.pmod(F.xxhash64("node"), n).cast("int"))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    many = many.select("key", "node", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("second"))
+    whole = sets.select(F.col("node").alias("of"), "shingles")
+    rows = many.join(whole, F.col("node") == F.col("of")).drop("of")
+    similarity = near.similarity
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        lists = pa.concat_arrays(t["shingles"].chunks)
+        at = lists.offsets.to_numpy().astype(np.int64)
+        node, component = (t[c].to_numpy() for c in ("node", "component"))
+        u, v = links_of_blocks(node, component, t["second"].to_numpy(), lists.values.to_numpy(), at, similarity)
+        return pa.table({"u": u, "v": v})
+
+    return rows.groupBy("key", "i", "j").applyInArrow(run, "u long, v long")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
@@ -223,21 +293,12 @@ def _labelled(docs: DataFrame, near: Near) -> DataFrame:
     pairs = lead.select(F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v"), F.col("n").alias("p"), F.col("q0").alias("q"))
     tried = staged(pairs.where(_size_fits(near)).select("u", "v").distinct(), "tried")
     edges = staged(_linked(tried, sets, near), "links")
-    label = components(edges)
-    for turn in range(near.rounds):
-        label = staged(label, "labels")
-        named = multi.join(label.select(F.col("node").alias("ln"), "component"), F.col("node") == F.col("ln"), "left")
-        named = named.select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-        new = _pairs(named, turn, near.draws).where(_size_fits(near)).select("u", "v").distinct().join(tried, ["u", "v"], "left_anti")
-        new = staged(new, "tried")
-        if new.isEmpty():
-            break
-        tried = tried.union(new)
-        more = staged(_linked(new, sets, near), "links")
-        if more.isEmpty():
-            break
-        edges = edges.union(more)
-        label = components(edges)
+    label = staged(components(edges), "labels")
+    apart = staged(_apart(multi, label), "apart")
+    few = staged(_few(apart).where(_size_fits(near)).select("u", "v").distinct(), "tried")
+    more = staged(_linked(few, sets, near).union(_between_blocks(apart, sets, near)), "links")
+    if not more.isEmpty():
+        label = components(edges.union(more))
     own = nodes.join(label.select(F.col("node").alias("ln"), "component"), F.col("node") == F.col("ln"), "left")
     own = own.select(F.col("d1").alias("w1"), F.col("d2").alias("w2"), F.coalesce("component", "node").alias("component"))
     return rows.select("doc_id", "d1", "d2").join(own, (F.col("d1") == F.col("w1")) & (F.col("d2") == F.col("w2"))).drop("w1", "w2")

@@ -165,6 +165,32 @@ def test_classes_against_all_pairs(spark, odd, docs, near):
     assert collections.Counter(map(tuple, minhash.classes(df).collect())) == want
 
 
+def test_large_group_against_all_pairs(spark):
+    """Members on both sides of the threshold, most of them linked to few others."""
+    texts = near_copies(30, 150, 3) + near_copies(30, 150, 4) + near_copies(30, 300, 5)
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = collections.Counter(frozenset(g) for g in classes_by_hand(rows))
+    got = collections.defaultdict(set)
+    for r in minhash.classes(df).collect():
+        got[r.class_id].add(r.doc_id)
+    assert collections.Counter(map(frozenset, got.values())) == want
+
+
+def test_links_of_blocks_against_sets(monkeypatch):
+    monkeypatch.setattr(minhash, "WIDE", 16)
+    monkeypatch.setattr(minhash, "TALL", 4)
+    r = random.Random(3)
+    sets = [set(r.sample(range(20), r.randint(6, 20))) | {100 + k} for k in range(40)]
+    node, component = np.arange(40) * 7, np.array([k % 5 if k % 3 else 0 for k in range(40)])
+    at = np.cumsum([0, *map(len, sets)])
+    key = np.array([x for s in sets for x in sorted(s)], dtype=np.int32)
+    for second in (np.zeros(40, dtype=bool), np.arange(40) % 2 == 1):
+        want = {(7 * i, 7 * j) for i in range(40) for j in range(i + 1, 40) if component[i] != component[j] and (second[i] != second[j] or not second.any()) and len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j])}
+        got = list(zip(*(x.tolist() for x in minhash.links_of_blocks(node, component, second, key, at, 0.6)), strict=True))
+        assert want and sorted(want) == got
+
+
 def test_one_of_each_class_stays(odd):
     got = minhash.keep_first(odd)
     assert got.columns == odd.columns
