@@ -1,8 +1,9 @@
 """Secret scans through nested encodings.
 
 A worklist starts with the text itself. Each layer is scanned for the three kinds and then decoded:
-percent escapes and Unicode escapes in place, so what stands around them stays, and every base64 run
-to a layer of its own, inflated where it is compressed. New layers join the worklist until none is left.
+percent escapes and Unicode escapes in place, so what stands around them stays, and every base64 run, joined over
+line breaks, to layers of its own at each of the four alignments, inflated from wherever a compressed stream starts. Bytes that
+are no text stand in a layer as U+FFFD, and a layer with zero bytes is also taken without them (UTF-16). New layers join the worklist until none is left.
 A layer equal to one of the layers it came from, or to one already decoded from the same place, is not
 taken again, so cycles end. Every character of a layer knows the span of the text it came from, and a
 match in a layer counts for that span.
@@ -16,7 +17,6 @@ hold more.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -43,8 +43,12 @@ KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 _ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\x[0-9A-Fa-f]{2})+")
 #: The shortest secret is 16 characters, which are 22 of base64.
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{22,}={0,2}")
-_CONTROL = re.compile("[\x00-\x08\x0e-\x1f\x7f�]")
+_LEAST, _LEAST_BASE64 = 16, 22
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]+(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)*")
+_PRINTABLE = re.compile(rb"[\t\n\r\x20-\x7e]{%d,}" % _LEAST)
+_PACKED = re.compile(rb"(?=\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00)")
+_NO_BASE64 = re.compile(r"[ \t\r\n]+")
+_LONE = re.compile("[\ud800-\udfff]")
 
 Span = tuple[int, int, int]
 
@@ -128,8 +132,8 @@ def _unescaped(layer: Layer) -> Layer | None:
     return Layer("".join(parts), layer.start[end - np.concatenate(took)], layer.end[end - 1], layer.above)
 
 
-def _inflate(raw: bytes, limit: int) -> tuple[bytes, bool] | None:
-    """What a compressed stream holds and whether it holds more than the limit; None if it is no such stream."""
+def _inflate(raw: bytes, limit: int) -> tuple[bytes, bool, int] | None:
+    """What a compressed stream holds, whether it holds more than the limit, and the bytes it takes; None if it is no such stream."""
     if raw[:3] == b"\x1f\x8b\x08" or len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0:
         stream = zlib.decompressobj(47)
         args = (raw, limit + 1)
@@ -143,48 +147,64 @@ def _inflate(raw: bytes, limit: int) -> tuple[bytes, bool] | None:
         out = stream.decompress(*args)
     except (zlib.error, OSError, lzma.LZMAError, EOFError):
         return None
-    return out[:limit], len(out) > limit
+    return out[:limit], len(out) > limit, len(raw) - len(stream.unused_data)
 
 
-def _text_of(raw: bytes) -> str | None:
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return None if _CONTROL.search(text) else text
+def _runs(text: str) -> Iterator[tuple[str, np.ndarray]]:
+    """Base64 runs of a text, joined over line breaks, and where each of their characters stands."""
+    for m in _BASE64.finditer(text):
+        if m.end() - m.start() < _LEAST_BASE64:
+            continue
+        run, at = m[0], np.arange(m.start(), m.end())
+        if "\n" in run:
+            at = at[np.isin(np.frombuffer(run.encode(), dtype=np.uint8), list(b" \t\r\n"), invert=True)]
+            run = _NO_BASE64.sub("", run)
+        if len(run) >= _LEAST_BASE64:
+            yield run.replace("-", "+").replace("_", "/"), at
+
+
+def _texts(raw: bytes) -> Iterator[tuple[str, np.ndarray]]:
+    """The text of some bytes, with and without zero bytes, and the size of each of its characters and what precedes it there."""
+    if not _PRINTABLE.search(raw if b"\0" not in raw else raw.replace(b"\0", b"")):
+        return
+    text = raw.decode("utf-8", "surrogateescape")
+    size = np.ones(len(text), dtype=np.int64) if len(text) == len(raw) else np.array([1 if "\udc80" <= c <= "\udcff" else len(c.encode()) for c in text], dtype=np.int64)
+    text, end = _LONE.sub("\ufffd", text), np.cumsum(size)
+    yield text, np.stack([end - size, end])
+    if "\0" in text:
+        held = np.array([c != "\0" for c in text], dtype=bool)
+        yield text.replace("\0", ""), np.stack([end - size, end])[:, held]
 
 
 def _unpacked(layer: Layer, limits: Limits) -> Iterator[tuple[Layer, bool]]:
-    for m in _BASE64.finditer(layer.text):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 == 1:
-            run = run[:-1]
-        try:
+    for whole, at in _runs(layer.text):
+        for skip in range(4):
+            run, place = whole[skip:], at[skip:]
+            run = run[:-1] if len(run) % 4 == 1 else run
             raw = base64.b64decode(run + "=" * (-len(run) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        cut, packed = False, False
-        while (inner := _inflate(raw, limits.max_layer)) is not None and inner[0] != raw:
-            raw, packed, cut = inner[0], True, cut or inner[1]
-        text = _text_of(raw) if not cut else raw.decode("utf-8", "replace")
-        if not text:
-            continue
-        if packed:
-            a = np.full(len(text), m.start(), dtype=np.int64)
-            b = np.full(len(text), m.end() - 1, dtype=np.int64)
-        else:
-            size = np.array([len(c.encode()) for c in text], dtype=np.int64)
-            last = np.cumsum(size)
-            a = m.start() + (last - size) * 8 // 6
-            b = m.start() + (last * 8 - 1) // 6
-        yield Layer(text, layer.start[a], layer.end[b], layer.above), cut
+            for text, bytes_at in _texts(raw):
+                a, b = place[bytes_at[0] * 8 // 6], place[(bytes_at[1] * 8 - 1) // 6]
+                yield Layer(text, layer.start[a], layer.end[b], layer.above), False
+            for k in sorted({0, *(m.start() for m in _PACKED.finditer(raw))}):
+                if (inner := _inflate(raw[k:], limits.max_layer)) is None:
+                    continue
+                last = at[-1] if k + inner[2] == len(raw) else place[((k + inner[2]) * 8 - 1) // 6]
+                held, cut = inner[0], inner[1]
+                while (inner := _inflate(held, limits.max_layer)) is not None and inner[0] != held:
+                    held, cut = inner[0], cut or inner[1]
+                first = place[k * 8 // 6]
+                if cut:
+                    yield Layer("", at[:0], at[:0], layer.above), True
+                for text, _ in _texts(held):
+                    a, b = np.full(len(text), first, dtype=np.int64), np.full(len(text), last, dtype=np.int64)
+                    yield Layer(text, layer.start[a], layer.end[b], layer.above), False
 
 
 def scan_text(text: str | None, limits: Limits = Limits()) -> tuple[list[Span], list[Span], int, int]:
     """Base spans, all spans, the deepest layer with a span of its own, and layers cut at the limit."""
     text = text or ""
     base = matches(text)
-    if not ("%" in text or "\\" in text) and not _BASE64.search(text):
+    if not ("%" in text or "\\" in text) and next(_runs(text), None) is None:
         return base, base, 0, 0
     at = np.arange(len(text), dtype=np.int64)
     work, found, done = [Layer(text, at, at + 1, frozenset())], set(base), set()

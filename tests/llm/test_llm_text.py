@@ -106,6 +106,22 @@ def test_nested_secrets_map_to_their_place(inner):
     assert secrets.redacted(text).startswith("é before ") and secrets.redacted(text).endswith(" after")
 
 
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, zlib.compress, lambda raw: raw.decode().encode("utf-16"), lambda raw: b"\x01" + raw + b"\xff"])
+@pytest.mark.parametrize("form", ["wrapped", "crlf", "path/", "a-b_", "xx/yyy/"])
+def test_secrets_in_wrapped_and_shifted_base64(pack, form):
+    wide = " ".join(f"{k * 7919 % 10007:x}q" for k in range(60))  # more than a line, also compressed
+    code = base64.b64encode(pack(f"{wide} {SECRET} {wide}".encode())).decode()
+    if form in ("wrapped", "crlf"):
+        code = ("\r\n" if form == "crlf" else "\n").join(code[k : k + 76] for k in range(0, len(code), 76))
+    else:
+        code = form + code
+    text = f"é before {code} after"
+    _, spans, depth, _ = secrets.scan_text(text)
+    assert spans and depth == 1 and all(text.index(code) <= s < e <= text.index(code) + len(code) for s, _, e in spans)
+    left = secrets.redacted(text)
+    assert not secrets.scan_text(left)[1] and left.startswith("é before ") and left.endswith(" after")
+
+
 def plain_base(text: str | None) -> str:
     text, out = text or "", []
     found = [(m.start(), 0, m.end()) for m in secrets.ASSIGN.finditer(text) if len(m[2]) >= 12]
