@@ -4,7 +4,9 @@ A text is its set of five-word shingles (all its words where it has fewer than f
 1 + ln(times it occurs). Every shingle is a Poisson process of that rate: its arrivals hit random
 signature components, the earliest arrival wins a component, and a shingle stops as soon as its next arrival
 is later than all components' winners. The share of equal components estimates the probability
-Jaccard similarity, which is the Jaccard similarity where all weights are equal.
+Jaccard similarity, which is the Jaccard similarity where all weights are equal. A text that repeats a shingle
+has a second signature with equal weights (a text that doesn't has the same one twice, and keeps one), so
+the chance to share a band never depends on how often shingles repeat.
 
 Texts with equal shingles and weights collapse to one node first. Nodes that share a band are
 candidates; a pair is a link if its shingle sets have a Jaccard similarity of `similarity` or more.
@@ -91,6 +93,29 @@ def signatures(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, n_docs: int
     return out.reshape(n_docs, size)
 
 
+def _bands(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, n_docs: int, near: Near) -> np.ndarray:
+    sig = signatures(doc, key, weight, n_docs, near.bands * near.rows)
+    band = np.zeros((n_docs, near.bands), dtype=np.uint64)
+    for k in range(near.rows):
+        band = S.mix(band + sig[:, k :: near.rows] + np.arange(near.bands, dtype=np.uint64))
+    return band
+
+
+def band_keys(doc: np.ndarray, key: np.ndarray, count: np.ndarray, n_docs: int, near: Near) -> tuple[np.ndarray, np.ndarray]:
+    """Documents with shingles and their distinct band keys, by document: of the weighted signature and, where shingles repeat, of the plain one."""
+    some, repeat = np.unique(doc), np.unique(doc[count > 1])
+    weighted = _bands(doc, key, 1 + np.log(count), n_docs, near)[some]
+    own = np.isin(doc, repeat)
+    plain = _bands(np.searchsorted(repeat, doc[own]), key[own], np.ones(int(own.sum())), len(repeat), near)
+    owner = np.repeat(np.concatenate([some, repeat]), near.bands)
+    band = np.concatenate([weighted.reshape(-1), plain.reshape(-1)])
+    order = np.lexsort((band, owner))
+    owner, band = owner[order], band[order]
+    new = np.ones(len(owner), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (band[1:] != band[:-1])
+    return owner[new], band[new]
+
+
 def _digests(doc: np.ndarray, key: np.ndarray, count: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit sums over each document's shingles and counts."""
     x = S.mix(key + count.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
@@ -111,13 +136,9 @@ def _described(docs: DataFrame, near: Near) -> DataFrame:
         for b in batches:
             for c in S.chunks(b.column(1)):
                 doc, key, count = shingles(c, near.words)
-                sig = signatures(doc, key, 1 + np.log(count), c.n_docs, near.bands * near.rows)
-                band = np.zeros((c.n_docs, near.bands), dtype=np.uint64)
-                for k in range(near.rows):
-                    band = S.mix(band + sig[:, k :: near.rows] + np.arange(near.bands, dtype=np.uint64))
                 some = np.diff(np.searchsorted(doc, np.arange(c.n_docs + 1)))
-                ends = np.append(0, np.cumsum(np.where(some > 0, near.bands, 0)))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(band[some > 0].reshape(-1).view(np.int64)))
+                own, band = band_keys(doc, key, count, c.n_docs, near)
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(own, np.arange(c.n_docs + 1)), pa.int32()), pa.array(band.view(np.int64)))
                 d1, d2 = _digests(doc, key, count, c.n_docs)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(c.first, c.n_docs), pa.array(d1), pa.array(d2), pa.array(some.astype(np.int64)), lists], names)
 
@@ -125,7 +146,7 @@ def _described(docs: DataFrame, near: Near) -> DataFrame:
 
 
 def _sets(docs: DataFrame, near: Near) -> DataFrame:
-    """d1, d2 and the 32-bit hashes of the distinct shingles of each row."""
+    """d1, d2 and the 64-bit hashes of the distinct shingles of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -133,21 +154,25 @@ def _sets(docs: DataFrame, near: Near) -> DataFrame:
                 doc, key, count = shingles(c, near.words)
                 d1, d2 = _digests(doc, key, count, c.n_docs)
                 ends = pa.array(np.searchsorted(doc, np.arange(c.n_docs + 1)), pa.int32())
-                lists = pa.ListArray.from_arrays(ends, pa.array((key >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                lists = pa.ListArray.from_arrays(ends, pa.array(key.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), lists], ["d1", "d2", "shingles"])
 
-    return map_arrow(docs.select("text"), run, "d1 long, d2 long, shingles array<int>")
+    return map_arrow(docs.select("text"), run, "d1 long, d2 long, shingles array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its least node) of all nodes of edges (u, v), by large and small stars."""
+    """node, component (its least node) of all nodes of edges (u, v), by large and small stars.
+
+    A star's centre may hold a large part of all edges. The least neighbours are staged, so both sides of each join
+    have an exchange of their own and Spark splits such a centre.
+    """
     now = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
     mark = None
     while True:
         both = now.union(now.select("v", "u").toDF("u", "v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("of"), F.least("u", "m").alias("m"))
-        large = both.join(least, F.col("u") == F.col("of")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("of"), "m")
+        least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("of"), F.least("u", "m").alias("m")), "least")
+        large = staged(both.join(least, F.col("u") == F.col("of")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = staged(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("of"), "m"), "least")
         small = large.join(least, F.col("u") == F.col("of")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         now = staged(small.select("e.u", "e.v").where("u <> v").distinct(), "stars")
         seen = now.agg(F.count("*"), F.expr("sum(cast(xxhash64(u, v) as decimal(38)))")).first()
@@ -207,9 +232,10 @@ def links_of_blocks(node: np.ndarray, component: np.ndarray, second: np.ndarray,
 def _apart(multi: DataFrame, label: DataFrame) -> DataFrame:
     """Members of the buckets that still have several components, with their component and their bucket's size."""
     named = multi.join(label.select(F.col("node").alias("ln"), "component"), F.col("node") == F.col("ln"), "left")
-    named = named.select("key", "node", "n", "lead", F.coalesce("component", "node").alias("component"))
+    named = staged(named.select("key", "node", "n", "lead", F.coalesce("component", "node").alias("component")), "named")
     sizes = named.groupBy(F.col("key").alias("of")).agg(F.count("*").alias("members"), F.sum("n").alias("total"), F.min("component").alias("c"), F.max("component").alias("d"))
-    return named.join(sizes.where("c <> d and members > 2").drop("c", "d"), F.col("key") == F.col("of")).drop("of")
+    sizes = staged(sizes.where("c <> d and members > 2").drop("c", "d"), "open")  # a hot bucket is then split in the join
+    return named.join(sizes, F.col("key") == F.col("of")).drop("of")
 
 
 def _few(apart: DataFrame) -> DataFrame:
@@ -274,9 +300,9 @@ def _labelled(docs: DataFrame, near: Near) -> DataFrame:
     """doc_id, d1, d2, component of each row; a component is the least row number of its rows."""
     rows = staged(_described(docs, near).withColumn("row", F.monotonically_increasing_id()), "signed")
     nodes = rows.groupBy("d1", "d2").agg(F.min("row").alias("node"))
-    first = rows.join(nodes.select(F.col("node").alias("own")), F.col("row") == F.col("own"), "left_semi")
+    first = staged(rows.join(nodes.select(F.col("node").alias("own")), F.col("row") == F.col("own"), "left_semi").select("row", "n", "bands"), "nodes")
     bands = first.select(F.explode("bands").alias("key"), F.col("row").alias("node"), "n")
-    shared = bands.groupBy(F.col("key").alias("of")).agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
+    shared = staged(bands.groupBy(F.col("key").alias("of")).agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b"), "shared")
     multi = staged(bands.join(shared, F.col("key") == F.col("of")).select("key", "node", "n", F.col("a").alias("lead")), "buckets")
     names = multi.select("node").distinct()
     wanted = staged(rows.join(names, F.col("row") == F.col("node"), "left_semi").select("doc_id", "row", "d1", "d2"), "candidates")
