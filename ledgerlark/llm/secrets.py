@@ -10,8 +10,8 @@ match in a layer counts for that span.
 
 Null texts are empty. Repeated rows each get their row. Very long texts are scanned whole. Extra
 columns are ignored by scan() and kept by redact(), whatever their names. Empty tables give empty
-tables. Of what a compressed layer holds, `max_layer` bytes are scanned; cut_layers counts those that
-hold more.
+tables. What is compressed is inflated piece by piece, member by member, and scanned whole in windows that overlap
+by OVERLAP bytes; all it holds counts for the span of the compressed bytes.
 """
 
 from __future__ import annotations
@@ -19,11 +19,11 @@ from __future__ import annotations
 import base64
 import bz2
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,9 +53,8 @@ _LONE = re.compile("[\ud800-\udfff]")
 Span = tuple[int, int, int]
 
 
-@dataclass(frozen=True)
-class Limits:
-    max_layer: int = 1 << 26
+#: Bytes of an inflated piece, of a window of what is inflated, and of what two windows have in common.
+PIECE, WINDOW, OVERLAP = 1 << 20, 1 << 22, 1 << 20
 
 
 def matches(text: str) -> list[Span]:
@@ -73,9 +72,8 @@ def matches(text: str) -> list[Span]:
 class Layer:
     """A text and, for each of its characters, where in the document it starts and ends."""
 
-    def __init__(self, text: str, start: np.ndarray, end: np.ndarray, above: frozenset[str]) -> None:
-        self.text, self.start, self.end, self.above = text, start, end, above | {text}
-        self.depth = len(above)
+    def __init__(self, text: str, start: np.ndarray, end: np.ndarray, above: frozenset[str | bytes], depth: int) -> None:
+        self.text, self.start, self.end, self.above, self.depth = text, start, end, above | {text}, depth
 
 
 def _escaped(run: str) -> list[tuple[str, int]]:
@@ -129,25 +127,70 @@ def _unescaped(layer: Layer) -> Layer | None:
     parts.append(layer.text[last:])
     took.append(np.ones(len(layer.text) - last, dtype=np.int64))
     end = np.cumsum(np.concatenate(took))
-    return Layer("".join(parts), layer.start[end - np.concatenate(took)], layer.end[end - 1], layer.above)
-
-
-def _inflate(raw: bytes, limit: int) -> tuple[bytes, bool, int] | None:
-    """What a compressed stream holds, whether it holds more than the limit, and the bytes it takes; None if it is no such stream."""
-    if raw[:3] == b"\x1f\x8b\x08" or len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0:
-        stream = zlib.decompressobj(47)
-        args = (raw, limit + 1)
-    elif raw[:3] == b"BZh":
-        stream, args = bz2.BZ2Decompressor(), (raw, limit + 1)
-    elif raw[:6] == b"\xfd7zXZ\x00":
-        stream, args = lzma.LZMADecompressor(), (raw, limit + 1)
-    else:
-        return None
-    try:
-        out = stream.decompress(*args)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError):
-        return None
-    return out[:limit], len(out) > limit, len(raw) - len(stream.unused_data)
+    return Layer("".join(parts), layer.start[end - np.concatenate(took)], layer.end[end - 1], layer.above, layer.depth + 1)
+
+
+def _decoder(head: bytes):  # noqa: ANN202
+    """A decompressor for what begins like this, or None."""
+    if head[:3] == b"\x1f\x8b\x08" or len(head) > 2 and head[0] & 15 == 8 and (head[0] << 8 | head[1]) % 31 == 0:
+        return zlib.decompressobj(47)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if head[:6] == b"\xfd7zXZ\x00" else None
+
+
+def _pieces(raw: bytes, at: int) -> Iterator[bytes]:
+    """raw from a place on, a small piece first: most places that look like a compressed stream are none."""
+    size = 512
+    while at < len(raw):
+        yield raw[at : at + size]
+        at, size = at + size, 1 << 16
+
+
+class Members:
+    """What the compressed members at the start of some pieces of bytes hold, piece by piece; used: bytes they take."""
+
+    def __init__(self, pieces: Iterator[bytes]) -> None:
+        self.pieces, self.pulled, self.used = pieces, 0, 0
+
+    def _pull(self) -> bytes | None:
+        piece = next(self.pieces, None)
+        self.pulled += len(piece or b"")
+        return piece
+
+    def __iter__(self) -> Iterator[bytes]:
+        data = self._pull() or b""
+        while (stream := _decoder(data[:8])) is not None:
+            while not stream.eof:
+                try:
+                    out = stream.decompress(data, PIECE)
+                except (zlib.error, OSError, lzma.LZMAError, EOFError):
+                    self.used = self.used or self.pulled
+                    return
+                data = stream.unconsumed_tail if hasattr(stream, "unconsumed_tail") else b""
+                if out:
+                    yield out
+                elif not stream.eof and not data:
+                    if (piece := self._pull()) is None:
+                        self.used = self.pulled
+                        return
+                    data = piece
+            data = stream.unused_data
+            self.used = self.pulled - len(data)
+            while len(data) < 8 and (piece := self._pull()) is not None:
+                data += piece
+
+
+def windows(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """The bytes of a stream in windows, each with the last OVERLAP bytes of the one before."""
+    held, new = b"", False
+    for piece in pieces:
+        held, new = held + piece, True
+        while len(held) >= WINDOW:
+            yield held[:WINDOW]
+            held, new = held[WINDOW - OVERLAP :], len(held) > WINDOW
+    if new and held:
+        yield held
 
 
 def _runs(text: str) -> Iterator[tuple[str, np.ndarray]]:
@@ -176,7 +219,36 @@ def _texts(raw: bytes) -> Iterator[tuple[str, np.ndarray]]:
         yield text.replace("\0", ""), np.stack([end - size, end])[:, held]
 
 
-def _unpacked(layer: Layer, limits: Limits) -> Iterator[tuple[Layer, bool]]:
+def _kinds_of(make: Callable[[], Iterator[bytes]], above: frozenset, depth: int) -> tuple[set[int], int]:
+    """The kinds found in a stream of bytes and in all layers inside it, and the deepest of these layers."""
+    kinds: set[int] = set()
+    seen: set[bytes] = set()
+    deepest, first = 0, None
+    for window in windows(make()):
+        key = hashlib.blake2b(window).digest()
+        first = first or (key, window[:8])
+        if key in above or key in seen or len(kinds) == len(KINDS):
+            continue
+        seen.add(key)
+        inside = above | {key}
+        for text, _ in _texts(window):
+            if text not in above:
+                flat = np.broadcast_to(np.int64(0), (len(text),))
+                found, deep = _closure(Layer(text, flat, flat, inside, depth))
+                kinds |= {k for _, k, _ in found}
+                deepest = max(deepest, deep)
+        for k in (m.start() for m in _PACKED.finditer(window)):
+            if k or key != first[0]:
+                more, deep = _kinds_of(lambda k=k, w=window: iter(Members(_pieces(w, k))), inside, depth + 1)
+                kinds, deepest = kinds | more, max(deepest, deep)
+    if first and first[0] not in above and _decoder(first[1]) is not None:
+        more, deep = _kinds_of(lambda: iter(Members(make())), above | {first[0]}, depth + 1)
+        kinds, deepest = kinds | more, max(deepest, deep)
+    return kinds, deepest
+
+
+def _decoded(layer: Layer) -> Iterator[tuple[Layer | None, set[Span], int]]:
+    """Layers of the base64 runs of a layer; spans of what is compressed in them, with the deepest layer of it."""
     for whole, at in _runs(layer.text):
         for skip in range(4):
             run, place = whole[skip:], at[skip:]
@@ -184,77 +256,82 @@ def _unpacked(layer: Layer, limits: Limits) -> Iterator[tuple[Layer, bool]]:
             raw = base64.b64decode(run + "=" * (-len(run) % 4))
             for text, bytes_at in _texts(raw):
                 a, b = place[bytes_at[0] * 8 // 6], place[(bytes_at[1] * 8 - 1) // 6]
-                yield Layer(text, layer.start[a], layer.end[b], layer.above), False
-            for k in sorted({0, *(m.start() for m in _PACKED.finditer(raw))}):
-                if (inner := _inflate(raw[k:], limits.max_layer)) is None:
-                    continue
-                last = at[-1] if k + inner[2] == len(raw) else place[((k + inner[2]) * 8 - 1) // 6]
-                held, cut = inner[0], inner[1]
-                while (inner := _inflate(held, limits.max_layer)) is not None and inner[0] != held:
-                    held, cut = inner[0], cut or inner[1]
-                first = place[k * 8 // 6]
-                if cut:
-                    yield Layer("", at[:0], at[:0], layer.above), True
-                for text, _ in _texts(held):
-                    a, b = np.full(len(text), first, dtype=np.int64), np.full(len(text), last, dtype=np.int64)
-                    yield Layer(text, layer.start[a], layer.end[b], layer.above), False
-
-
-def scan_text(text: str | None, limits: Limits = Limits()) -> tuple[list[Span], list[Span], int, int]:
-    """Base spans, all spans, the deepest layer with a span of its own, and layers cut at the limit."""
+                yield Layer(text, layer.start[a], layer.end[b], layer.above, layer.depth + 1), set(), 0
+            for k in [m.start() for m in _PACKED.finditer(raw)]:
+                made: list[Members] = []
+
+                def make(k: int = k, raw: bytes = raw, made: list[Members] = made) -> Iterator[bytes]:
+                    made.append(Members(_pieces(raw, k)))
+                    return iter(made[-1])
+
+                kinds, deepest = _kinds_of(make, layer.above, layer.depth + 1)
+                if kinds:
+                    end = k + made[0].used
+                    last = at[-1] if end == len(raw) else place[(end * 8 - 1) // 6]
+                    span = int(layer.start[place[k * 8 // 6]]), int(layer.end[last])
+                    yield None, {(span[0], kind, span[1]) for kind in kinds}, deepest
+
+
+def _closure(root: Layer) -> tuple[set[Span], int]:
+    """Spans of all layers of a worklist from a root, the text itself left out, and the deepest layer with a span of its own."""
+    work, found, done, deepest = [root], set(), set(), 0
+    while work:
+        layer = work.pop()
+        if layer.depth:
+            own = {(int(layer.start[s]), kind, int(layer.end[e - 1])) for s, kind, e in matches(layer.text)}
+            deepest = max(deepest, layer.depth) if own - found else deepest
+            found |= own
+        inner = _unescaped(layer)
+        for child, spans, depth in itertools.chain([(inner, set(), 0)] if inner else [], _decoded(layer)):
+            deepest = max(deepest, depth) if spans - found else deepest
+            found |= spans
+            if child is not None and child.text not in layer.above:
+                key = child.text, int(child.start[0]), int(child.end[-1])
+                if key not in done:
+                    done.add(key)
+                    work.append(child)
+    return found, deepest
+
+
+def scan_text(text: str | None) -> tuple[list[Span], list[Span], int]:
+    """Base spans, all spans, and the deepest layer with a span of its own."""
     text = text or ""
     base = matches(text)
     if not ("%" in text or "\\" in text) and next(_runs(text), None) is None:
-        return base, base, 0, 0
+        return base, base, 0
     at = np.arange(len(text), dtype=np.int64)
-    work, found, done = [Layer(text, at, at + 1, frozenset())], set(base), set()
-    deepest = cuts = 0
-    while work:
-        layer = work.pop()
-        if layer.depth:
-            for s, kind, e in matches(layer.text):
-                span = (int(layer.start[s]), kind, int(layer.end[e - 1]))
-                if span not in found:
-                    found.add(span)
-                    deepest = max(deepest, layer.depth)
-        new = [(x, False) for x in [_unescaped(layer)] if x]
-        for child, cut in [*new, *_unpacked(layer, limits)]:
-            cuts += cut
-            key = (child.text, int(child.start[0]), int(child.end[-1])) if child.text else None
-            if key and child.text not in layer.above and key not in done:
-                done.add(key)
-                work.append(child)
-    return base, sorted(found), deepest, cuts
+    found, deepest = _closure(Layer(text, at, at + 1, frozenset(), 0))
+    return base, sorted(found | set(base)), deepest if found - set(base) else 0
 
 
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def scan(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_added, depth, cut_layers of each row."""
-    names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_added", "depth", "cut_layers"]
-    kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()] * 3
+def scan(docs: DataFrame) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_added, depth of each row."""
+    names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_added", "depth"]
+    kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for text in b.column(1):
-                base, spans, depth, cuts = scan_text(text.as_py(), limits)
+                base, spans, depth = scan_text(text.as_py())
                 counts = [sum(k == kind for _, k, _ in base) for kind in range(3)]
-                rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base), depth, cuts))
+                rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base), depth))
             columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], names)
 
-    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_added long, depth long, cut_layers long"
+    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_added long, depth long"
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
 
 
-def redacted(text: str | None, limits: Limits = Limits()) -> str | None:
+def redacted(text: str | None) -> str | None:
     """The text with every run of overlapping spans replaced by [kind] of the first."""
     if text is None:
         return None
-    _, spans, _, _ = scan_text(text, limits)
+    _, spans, _ = scan_text(text)
     out, last, at = [], 0, 0
     while at < len(spans):
         start, kind, end = spans[at]
@@ -265,14 +342,14 @@ def redacted(text: str | None, limits: Limits = Limits()) -> str | None:
     return "".join([*out, text[last:]])
 
 
-def redact(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def redact(docs: DataFrame) -> DataFrame:
     """docs with secrets taken out of text and, where there is one, n_chars of the new text."""
     where = docs.columns.index("text")
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [redacted(x.as_py(), limits) for x in b.column(where)]
+            texts = [redacted(x.as_py()) for x in b.column(where)]
             columns = list(b.columns)
             columns[where] = pa.array(texts, b.schema.field(where).type)
             if chars is not None:

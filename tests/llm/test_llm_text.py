@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import base64
+import bz2
 import collections
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import urllib.parse
@@ -98,7 +100,7 @@ def wrapped() -> list[str]:
 @pytest.mark.parametrize("inner", wrapped())
 def test_nested_secrets_map_to_their_place(inner):
     text = f"é before {inner} after"
-    base, spans, depth, _ = secrets.scan_text(text)
+    base, spans, depth = secrets.scan_text(text)
     assert depth >= 1 and len(spans) > len(base)
     start, _, end = next(s for s in spans if s not in base)
     assert 9 <= start < end <= 9 + len(inner)
@@ -116,7 +118,7 @@ def test_secrets_in_wrapped_and_shifted_base64(pack, form):
     else:
         code = form + code
     text = f"é before {code} after"
-    _, spans, depth, _ = secrets.scan_text(text)
+    _, spans, depth = secrets.scan_text(text)
     assert spans and depth == 1 and all(text.index(code) <= s < e <= text.index(code) + len(code) for s, _, e in spans)
     left = secrets.redacted(text)
     assert not secrets.scan_text(left)[1] and left.startswith("é before ") and left.endswith(" after")
@@ -135,22 +137,42 @@ def plain_base(text: str | None) -> str:
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["token", "secret", "API_key", "pass", "word", ":", "=", " ", '"', "0123456789abcdef", "AKIA", "ABCDEFGHIJ", "x", "ſ", "K", "%41", "\\u0041", "\n"]), max_size=12).map("".join))
 def test_base_spans(text):
-    base, spans, _, _ = secrets.scan_text(text)
+    base, spans, _ = secrets.scan_text(text)
     assert secrets.joined(base) == plain_base(text)
     assert set(base) <= set(spans) and spans == sorted(spans)
 
 
 def test_cycles_and_odd_texts_end():
     for text in [*ODD, "%", "%4", "%25" * 50, "\\", "\\u", "\\ud800", "A" * 5000, "%u0041", "\\u{110000}"]:
-        base, spans, _, _ = secrets.scan_text(text)
+        base, spans, _ = secrets.scan_text(text)
         assert set(base) <= set(spans)
     assert secrets.redacted(None) is None
 
 
-def test_large_layers_are_cut_at_the_limit_and_counted():
-    bomb = base64.b64encode(zlib.compress(b"a" * 10_000 + SECRET.encode())).decode()
-    assert secrets.scan_text(bomb, secrets.Limits(max_layer=1000))[3] == 1
-    assert secrets.scan_text(bomb)[3] == 0 and len(secrets.scan_text(bomb)[1]) > 0
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, lambda raw: gzip.compress(b"first") + gzip.compress(raw), lambda raw: zlib.compress(gzip.compress(raw))])
+@pytest.mark.parametrize("where", ["end", "middle", "edge"])
+def test_large_layers_are_scanned_whole(pack, where, monkeypatch):
+    monkeypatch.setattr(secrets, "PIECE", 1 << 12)
+    monkeypatch.setattr(secrets, "WINDOW", 1 << 14)
+    monkeypatch.setattr(secrets, "OVERLAP", 1 << 11)
+    n = {"end": 50_000, "middle": 20_000, "edge": (1 << 14) - 20}[where]
+    code = base64.b64encode(pack(b"a " * (n // 2) + b" " * (n % 2) + SECRET.encode() + b" b" * (0 if where == "end" else 9000))).decode()
+    text = f"é before {code} after"
+    _, spans, depth = secrets.scan_text(text)
+    assert spans and depth >= 1
+    assert all(s <= text.index(code) + 90 and e >= text.index(code) + len(code) - 4 for s, _, e in spans)
+    assert SECRET not in secrets.redacted(text) and len(secrets.redacted(text)) < 120
+
+
+def test_a_stream_that_holds_itself_ends(monkeypatch):
+    """Layers of zeros, and streams whose content begins like them again."""
+    monkeypatch.setattr(secrets, "WINDOW", 1 << 14)
+    monkeypatch.setattr(secrets, "OVERLAP", 1 << 11)
+    deep = b"x"
+    for _ in range(20):
+        deep = zlib.compress(deep + b" " * 3000)
+    for raw in (deep, gzip.compress(bytes(1 << 20)), zlib.compress(b"x^" * 5000), b"x\x9c" * 3000):
+        assert secrets.scan_text(base64.b64encode(raw).decode())[1] == secrets.scan_text(base64.b64encode(raw).decode())[0]
 
 
 TEXTS = st.text(alphabet="abé", max_size=30)
