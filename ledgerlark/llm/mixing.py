@@ -3,12 +3,13 @@
 Sources in code-point order (null last) weigh 1, 2, 3, repeating. A source's target is its share of
 all words, at most `epochs` times its own words; what is above goes to the others by weight. Targets
 become whole blocks by highest quotients, each source's blocks are apportioned to its shards in
-the same way, and a shard takes whole passes over its documents plus the first blocks of its
+the same way, down a tree of at most FAN branches a node, and a shard takes whole passes over its documents plus the first blocks of its
 documents in seeded order.
 
-Null texts have size 0 and null sources form one source. Repeated rows (equal in doc_id too) each
-take a place of their own. Sources without words have target 0. Empty tables give empty tables.
-Columns other than doc_id, text and source don't matter.
+Only sources are rows on the driver, a name and a number each. Documents go to shards by a seeded hash of doc_id and text,
+so null or repeated ids spread. Rows equal in doc_id, source and text are one entry with a count and take the same number
+of words each. Null texts have size 0 and null sources form one source. Sources without words have target 0. Empty tables
+give empty tables. Columns other than doc_id, text and source don't matter.
 """
 
 from __future__ import annotations
@@ -17,27 +18,26 @@ import heapq
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.common import WORD, staged, text_of
 
 
+#: Branches of a node of the tree of a source's shards.
+FAN = 256
+
+
 @dataclass(frozen=True)
 class Plan:
-    """block: words of a block; shard: words of a shard, about.
-
-    A source and a shard are each a row on the driver: more than max_sources raise an error, and
-    shards get larger where there would be more than max_shards (and one a source).
-    """
+    """block: words of a block; shard: words of a shard, about."""
 
     block: int = 32
     shard: int = 100_000
     epochs: int = 3
     seed: int = 17
     weights: tuple[int, ...] = (1, 2, 3)
-    max_sources: int = 100_000
-    max_shards: int = 65_536
 
 
 def capped_targets(sizes: Sequence[int], weights: Sequence[float], epochs: int) -> list[float]:
@@ -88,65 +88,83 @@ def apportion(votes: Sequence[float], seats: int, limits: Sequence[int] | None =
     return held
 
 
-def _sizes(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"))
+def _keyed(docs: DataFrame) -> list[Column]:
+    """The keys of an entry: doc_id, source, digest of the text, and its size."""
+    size = F.regexp_count(text_of(), F.lit(WORD)).cast("long")
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text_of()).alias("digest"), size.alias("size")]
 
 
 def _code_points(source: str | None) -> tuple[bool, list[int]]:
     return source is None, [ord(c) for c in source or ""]
 
 
-def mix(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """doc_id, source, size, source_size, target, quota (blocks of its source), taken, a row for each row of docs."""
+def _quotas(shards: DataFrame, sources: DataFrame, levels: int, plan: Plan) -> DataFrame:
+    """of, shard, passes and part of each shard (source, shard, n): seats go down the tree, a group of at most FAN branches at a time."""
+
+    def seat(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node")
+        blocks = [-(-n // plan.block) for n in rows["n"].tolist()]
+        seats = apportion([float(n) for n in rows["n"].tolist()], int(rows["seats"].iloc[0]), [plan.epochs * b for b in blocks])
+        return pd.DataFrame({"source": rows["source"], "node": rows["node"], "n": rows["n"], "quota": seats})
+
+    above = sources.select(F.col("of").alias("s"), F.lit(0).cast("long").alias("up"), F.col("quota").alias("seats"))
+    for level in range(1, levels + 1):
+        nodes = shards.select("source", F.expr(f"shard div {FAN ** (levels - level)}").alias("node"), "n")
+        nodes = nodes.groupBy("source", "node").agg(F.sum("n").alias("n")).withColumn("parent", F.expr(f"node div {FAN}"))
+        both = nodes.join(above, F.col("source").eqNullSafe(F.col("s")) & (F.col("parent") == F.col("up")))
+        got = staged(both.groupBy("source", "parent").applyInPandas(seat, "source string, node long, n long, quota long"), "quotas")
+        above = got.select(F.col("source").alias("s"), F.col("node").alias("up"), F.col("quota").alias("seats"))
+    whole = F.greatest(F.expr(f"(n + {plan.block - 1}) div {plan.block}"), F.lit(1))
+    return got.select(F.col("source").alias("of"), F.col("node").alias("of_shard"), F.floor(F.col("quota") / whole).alias("passes"), (F.col("quota") % whole * plan.block).alias("part"))
+
+
+def _entries(docs: DataFrame, plan: Plan) -> DataFrame:
+    """doc_id, source, digest, size, rows, source_size, target, quota, taken (of each of its rows) of each entry."""
     spark = docs.sparkSession
-    sizes = staged(_sizes(docs), "mix-sizes")
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("n")).limit(plan.max_sources + 1).collect()
-    if len(totals) > plan.max_sources:
-        raise ValueError(f"more than {plan.max_sources} sources")
-    totals = sorted(((r.source, r.n) for r in totals), key=lambda r: _code_points(r[0]))
+    entries = staged(docs.select(*_keyed(docs)).groupBy("doc_id", "source", "digest", "size").agg(F.count("*").alias("rows")), "mix-entries")
+    words = F.sum(F.col("size") * F.col("rows"))
+    totals = sorted(((r.source, r.n) for r in entries.groupBy("source").agg(words.alias("n")).collect()), key=lambda r: _code_points(r[0]))
     weights = [plan.weights[i % len(plan.weights)] for i in range(len(totals))]
     target = capped_targets([n for _, n in totals], weights, plan.epochs)
     blocks = [-(-n // plan.block) for _, n in totals]
     quota = apportion(target, round(sum(target) / plan.block), [plan.epochs * b for b in blocks])
-    words = max(plan.shard, -(-sum(n for _, n in totals) // plan.max_shards))
-    shards = [max(1, -(-n // words)) for _, n in totals]
+    counts = [max(1, -(-n // plan.shard)) for _, n in totals]
     sources = spark.createDataFrame(
-        [(s, n, t, q, k) for (s, n), t, q, k in zip(totals, target, quota, shards, strict=True)],
-        "of string, source_size long, target double, quota long, shards int",
+        [(s, n, t, q, k) for (s, n), t, q, k in zip(totals, target, quota, counts, strict=True)],
+        "of string, source_size long, target double, quota long, shards long",
     )
+    levels = 1
+    while FAN**levels < max(counts, default=1):
+        levels += 1
     # A hot source has as many shards as its words ask for, so no shard grows with it.
-    order = F.xxhash64(F.lit(plan.seed), "doc_id")
-    placed = sizes.join(sources, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("place", order)
-    placed = placed.withColumn("shard", F.pmod(F.col("place"), F.col("shards").cast("long")))
-    in_shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size")).collect()
-    by_source: dict[str | None, list[tuple[int, int]]] = {}
-    for r in in_shards:
-        by_source.setdefault(r.source, []).append((r.shard, r.shard_size))
-    rows = []
-    for (source, _), seats in zip(totals, quota, strict=True):
-        own = sorted(by_source.get(source, []))
-        n_blocks = [-(-n // plan.block) for _, n in own]
-        seats_of = apportion([float(n) for _, n in own], seats, [plan.epochs * b for b in n_blocks])
-        rows += [(source, k, s // max(b, 1), s % max(b, 1) * plan.block) for (k, _), s, b in zip(own, seats_of, n_blocks, strict=True)]
-    shares = spark.createDataFrame(rows, "of string, of_shard long, passes long, part long")
+    placed = entries.join(sources, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("place", F.xxhash64(F.lit(plan.seed), "doc_id", "digest"))
+    placed = placed.withColumn("shard", F.pmod(F.col("place"), F.col("shards")))
+    shares = _quotas(staged(placed.groupBy("source", "shard").agg(words.alias("n")), "mix-shards"), sources, levels, plan)
     joined = placed.join(shares, F.col("source").eqNullSafe(F.col("of")) & (F.col("shard") == F.col("of_shard")))
-    before = F.sum("size").over(Window.partitionBy("source", "shard").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    partly = F.greatest(F.lit(0), F.least(F.col("size"), F.col("part") - before))
-    return joined.select("doc_id", "source", "size", "source_size", "target", "quota", (F.col("size") * F.col("passes") + partly).alias("taken"))
+    whole = F.col("size") * F.col("rows")
+    order = Window.partitionBy("source", "shard").orderBy("place", "doc_id", "digest", "size").rowsBetween(Window.unboundedPreceding, 0)
+    partly = F.greatest(F.lit(0), F.least(whole, F.col("part") - (F.sum(whole).over(order) - whole)))
+    taken = F.col("size") * F.col("passes") + F.floor(partly / F.col("rows"))
+    return joined.select("doc_id", "source", "digest", "size", "rows", "source_size", "target", "quota", taken.cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
+    """doc_id, source, size, source_size, target, quota (blocks of its source), taken, a row for each row of docs."""
+    each = _entries(docs, plan).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
+    return each.select("doc_id", "source", "size", "source_size", "target", "quota", "taken")
 
 
 def mixed(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """docs with every document as often as the mix takes it: a row for each pass, the last cut to whole words.
 
     A cut document keeps its first words, with the text up to the end of the last of them. All
-    columns stay; n_chars, where there is one, is that of the new text. Rows equal in doc_id, source
-    and size share their words evenly, rounded down.
+    columns stay; n_chars, where there is one, is that of the new text. The rows hold exactly the words taken.
     """
-    keys = ["doc_id", "source", "size"]
-    take = mix(docs, plan).groupBy(*keys).agg(F.expr("sum(taken) div count(1)").alias("taken")).where("taken > 0")
-    take = take.select(*(F.col(k).alias(f"of_{k}") for k in keys), "taken")
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.col("source").cast("string").alias("from"), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"))
-    hit = rows.join(take, F.col("id").eqNullSafe(F.col("of_doc_id")) & F.col("from").eqNullSafe(F.col("of_source")) & (F.col("size") == F.col("of_size")))
+    keys = ["doc_id", "source", "digest", "size"]
+    take = _entries(docs, plan).where("taken > 0").select(*(F.col(k).alias(f"of_{k}") for k in keys), "taken")
+    rows = docs.select(F.struct("*").alias("row"), *_keyed(docs))
+    on = [F.col(k).eqNullSafe(F.col(f"of_{k}")) if k in ("doc_id", "source") else F.col(k) == F.col(f"of_{k}") for k in keys]
+    hit = rows.join(take, on)
     rest = F.col("taken") % F.col("size")
     pieces = F.split(F.col("row.text"), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     cut = F.when(rest > 0, F.array(F.array_join(F.slice(pieces, 1, rest.cast("int")), ""))).otherwise(F.array().cast("array<string>"))

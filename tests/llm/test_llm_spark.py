@@ -98,12 +98,35 @@ def test_mixed_documents_have_the_words_taken(odd):
     got = mixing.mixed(odd, plan)
     assert got.columns == odd.columns
     rows = got.collect()
-    assert taken - 2 <= sum(len(WORD.findall(r.text)) for r in rows) <= taken
+    assert taken == sum(len(WORD.findall(r.text)) for r in rows)
     whole = {r.text for r in odd.collect()}
     assert all(r.n_chars == len(r.text) and any((t or "").startswith(r.text) for t in whole) for r in rows)
     assert mixing.mixed(odd.limit(0), plan).count() == 0
 
 
+def test_mix_down_a_tree_of_shards(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "FAN", 3)
+    plan = mixing.Plan(block=8, shard=200)
+    rows = mixing.mix(docs, plan).collect()
+    taken, target, size = collections.Counter(), {}, {}
+    for r in rows:
+        assert 0 <= r.taken <= 3 * r.size
+        taken[r.source] += r.taken
+        target[r.source], size[r.source] = r.target, r.source_size
+    assert len(rows) == docs.count()
+    for s, t in target.items():
+        assert abs(taken[s] - t) <= plan.block * (2 + size[s] // plan.shard)
+
+
+def test_equal_rows_take_equal_parts(spark):
+    rows = [(None, "a b c d e f g h", "x")] * 40 + [(7, "one two three", "x")] * 3 + [(k, prose(k, 9), "y") for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(df, mixing.Plan(block=4, shard=50))
+    assert got.count() == 73 and {r.n for r in got.groupBy("doc_id", "source").agg(F.countDistinct("taken").alias("n")).collect()} == {1}
+    words = sum(len(WORD.findall(r.text)) for r in mixing.mixed(df, mixing.Plan(block=4, shard=50)).collect())
+    assert words == got.agg(F.sum("taken")).first()[0]
+
+
 def test_secrets(odd):
     got = {r.doc_id: r for r in secrets.scan(odd).collect()}
     assert got[11].n_assign == 1 and got[11].spans == "assign:0:25" and got[3].spans == "" and got[3].base_sha256 == hashlib.sha256(b"").hexdigest()
