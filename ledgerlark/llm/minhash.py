@@ -209,8 +209,12 @@ def _met(key: np.ndarray, at: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> Ite
         yield some, ys, common
 
 
-def links_of_blocks(node: np.ndarray, component: np.ndarray, second: np.ndarray, key: np.ndarray, at: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links between members of two blocks (second: whether in the second one) in different components; without a second block, within the first."""
+def links_of_blocks(node: np.ndarray, component: np.ndarray, second: np.ndarray, key: np.ndarray, at: np.ndarray, similarity: float, spare: float = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Likely links between members of two blocks (second: whether in the second one) in different components; without a second block, within the first.
+
+    The hashes in key are short, so shingles of a text may share one: a pair may lack `spare` common shingles, and more where texts
+    are so long that more of their hashes coincide.
+    """
     names, place = np.unique(component, return_inverse=True)
     most = place == np.bincount(place).argmax()  # no pair within the largest component
     if second.any():
@@ -222,7 +226,9 @@ def links_of_blocks(node: np.ndarray, component: np.ndarray, second: np.ndarray,
     for x, y in sides:
         for xs, ys, common in _met(key, at, np.flatnonzero(x), np.flatnonzero(y)) if x.any() and y.any() else ():
             total = size[xs][:, None] + size[ys][None, :]
-            i, j = np.nonzero((common >= similarity * (total - common)) & (place[xs][:, None] != place[ys][None, :]))
+            least = np.minimum(size[xs][:, None], size[ys][None, :]).astype(np.float64)
+            most_common = common + (spare + least * least / (1 << 31) if spare else 0)
+            i, j = np.nonzero((most_common >= similarity * (total - most_common)) & (place[xs][:, None] != place[ys][None, :]))
             out.append((node[xs[i]], node[ys[j]]))
     u, v = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in (zip(*out, strict=True) if out else ((), ())))
     both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
@@ -246,12 +252,13 @@ def _few(apart: DataFrame) -> DataFrame:
 
 
 def _between_blocks(apart: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
-    """Links between components of larger buckets; each two blocks of a bucket are a group."""
+    """Likely links between components of larger buckets, by 32 bits of each hash; each two blocks of a bucket are a group."""
     n = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
     many = apart.where(F.col("members") > FEW).withColumn("blocks", n).withColumn("block", F.pmod(F.xxhash64("node"), n).cast("int"))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     many = many.select("key", "node", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("second"))
-    whole = sets.select(F.col("node").alias("of"), "shingles")
+    short = F.transform("shingles", lambda x: F.call_function("shiftright", x, F.lit(32)).cast("int"))
+    whole = sets.select(F.col("node").alias("of"), short.alias("shingles"))
     rows = many.join(whole, F.col("node") == F.col("of")).drop("of")
     similarity = near.similarity
 
@@ -267,11 +274,12 @@ def _between_blocks(apart: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
-    left = _maybe(sets, "node", pairs.select(F.col("u").alias("id"))).select(F.col("node").alias("lu"), F.col("shingles").alias("ls"))
-    right = _maybe(sets, "node", pairs.select(F.col("v").alias("id"))).select(F.col("node").alias("rv"), F.col("shingles").alias("rs"))
-    both = pairs.select("u", "v").join(left, F.col("u") == F.col("lu")).join(right, F.col("v") == F.col("rv"))
-    common = F.size(F.array_intersect("ls", "rs"))
-    return both.where(common >= F.lit(near.similarity) * (F.size("ls") + F.size("rs") - common)).select("u", "v")
+    """The pairs that are links. Both joins read the same exchange of the sets."""
+    left, right = sets.alias("l"), sets.alias("r")
+    both = pairs.select("u", "v").join(left, F.col("u") == F.col("l.node")).join(right, F.col("v") == F.col("r.node"))
+    common = F.size(F.array_intersect("l.shingles", "r.shingles"))
+    total = F.size("l.shingles") + F.size("r.shingles")
+    return both.where(common >= F.lit(near.similarity) * (total - common)).select("u", "v")
 
 
 def _size_fits(near: Near) -> Column:
@@ -311,8 +319,8 @@ def _labelled(docs: DataFrame, near: Near) -> DataFrame:
     # ids are distinct, so this is a semi join; Spark would push one that is written so below the bitmap.
     held = _sets(_maybe(texts, "doc_id", ids).join(ids, F.col("doc_id").eqNullSafe(F.col("id"))).select("text"), near)
     keyed = wanted.select(F.col("row").alias("node"), F.col("d1").alias("w1"), F.col("d2").alias("w2"))
-    sets = held.join(keyed, (F.col("d1") == F.col("w1")) & (F.col("d2") == F.col("w2"))).select("node", "shingles")
-    sets = staged(sets.dropDuplicates(["node"]), "shingles")
+    sets = held.join(keyed, (F.col("d1") == F.col("w1")) & (F.col("d2") == F.col("w2"))).dropDuplicates(["w1", "w2"])
+    sets = staged(sets.select("node", "shingles"), "shingles")
 
     sized = multi.select(F.col("node").alias("u0"), F.col("n").alias("q0")).distinct()
     lead = multi.where("node <> lead").select("node", "n", "lead").distinct().join(sized, F.col("lead") == F.col("u0"))
@@ -321,8 +329,8 @@ def _labelled(docs: DataFrame, near: Near) -> DataFrame:
     edges = staged(_linked(tried, sets, near), "links")
     label = staged(components(edges), "labels")
     apart = staged(_apart(multi, label), "apart")
-    few = staged(_few(apart).where(_size_fits(near)).select("u", "v").distinct(), "tried")
-    more = staged(_linked(few, sets, near).union(_between_blocks(apart, sets, near)), "links")
+    rest = _few(apart).where(_size_fits(near)).select("u", "v").union(_between_blocks(apart, sets, near))
+    more = staged(_linked(staged(rest.distinct(), "tried"), sets, near), "links")
     if not more.isEmpty():
         label = components(edges.union(more))
     own = nodes.join(label.select(F.col("node").alias("ln"), "component"), F.col("node") == F.col("ln"), "left")

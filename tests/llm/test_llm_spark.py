@@ -210,7 +210,7 @@ def test_links_of_blocks_against_sets(monkeypatch):
     key = np.array([x for s in sets for x in sorted(s)], dtype=np.int32)
     for second in (np.zeros(40, dtype=bool), np.arange(40) % 2 == 1):
         want = {(7 * i, 7 * j) for i in range(40) for j in range(i + 1, 40) if component[i] != component[j] and (second[i] != second[j] or not second.any()) and len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j])}
-        got = list(zip(*(x.tolist() for x in minhash.links_of_blocks(node, component, second, key, at, 0.6)), strict=True))
+        got = list(zip(*(x.tolist() for x in minhash.links_of_blocks(node, component, second, key, at, 0.6, 0)), strict=True))
         assert want and sorted(want) == got
 
 
