@@ -2,8 +2,13 @@
 
 Code point c at position i adds (c + 1) * base**i modulo a prime to the prefix hash, for two primes. The
 hash of any span is a difference of two prefix hashes; spans at different positions compare after
-multiplication by a power of the base. A fingerprint holds the prefix hashes at the multiples of a cell,
-the least power of two that gives at most CELLS cells, and at the end of the text.
+multiplication by a power of the base. A fingerprint holds the prefix hashes at anchors and at the end of the text. An
+anchor is where the hash of the WINDOW code points before it, taken from the prefix array, is a multiple of a power of
+two, the least that is LEAST or more and gives about CELLS anchors at most. Anchors depend on what stands there, not on where,
+so an insertion changes one cell and moves the others, and the anchors of a coarser fingerprint are among those of a finer one.
+
+Likeness is the share of the longer text in common runs of cells: equal cells are found by their hash, wherever they are,
+and a run's longest common extension by binary search over span equality.
 
 Null texts are empty. Null doc_ids come last in descending order. Rows that repeat a doc_id follow each
 other by text. A table of one row is its own neighbour. Empty tables give empty tables; extra
@@ -12,9 +17,11 @@ columns don't matter. Very long texts are hashed whole.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -22,29 +29,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlark.llm import textscan as S
 from ledgerlark.llm.common import map_arrow, text_of
 
 PRIMES = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
-CELLS = 32
+CELLS, LEAST, WINDOW = 96, 8, 8
+#: Level of the end of a text, which is in every fingerprint.
+_END = 255
 _LOWEST = -(1 << 63)
 
 
 @lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base, prime in zip(BASES, PRIMES, strict=True):
+def _powers(n: int) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+    def run(base: int, prime: int) -> np.ndarray:
         x = np.ones(n, dtype=np.uint64)
         have, step = 1, base
         while have < n:  # x[have:2 * have] = x[:have] * base**have
             more = min(have, n - have)
             x[have : have + more] = x[:more] * np.uint64(step) % np.uint64(prime)
             have, step = 2 * have, step * step % prime
-        out.append(x)
-    return tuple(out)
+        return x
 
+    return tuple((run(base, prime), run(pow(base, -1, prime), prime)) for base, prime in zip(BASES, PRIMES, strict=True))
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+
+def powers(n: int) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+    """For each prime, the first n or more powers of the base and of its inverse."""
     size = 1 << 16
     while size < n:
         size *= 2
@@ -55,8 +66,14 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
 
 
-def _terms(points: np.ndarray) -> list[np.ndarray]:
-    return [(points + np.uint64(1)) * p[: len(points)] % np.uint64(q) for p, q in zip(powers(len(points) + 1), PRIMES, strict=True)]
+def prefix_hashes(points: np.ndarray) -> list[np.ndarray]:
+    """For each prime, the prefix hashes at 0 to len(points)."""
+    out = []
+    for (power, _), q in zip(powers(len(points) + 1), PRIMES, strict=True):
+        total = np.zeros(len(points) + 1, dtype=np.uint64)
+        np.cumsum((points + np.uint64(1)) * power[: len(points)] % np.uint64(q), out=total[1:])
+        out.append(total % np.uint64(q))
+    return out
 
 
 class Prefix:
@@ -64,18 +81,14 @@ class Prefix:
 
     def __init__(self, text: str) -> None:
         self.n = len(text)
-        self.sums = []
-        for x, q in zip(_terms(code_points(text)), PRIMES, strict=True):
-            total = np.zeros(self.n + 1, dtype=np.uint64)
-            np.cumsum(x, out=total[1:])
-            self.sums.append(total % np.uint64(q))
+        self.sums = prefix_hashes(code_points(text))
 
     def same(self, i: int, other: Prefix, j: int, n: int) -> bool:
         """Whether n code points from i equal the other's from j."""
         if n < 0 or i + n > self.n or j + n > other.n:
             return False
         shift = powers(max(self.n, other.n) + 1)
-        for a, b, p, q in zip(self.sums, other.sums, shift, PRIMES, strict=True):
+        for a, b, (p, _), q in zip(self.sums, other.sums, shift, PRIMES, strict=True):
             x, y = (int(a[i + n]) - int(a[i])) % q, (int(b[j + n]) - int(b[j])) % q
             if x * int(p[max(0, j - i)]) % q != y * int(p[max(0, i - j)]) % q:
                 return False
@@ -90,55 +103,116 @@ class Prefix:
         return low
 
 
-def cell_of(n: int) -> int:
-    return 1 << max(0, math.ceil(math.log2(n / CELLS))) if n > CELLS else 1
+def level_of(n: int) -> int:
+    """The power of two that anchors' hashes are multiples of."""
+    return max(LEAST.bit_length() - 1, math.ceil(math.log2(n / CELLS)) if n > CELLS else 0)
+
+
+def _moved(high: np.ndarray, low: np.ndarray, start: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of spans as if they began at 0, from prefix hashes at their ends."""
+    inverse, q = powers(int(start.max(initial=0)) + 1)[k][1], np.uint64(PRIMES[k])
+    return (high + q - low) % q * inverse[start] % q
+
 
+@dataclass
+class Print:
+    """n: code points of the text; at: the anchors and n; sums: the prefix hashes there; level: how many times two divides an anchor's hash."""
 
-def hashes(points: np.ndarray) -> np.ndarray:
-    """Joint prefix hashes at the cells' ends and the end of the text, as 64-bit numbers."""
-    if not len(points):
-        return np.zeros(0, dtype=np.uint64)
-    starts = np.arange(0, len(points), cell_of(len(points)))
-    a, b = (np.cumsum(np.add.reduceat(x, starts)) % np.uint64(q) for x, q in zip(_terms(points), PRIMES, strict=True))
-    return a << np.uint64(32) | b
+    n: int
+    at: np.ndarray
+    sums: np.ndarray
+    level: np.ndarray
 
+    def coarse(self, level: int) -> Print:
+        own = self.level >= level
+        return Print(self.n, self.at[own], self.sums[:, own], self.level[own])
 
-def written(n: int, sums: np.ndarray) -> str:
-    return f"{n:x}." + sums.astype(">u8").tobytes().hex()
+    def cells(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where the cells begin, with the end of the last, and their hashes, free of the place."""
+        edge = np.append(0, self.at)
+        sums = np.concatenate([np.zeros((2, 1), dtype=np.uint64), self.sums], axis=1)
+        a, b = (_moved(sums[k, 1:], sums[k, :-1], edge[:-1], k) for k in range(2))
+        return edge, a << np.uint64(32) | b
 
+    def span(self, i: int, j: int, k: int) -> int:
+        """The hash of cells i to j - 1 times the base to where they begin."""
+        low = int(self.sums[k, i - 1]) if i else 0
+        return (int(self.sums[k, j - 1]) - low) % PRIMES[k]
 
-def parsed(fingerprint: str) -> tuple[int, np.ndarray]:
+
+def made(text: str | None) -> Print:
+    points = code_points(text or "")
+    n = len(points)
+    sums = prefix_hashes(points)
+    at, level = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint8)
+    if n > WINDOW:
+        window = S.mix(_moved(sums[0][WINDOW:-1], sums[0][: n - WINDOW], np.arange(n - WINDOW), 0))
+        at = np.flatnonzero(window & np.uint64((1 << level_of(n)) - 1) == 0)
+        low = window[at] & (~window[at] + np.uint64(1))
+        at, level = at + WINDOW, np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.uint8)
+    if n:
+        at, level = np.append(at, n), np.append(level, np.uint8(_END))
+    return Print(n, at, np.stack([x[at] for x in sums]), level)
+
+
+def written(p: Print) -> str:
+    """The length in hexadecimal, and anchors, levels and prefix hashes as little-endian numbers in base64."""
+    parts = p.at.astype("<u4"), p.level, p.sums[0].astype("<u4"), p.sums[1].astype("<u4")
+    return f"{p.n:x}." + base64.b64encode(b"".join(x.tobytes() for x in parts)).decode()
+
+
+def parsed(fingerprint: str) -> Print:
     n, _, rest = fingerprint.partition(".")
-    return int(n, 16), np.frombuffer(bytes.fromhex(rest), dtype=">u8").astype(np.uint64)
+    raw = base64.b64decode(rest)
+    k = len(raw) // 13
+    at, a, b = (np.frombuffer(raw, dtype="<u4", count=k, offset=x).astype(kind) for x, kind in ((0, np.int64), (5 * k, np.uint64), (9 * k, np.uint64)))
+    return Print(int(n, 16), at, np.stack([a, b]), np.frombuffer(raw, dtype=np.uint8, count=k, offset=4 * k))
 
 
 def fingerprint(text: str | None) -> str:
-    return written(len(text or ""), hashes(code_points(text or "")))
+    return written(made(text))
+
 
+def _same_run(x: Print, i: int, u: np.ndarray, y: Print, j: int, v: np.ndarray, n: int) -> bool:
+    """Whether n cells of x from i and of y from j hold the same; u, v: where cells begin."""
+    if u[i + n] - u[i] != v[j + n] - v[j]:
+        return False
+    far = powers(max(int(u[i]), int(v[j])) + 1)
+    return all(x.span(i, i + n, k) * int(far[k][0][v[j]]) % PRIMES[k] == y.span(j, j + n, k) * int(far[k][0][u[i]]) % PRIMES[k] for k in range(2))
 
-def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
-    """Code points in equal cells at equal places, as a share of the longer text, from fingerprints alone.
 
-    The common prefix ends where a binary search over the prefix hashes says; behind it each cell of
-    the coarser of the two grids is compared by the difference of its prefix hashes.
-    """
-    (n, x), (m, y) = a, b
-    if not n or not m:
-        return 1.0 if n == m else 0.0
-    if n == m and x[-1] == y[-1]:
+def likeness(a: Print, b: Print) -> float:
+    """Code points in common runs of cells, each cell in one run, as a share of the longer text."""
+    if not a.n or not b.n:
+        return 1.0 if a.n == b.n else 0.0
+    if a.n == b.n and (a.sums[:, -1] == b.sums[:, -1]).all():
         return 1.0
-    grid = max(cell_of(n), cell_of(m))
-    k = min(n, m) // grid
-    x, y = (np.concatenate([np.zeros(1, dtype=np.uint64), s[grid // cell_of(c) - 1 :: grid // cell_of(c)][:k]]) for s, c in ((x, n), (y, m)))
-    low, high = 0, k
-    while low < high:
-        mid = (low + high + 1) // 2
-        low, high = (mid, high) if x[mid] == y[mid] else (low, mid - 1)
-    equal = np.ones(k - low, dtype=bool)
-    for shift, q in ((np.uint64(32), PRIMES[0]), (np.uint64(0), PRIMES[1])):
-        u, v = ((s[low:] >> shift & np.uint64(0xFFFFFFFF)).astype(np.int64) for s in (x, y))
-        equal &= (np.diff(u) - np.diff(v)) % q == 0
-    return float((low + int(equal.sum())) * grid / max(n, m))
+    if (a.n, *a.sums[:, -1].tolist()) > (b.n, *b.sums[:, -1].tolist()):
+        a, b = b, a  # the same either way
+    level = max(level_of(a.n), level_of(b.n))
+    x, y = a.coarse(level), b.coarse(level)
+    (u, p), (v, q) = x.cells(), y.cells()
+    places: dict[int, list[int]] = {}
+    for j in np.flatnonzero(np.isin(q, p)).tolist()[::-1]:
+        places.setdefault(int(q[j]), []).append(j)
+    taken = np.zeros(len(q) + 1, dtype=bool)
+    taken[-1] = True
+    i = common = 0
+    while places and i < len(p):
+        free = places.get(int(p[i]), [])
+        while free and taken[free[-1]]:
+            free.pop()
+        n = 0
+        if free:
+            j = free.pop()
+            n, high = 1, min(len(p) - i, int(np.argmax(taken[j:])))
+            while n < high:
+                mid = (n + high + 1) // 2
+                n, high = (mid, high) if _same_run(x, i, u, y, j, v, mid) else (n, mid - 1)
+            taken[j : j + n] = True
+            common += int(u[i + n] - u[i])
+        i += max(1, n)
+    return common / max(a.n, b.n)
 
 
 def _in_order(docs: DataFrame) -> DataFrame:
@@ -166,11 +240,11 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
-    def row(doc_id: int | None, text: str, own: tuple[int, np.ndarray], following: str, theirs: tuple[int, np.ndarray]) -> tuple:
+    def row(doc_id: int | None, text: str, own: Print, following: str, theirs: Print) -> tuple:
         half = len(text) // 2
         edited = text[: len(text) - half] + following[:half]
-        new = len(edited), hashes(code_points(edited))
-        return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), written(*own), written(*new), likeness(own, new), likeness(own, theirs)
+        new = made(edited)
+        return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), written(own), written(new), likeness(own, new), likeness(own, theirs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
@@ -181,10 +255,10 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
                 if ended:
                     continue
                 text, ended = text.as_py(), guest.as_py()
-                prints = len(text), hashes(code_points(text))
+                own = made(text)
                 if held:
-                    out.append(row(*held, text, prints))
-                held = doc_id.as_py(), text, prints
+                    out.append(row(*held, text, own))
+                held = doc_id.as_py(), text, own
             columns = zip(*out, strict=True) if out else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names)
 

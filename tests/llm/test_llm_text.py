@@ -7,6 +7,7 @@ import bz2
 import collections
 import gzip
 import hashlib
+import itertools
 import lzma
 import random
 import re
@@ -196,7 +197,40 @@ def test_likeness(a, b):
     assert 0 <= near <= 1 and near == fingerprints.likeness(y, x) and fingerprints.likeness(x, x) == 1
     assert (fingerprints.fingerprint(a) == fingerprints.fingerprint(b)) == (a == b)
     both = fingerprints.parsed(fingerprints.fingerprint(a + b))
-    assert not a or fingerprints.likeness(x, both) >= (len(a) - fingerprints.cell_of(len(a + b))) / len(a + b)
+    shared = x.coarse(fingerprints.level_of(len(a + b))).at[:-1]
+    assert not len(shared) or fingerprints.likeness(x, both) >= shared[-1] / len(a + b) - 1e-12
+    assert near == pytest.approx(likeness_by_hand(a, b))
+
+
+def likeness_by_hand(a: str, b: str) -> float:
+    """Equal cells as strings, each counted as often as both texts have it."""
+    if a == b or not a or not b:
+        return float(a == b)
+    level = max(fingerprints.level_of(len(a)), fingerprints.level_of(len(b)))
+    cells = []
+    for t in (a, b):
+        at = [0, *fingerprints.made(t).coarse(level).at.tolist()]
+        cells.append(collections.Counter(t[i:j] for i, j in itertools.pairwise(at)))
+    return sum(len(c) * n for c, n in (cells[0] & cells[1]).items()) / max(len(a), len(b))
+
+
+@pytest.mark.parametrize("n", [150, 1200, 5000, 80_000])
+def test_likeness_of_edited_prose(n):
+    r = random.Random(n)
+    words = ["".join(r.choices("abcdefghijklmnopq", k=r.randint(2, 9))) for _ in range(n // 6)]
+    text, other = " ".join(words), " ".join(r.sample(words, len(words) // 2) * 2)
+    own, got = fingerprints.made(text), []
+    for _ in range(40):
+        k = r.randrange(len(text))
+        edited = text[:k] + r.choice(["x", "", "two new words"]) + text[k + r.randrange(2) :]
+        got.append(fingerprints.likeness(own, fingerprints.parsed(fingerprints.fingerprint(edited))))
+        assert got[-1] == pytest.approx(likeness_by_hand(text, edited))
+    moved = text[len(text) // 3 :] + text[: len(text) // 3]
+    assert fingerprints.likeness(own, fingerprints.made(moved)) >= (0.5 if n < 1000 else 0.9)
+    assert np.mean(got) >= (0.8 if n < 1000 else 0.95)
+    if n == 5000:
+        assert fingerprints.likeness(own, fingerprints.made("x" + text)) >= 0.9
+    assert fingerprints.likeness(own, fingerprints.made(other)) < 0.35
 
 
 @pytest.fixture(scope="module")
