@@ -1,10 +1,12 @@
 """Toxicity by the nearest labelled examples in exact TF-IDF cosine, over a block-max inverted index.
 
 Terms are lower-case words of letters and their first 3 to 6 letters, so one entry covers a stem
-with many endings. Terms count that occur in at least `least_df` examples and go with the label
-(chi-square and share of toxic examples). Examples with such terms are indexed: postings by term, in blocks of
-examples with the largest weight of each block. A query takes the blocks by falling upper bound and
-stops when no block left can reach the k-th best, so its k nearest are exact. The neighbours
+with many endings. Every term that occurs in at least `least_df` examples counts, and examples of both labels are
+indexed. A term weighs (1 + ln count) * idf * (chi-square with the label + 0.05) ** `told`: the last factor is what a
+labelled collection adds to TF-IDF; it is small for terms that say nothing of the label and never 0. Postings lie
+by term, in blocks of examples with the largest weight of each block; the few most common terms, which nearly all examples
+have, lie in a dense matrix. A query scores the blocks of highest upper bound, then all others
+whose bound reaches the k-th best, so its k nearest are exact; among equal cosines the earlier example wins. The neighbours
 vote by squared cosine against a constant, so far ones hardly count; leave-one-out votes on the
 examples calibrate the vote to a share (isotonic).
 
@@ -17,7 +19,6 @@ empty tables; extra columns don't matter. Very long texts are read whole.
 
 from __future__ import annotations
 
-import heapq
 import itertools
 import re
 from collections import Counter
@@ -37,14 +38,12 @@ _CACHE_WORDS = 300_000
 
 @dataclass(frozen=True)
 class Settings:
-    max_examples: int = 16_000
-    max_terms: int = 4096
+    max_examples: int = 3_000
     least_df: int = 5
-    least_chi: float = 36.0
-    least_share: float = 0.5
+    told: float = 0.35
     k: int = 15
     far: float = 1.0
-    block: int = 64
+    block: int = 128
     seed: int = 5
 
 
@@ -57,50 +56,79 @@ def terms_of(word: str) -> list[str]:
     return out
 
 
+Vector = tuple[np.ndarray, np.ndarray]
+
+
+def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The numbers from each first to before its last, end to end."""
+    size = last - first
+    at = np.cumsum(size) - size
+    return np.repeat(first - at, size) + np.arange(int(size.sum()))
+
+
 class Index:
-    """Unit vectors of examples by term, in blocks."""
+    """Unit vectors (terms, weights) of examples by term, in blocks; the most common terms in a matrix."""
+
+    #: Terms in the matrix; blocks scored before the bound is first used.
+    DENSE, FIRST = 512, 4
 
-    def __init__(self, rows: list[dict[int, float]], labels: list[int], names: list[int | None], block: int) -> None:
-        order = sorted(range(len(rows)), key=lambda i: (labels[i], max(rows[i], key=lambda t: (rows[i][t], t)), i))
+    def __init__(self, rows: list[Vector], labels: list[int], names: list[int | None], block: int, n_terms: int) -> None:
+        order = sorted(range(len(rows)), key=lambda i: (labels[i], int(rows[i][0][rows[i][1].argmax()]), i))
         self.rows = [rows[i] for i in order]
         self.labels = np.array([labels[i] for i in order], dtype=np.int64)
         self.names = [names[i] for i in order]
-        self.block = block
-        self.n_blocks = -(-len(rows) // block)
-        found: dict[int, list[tuple[int, float]]] = {}
-        for i, row in enumerate(self.rows):
-            for t, w in row.items():
-                found.setdefault(t, []).append((i, w))
-        self.postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
-        for t, pairs in found.items():
-            at = np.array([i for i, _ in pairs], dtype=np.int64)
-            weight = np.array([w for _, w in pairs])
-            blocks, first = np.unique(at // block, return_index=True)
-            self.postings[t] = at, weight, blocks, np.append(first, len(at)), np.maximum.reduceat(weight, first)
-
-    def nearest(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
-        """The k examples of largest cosine above 0, (cosine, example), ties to the lower number."""
-        bound = np.zeros(self.n_blocks)
-        parts = [(q, *self.postings[t]) for t, q in sorted(query.items()) if t in self.postings]
-        for q, _, _, blocks, _, most in parts:
-            bound[blocks] += q * most
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[0][0] - 1e-9:
-                break
-            score = np.zeros(self.block)
-            for q, at, weight, blocks, first, _ in parts:
-                j = int(np.searchsorted(blocks, b))
-                if j < len(blocks) and blocks[j] == b:
-                    own = slice(first[j], first[j + 1])
-                    score[at[own] - b * self.block] += q * weight[own]
-            for i in np.flatnonzero(score > 0).tolist():
-                item = (float(score[i]), -(b * self.block + i))
-                if len(best) < k:
-                    heapq.heappush(best, item)
-                elif item > best[0]:
-                    heapq.heapreplace(best, item)
-        return [(s, -i) for s, i in sorted(best, reverse=True)]
+        n = len(rows)
+        self.of_block = np.arange(n) // block
+        self.starts = np.arange(0, n, block)
+        term = np.concatenate([t for t, _ in self.rows])
+        at = np.repeat(np.arange(n), [len(t) for t, _ in self.rows])
+        weight = np.concatenate([w for _, w in self.rows])
+        common = np.argsort(-np.bincount(term, minlength=n_terms), kind="stable")[: self.DENSE]
+        self.column = np.full(n_terms, -1)
+        self.column[common] = np.arange(len(common))
+        own = self.column[term] >= 0
+        self.matrix = np.zeros((len(common), n))
+        self.matrix[self.column[term[own]], at[own]] = weight[own]
+        term, at, weight = term[~own], at[~own], weight[~own]
+        order = np.lexsort((at, term))
+        term, self.at, self.weight = term[order], at[order].astype(np.int32), weight[order]
+        both = term * len(self.starts) + self.of_block[self.at]
+        lists, self.first = np.unique(both, return_index=True)
+        self.blocks = lists % len(self.starts)
+        self.most = np.maximum.reduceat(self.weight, self.first) if len(lists) else np.zeros(0)
+        self.first = np.append(self.first, len(both))
+        self.lists = np.searchsorted(lists // len(self.starts), np.arange(n_terms + 1))
+
+    def _best(self, terms: np.ndarray, q: np.ndarray, start: np.ndarray, most: np.ndarray, k: int) -> Vector:
+        """Cosines above 0 and numbers of the k nearest; start: what the matrix gives each example, most: its largest by block."""
+        own = _ranges(self.lists[terms], self.lists[terms + 1])
+        weight = np.repeat(q, self.lists[terms + 1] - self.lists[terms])
+        blocks = self.blocks[own]
+        bound = most + np.bincount(blocks, weight * self.most[own], len(most))
+        done = np.zeros(len(most), dtype=bool)
+        done[np.argsort(-bound, kind="stable")[: self.FIRST]] = True
+        todo, score, found = done.copy(), start.copy(), np.zeros(0, dtype=np.int64)
+        while todo.any():
+            some = todo[blocks]
+            at, z = own[some], weight[some]
+            rows = _ranges(self.first[at], self.first[at + 1])
+            score += np.bincount(self.at[rows], np.repeat(z, self.first[at + 1] - self.first[at]) * self.weight[rows], len(score))
+            found = np.flatnonzero(done[self.of_block] & (score > 0))
+            least = np.partition(score[found], -k)[-k] if len(found) >= k else 0.0
+            todo = (bound >= least - 1e-9) & (bound > 0) & ~done
+            done |= todo
+        found = found[np.lexsort((found, -score[found]))[:k]]
+        return score[found], found
+
+    def nearest(self, queries: list[Vector], k: int) -> list[Vector]:
+        q = np.zeros((len(queries), len(self.matrix)))
+        for i, (t, w) in enumerate(queries):
+            own = self.column[t] >= 0
+            q[i, self.column[t[own]]] = w[own]
+        start = q @ self.matrix
+        most = np.maximum.reduceat(start, self.starts, axis=1)
+        rest = [self.column[t] < 0 for t, _ in queries]
+        return [self._best(t[r], w[r], s, m, k) for (t, w), r, s, m in zip(queries, rest, start, most, strict=True)]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,64 +149,63 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    def __init__(self, terms: dict[str, int], idf: np.ndarray, settings: Settings) -> None:
-        self.terms, self.idf, self.k, self.far = terms, idf, settings.k, settings.far
+    def __init__(self, terms: dict[str, int], weight: np.ndarray, settings: Settings) -> None:
+        self.terms, self.weight, self.k, self.far = terms, weight, settings.k, settings.far
         self.none = 0.0
         self.index: Index | None = None
         self.knots: tuple[np.ndarray, np.ndarray] | None = None
         self._words: dict[str, tuple[int, ...]] = {}
-        self._known: dict[tuple, tuple[float, str]] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_words": {}, "_known": {}}
+        return self.__dict__ | {"_words": {}}
 
     def _learn(self, word: str) -> tuple[int, ...]:
         got = self._words[word] = tuple(self.terms[t] for t in terms_of(word) if t in self.terms)
         return got
 
-    def counts(self, text: str) -> dict[int, int]:
+    def counts(self, text: str) -> Vector:
+        """The terms of a text, ascending, and how often each occurs."""
         get, learn = self._words.get, self._learn
         words = text.split()
         hits = [c if c is not None else learn(w) for w, c in zip(words, map(get, words), strict=True)]
         if len(self._words) > _CACHE_WORDS:
             self._words = {}
-        return Counter(itertools.chain.from_iterable(h for h in hits if h))
+        return np.unique(np.fromiter(itertools.chain.from_iterable(hits), dtype=np.int64), return_counts=True)
 
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        raw = {t: (1 + np.log(n)) * self.idf[t] for t, n in counts.items()}
-        norm = np.sqrt(sum(w * w for w in raw.values()))
-        return {t: float(w / norm) for t, w in raw.items()}
+    def vector(self, counts: Vector) -> Vector:
+        raw = (1 + np.log(counts[1])) * self.weight[counts[0]]
+        return counts[0], raw / np.sqrt((raw * raw).sum())
 
-    def vote(self, near: list[tuple[float, int]]) -> float:
-        return sum(s * s * int(self.index.labels[i]) for s, i in near) / (sum(s * s for s, _ in near) + self.far)
+    def vote(self, near: Vector) -> float:
+        square = near[0] ** 2
+        return float((square * self.index.labels[near[1]]).sum() / (square.sum() + self.far))
 
-    def fit(self, rows: list[tuple[int | None, int, dict[int, int]]], n_none: int, toxic_none: int, block: int) -> Model:
+    def fit(self, rows: list[tuple[int | None, int, Vector]], n_none: int, toxic_none: int, block: int) -> Model:
         self.none = toxic_none / n_none if n_none else 0.0
         if rows:
-            self.index = Index([self.vector(c) for _, _, c in rows], [y for _, y, _ in rows], [d for d, _, _ in rows], block)
+            self.index = Index([self.vector(c) for _, _, c in rows], [y for _, y, _ in rows], [d for d, _, _ in rows], block, len(self.terms))
             votes, labels = [], []
-            for i, row in enumerate(self.index.rows):
-                near = [x for x in self.index.nearest(row, self.k + 1) if x[1] != i][: self.k]
-                if near:
-                    votes.append(self.vote(near))
-                    labels.append(int(self.index.labels[i]))
+            for at in range(0, len(rows), 64):
+                for i, (score, near) in enumerate(self.index.nearest(self.index.rows[at : at + 64], self.k + 1), at):
+                    others = near != i
+                    if others.any():
+                        votes.append(self.vote((score[others][: self.k], near[others][: self.k])))
+                        labels.append(int(self.index.labels[i]))
             self.knots = isotonic(np.array(votes), np.array(labels)) if votes else None
         return self
 
-    def score(self, text: str) -> tuple[float, str]:
+    def score(self, texts: list[str]) -> list[tuple[float, str]]:
         """Share of toxic texts among those with such neighbours, and the three nearest as doc_id:cosine:label."""
-        counts = self.counts(text)
-        if not counts or self.index is None or self.knots is None:
-            return self.none, ""
-        key = tuple(sorted(counts.items()))
-        if (got := self._known.get(key)) is None:
-            near = self.index.nearest(self.vector(counts), self.k)
-            seen = ",".join(f"{self.index.names[i]}:{s:.4f}:{self.index.labels[i]}" for s, i in near[:3])
-            got = (float(np.interp(self.vote(near), *self.knots)), seen) if near else (self.none, "")
-            if len(self._known) > 50_000:
-                self._known = {}
-            self._known[key] = got
-        return got
+        out = [(self.none, "")] * len(texts)
+        if self.index is None or self.knots is None:
+            return out
+        counts = [self.counts(t) for t in texts]
+        some = [i for i, (t, _) in enumerate(counts) if len(t)]
+        for i, near in zip(some, self.index.nearest([self.vector(counts[i]) for i in some], self.k) if some else [], strict=True):
+            if len(near[0]):
+                seen = ",".join(f"{self.index.names[j]}:{s:.4f}:{self.index.labels[j]}" for s, j in zip(near[0][:3].tolist(), near[1][:3].tolist(), strict=True))
+                out[i] = float(np.interp(self.vote(near), *self.knots)), seen
+        return out
 
 
 def sampled(docs: DataFrame, labels: DataFrame, label: str, usable: Column, n: int, seed: int) -> DataFrame:
@@ -224,24 +251,23 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, settings: Settings =
         return model
     a, b, p, q = F.col("toxic"), F.col("n") - F.col("toxic"), F.lit(positive), F.lit(total - positive)
     chi = F.lit(total) * (a * (q - b) - b * (p - a)) ** 2 / ((a + b) * (F.lit(total) - a - b) * p * q)
-    told = sums.where((F.col("term") != "") & (F.col("n") < total)).withColumn("chi", chi).where((F.col("chi") >= settings.least_chi) & (a / F.col("n") >= settings.least_share))
-    kept = told.orderBy(F.desc("chi"), "term").limit(settings.max_terms).collect()
-    terms = {r.term: i for i, r in enumerate(kept)}
-    idf = np.array([1 + np.log((1 + total) / (1 + r.n)) for r in kept])
-    model = Model(terms, idf, settings)
+    known = sums.where((F.col("term") != "") & (F.col("n") < total)).withColumn("chi", chi).orderBy("term").toPandas()
+    terms = {t: i for i, t in enumerate(known["term"].tolist())}
+    idf = 1 + np.log((1 + total) / (1 + known["n"].to_numpy()))
+    model = Model(terms, idf * (known["chi"].to_numpy() + 0.05) ** settings.told, settings)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for d, text, y in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                c = model.counts(text.as_py())
-                rows.append((d, y, list(c), list(c.values())))
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                t, c = model.counts(text.as_py())
+                rows.append((d, y, t.astype("<i4").tobytes(), c.astype("<i4").tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
             columns = zip(*rows, strict=True) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["doc_id", "label", "t", "c"])
 
-    rows = map_arrow(examples, vectors, "doc_id long, label long, t array<long>, c array<long>").collect()
-    some = [(r.doc_id, r.label, dict(zip(r.t, r.c, strict=True))) for r in sorted(rows, key=lambda r: r.doc_id) if r.t]
+    rows = map_arrow(examples, vectors, "doc_id long, label long, t binary, c binary").collect()
+    some = [(r.doc_id, r.label, tuple(np.frombuffer(x, dtype="<i4").astype(np.int64) for x in (r.t, r.c))) for r in sorted(rows, key=lambda r: r.doc_id) if r.t]
     bare = [r.label for r in rows if not r.t]
     return model.fit(some, len(bare), sum(bare), settings.block)
 
@@ -251,7 +277,9 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [model.score(x.as_py() or "") for x in b.column(1)]
+            got = []
+            for at in range(0, b.num_rows, 64):
+                got += model.score([x or "" for x in b.column(1).slice(at, 64).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s for s, _ in got], pa.float64()), pa.array([e for _, e in got], pa.string())], ["doc_id", "score", "evidence"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, score double, evidence string")

@@ -326,17 +326,63 @@ def test_rules_compile_to_what_they_predict(spark):
     assert np.allclose(model.predict(x), [r.score for r in rows]) and 0 < len(model.rules) < 100
 
 
-def test_block_max_search_is_exact():
-    r = random.Random(6)
-    rows = [{t: r.random() for t in r.sample(range(30), r.randint(1, 6))} for _ in range(400)]
-    rows = [{t: w / sum(x * x for x in v.values()) ** 0.5 for t, w in v.items()} for v in rows]
-    index = toxicity.Index(rows, [r.randint(0, 1) for _ in rows], list(range(400)), 16)
-    for _ in range(100):
-        q = {t: r.random() for t in r.sample(range(35), 4)}
-        want = sorted(((sum(w * row.get(t, 0) for t, w in sorted(q.items())), -i) for i, row in enumerate(index.rows)), reverse=True)[:10]
-        want = [(s, -i) for s, i in want if s > 0]
-        got = index.nearest(q, 10)
-        assert [i for _, i in got] == [i for _, i in want] or np.allclose([s for s, _ in got], [s for s, _ in want])
+def test_block_max_search_is_exact(monkeypatch):
+    monkeypatch.setattr(toxicity.Index, "DENSE", 3)
+    r = np.random.default_rng(6)
+
+    def unit(n: int) -> tuple:
+        t = np.sort(r.choice(40, n, replace=False))
+        w = r.random(n) + 0.01
+        return t, w / np.sqrt((w * w).sum())
+
+    rows = [unit(r.integers(1, 8)) for _ in range(400)]
+    rows += rows[:30]  # ties
+    index = toxicity.Index(rows, r.integers(0, 2, len(rows)).tolist(), list(range(len(rows))), 16, 40)
+    full = np.zeros((len(rows), 40))
+    for i, (t, w) in enumerate(index.rows):
+        full[i, t] = w
+    queries = [unit(4) for _ in range(100)]
+    for (t, w), (score, near) in zip(queries, index.nearest(queries, 10), strict=True):
+        q = np.zeros(40)
+        q[t] = w
+        want = full @ q
+        assert np.allclose(score, np.sort(want)[::-1][:10][np.sort(want)[::-1][:10] > 0]) and np.allclose(want[near], score) and len(set(near.tolist())) == len(near)
+
+
+def test_toxicity_against_plain_python(spark):
+    """The whole operator: terms, weights, neighbours, votes and calibration."""
+    docs, labels = labelled(spark)
+    own = toxicity.Settings(k=7)
+    got = {r.doc_id: r.score for r in toxicity.score_documents(docs, toxicity.fit(docs, labels, F.col("doc_id") < 500, own)).collect()}
+    label = collections.defaultdict(int)
+    for r in labels.collect():
+        if r.toxic is not None and r.doc_id < 500:
+            label[r.doc_id] = max(label[r.doc_id], r.toxic)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    counted = {d: collections.Counter(t for w in x.split() for t in toxicity.terms_of(w)) for d, x in texts.items()}
+    n, toxic, total = collections.Counter(), collections.Counter(), len(label)
+    for d, y in label.items():
+        n.update(set(counted[d]))
+        toxic.update(set(counted[d]) if y else ())
+    positive, weight = sum(label.values()), {}
+    for t, c in n.items():
+        if 5 <= c < total:
+            a, b, q = toxic[t], c - toxic[t], total - positive
+            chi = total * (a * (q - b) - b * (positive - a)) ** 2 / (c * (total - c) * positive * q)
+            weight[t] = (1 + np.log((1 + total) / (1 + c))) * (chi + 0.05) ** own.told
+    vectors = {}
+    for d, c in counted.items():
+        raw = {t: (1 + np.log(k)) * weight[t] for t, k in c.items() if t in weight}
+        norm = np.sqrt(sum(w * w for w in raw.values()))
+        vectors[d] = {t: w / norm for t, w in raw.items()}
+
+    def vote(d: int) -> float:
+        near = sorted(((sum(w * vectors[e].get(t, 0.0) for t, w in vectors[d].items()), e) for e in label if e != d or d not in label), reverse=True)[: own.k]
+        return sum(s * s * label[e] for s, e in near) / (sum(s * s for s, _ in near) + own.far)
+
+    knots = toxicity.isotonic(np.array([vote(d) for d in sorted(label)]), np.array([label[d] for d in sorted(label)]))
+    for d in range(500, 620):
+        assert got[d] == pytest.approx(float(np.interp(vote(d), *knots)), abs=1e-6)
 
 
 def test_main_text_of_pages(spark, sf_dir):
