@@ -3,8 +3,8 @@
 A file holds whole documents in ascending doc_id order. Ids are cut into blocks of BLOCK. A block
 stores its least id, the other ids as differences to it in a fixed number of bits, and the
 differences that need more bits in an exception list of positions and values. The number of bits is
-what the given percentile of the block's differences needs. An index gives each block's first byte, so a
-reader can decode any block alone. All numbers are little-endian:
+what the given percentile of the block's differences needs. An index gives each block's first byte, so
+read_document() decodes the blocks of one document alone. All numbers are little-endian:
 
     magic 8 bytes | n_docs u32 | n_ids u64 | n_blocks u32
     doc_id i64 * n_docs | doc_id is null u8 * n_docs | ids of the document u32 * n_docs
@@ -140,6 +140,34 @@ def from_bytes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return got[0], got[1], got[2], unpack_ids(got[3], data, int(head["ids"]))
 
 
+def block_ids(raw: pa.NativeFile, first: int, last: int) -> np.ndarray:
+    """The ids first to last - 1 of an open file, of which only the head, two places of the index and their blocks are read."""
+    head = np.frombuffer(raw.read_at(HEAD.itemsize, 0), dtype=HEAD)[0]
+    if head["magic"] != MAGIC:
+        raise ValueError("not a token file")
+    n, blocks = int(head["docs"]), int(head["blocks"])
+    if not 0 <= first <= last <= int(head["ids"]):
+        raise IndexError("no such ids")
+    if first == last:
+        return np.zeros(0, dtype=np.uint32)
+    a, z = first // BLOCK, -(-last // BLOCK)
+    index = HEAD.itemsize + 13 * n
+    at = np.frombuffer(raw.read_at(8 * (z - a + 1), index + 8 * a), dtype="<u8")
+    data = np.frombuffer(raw.read_at(int(at[-1] - at[0]), index + 8 * (blocks + 1) + int(at[0])), dtype=np.uint8)
+    return unpack_ids(at - at[0], data, (z - a) * BLOCK)[first - a * BLOCK : last - a * BLOCK]
+
+
+def read_document(uri: str, number: int) -> np.ndarray:
+    """The ids of the number-th document of a file, by the index of blocks: the lengths before it and its own blocks are read."""
+    fs, path = pafs.FileSystem.from_uri(uri)
+    with fs.open_input_file(path) as f:
+        n = int(np.frombuffer(f.read_at(HEAD.itemsize, 0), dtype=HEAD)[0]["docs"])
+        if not 0 <= number < n:
+            raise IndexError("no such document")
+        lengths = np.frombuffer(f.read_at(4 * (number + 1), HEAD.itemsize + 9 * n), dtype="<u4").astype(np.int64)
+        return block_ids(f, int(lengths[:-1].sum()), int(lengths.sum()))
+
+
 def _put(uri: str, data: bytes) -> None:
     """Whole files only: written beside, then moved, so a task that runs again does no harm."""
     fs, path = pafs.FileSystem.from_uri(uri)

@@ -3,12 +3,17 @@
 Texts are split at white space, which the tokenizer drops and no token spans, so a word's ids don't
 depend on its neighbours. A new word of printable ASCII and Latin-1 letters is lowered, taken apart as
 the tokenizer's pattern does and given to the tokenizer's model; any other new word goes through the
-whole tokenizer. The cache is bounded: when it is full, words seen only once or twice go.
+whole tokenizer. The cache is bounded: when it is full, words seen only once or twice go. A file whose normalizer or
+pattern is another one (see _KNOWN) has no such words, so its texts go to the tokenizer whole.
+
+encoded() takes null texts as empty, gives each row its ids whether or not rows repeat, splits no text however long, and
+gives nothing for an empty column.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
 from collections.abc import Iterator, Sequence
@@ -41,9 +46,27 @@ def _byte_letters() -> dict[int, str]:
 _BYTES = _byte_letters()
 _LETTERS = {c: "".join(_BYTES[b] for b in chr(c).encode()) for c in range(0x80, 0x100)}
 
+#: The pipeline that words are taken apart like, as the tokenizers library writes it.
+_KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
 _encoders: dict[str, Encoder] = {}
 
 
+def known(raw: str) -> bool:
+    """Whether a tokenizer (as JSON) has the known pipeline, and added tokens that are written with '<|'."""
+    own = json.loads(raw)
+    return all(own.get(k) == v for k, v in _KNOWN.items()) and own["model"].get("type") == "BPE" and all(t["content"].startswith("<|") for t in own.get("added_tokens") or ())
+
+
 def words_of(text: str) -> list[str]:
     if any(c in text for c in _ODD):
         return [w for w in _SPLIT.split(text) if w]
@@ -57,6 +80,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.by_words = known(self.tokenizer.to_str())
         self.index: dict[str, int] = {}
         self.parts: dict[str, tuple[int, ...]] = {}
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
@@ -85,6 +109,9 @@ class Encoder:
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and their n + 1 offsets."""
+        if not self.by_words:
+            coded = [c.ids for c in self.tokenizer.encode_batch(list(texts), add_special_tokens=False)]
+            return np.fromiter(itertools.chain.from_iterable(coded), dtype=np.uint32), np.append(0, np.cumsum([len(c) for c in coded], dtype=np.int64))
         words: list[str] = []
         ends = np.zeros(len(texts) + 1, dtype=np.int64)
         for k, text in enumerate(texts):

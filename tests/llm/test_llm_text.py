@@ -263,6 +263,27 @@ def test_frame_of_reference_round_trip(ids, percentile):
     assert got[3].tolist() == ids and got[0].tolist() == [7] and got[2].tolist() == [len(x)]
 
 
+def test_one_document_by_the_index_of_blocks(tmp_path):
+    r = random.Random(8)
+    docs = [[r.randrange(1 << r.choice([3, 9, 31])) for _ in range(n)] for n in (0, 1, 255, 256, 257, 5000, 3, 0, 700)]
+    flat = np.array([x for d in docs for x in d], dtype=np.uint32)
+    path = tmp_path / "x.pfor"
+    path.write_bytes(pfor.to_bytes(np.arange(len(docs)), np.zeros(len(docs), dtype=bool), np.array([len(d) for d in docs]), flat))
+    assert [pfor.read_document(f"file://{path}", k).tolist() for k in range(len(docs))] == docs
+    with pytest.raises(IndexError):
+        pfor.read_document(f"file://{path}", len(docs))
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_any_tokenizer_gives_its_own_ids(name):
+    own = tokens.Encoder(public_tokenizers.path(name))
+    texts = ["", "Hello  World\n it's", "ÄÖ é日本 x1y22", "<|endoftext|> a", LONG[:3000]]
+    ids, at = own.encode(texts)
+    assert own.by_words == (name == "word_bpe_49k.json")
+    for k, t in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_outliers_cost_little():
     x = np.arange(25_600, dtype=np.uint32) % 200
     small = len(pfor.pack_ids(x)[1])
