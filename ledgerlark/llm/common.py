@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import threading
 import uuid
@@ -103,13 +105,38 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+#: What a Python worker keeps from one task to the next, by name, and how to let go of it.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def worker_cache(name: str, forget: Callable[[], None]) -> None:
+    _kept[name] = forget
+
+
+def tidy(keep: str | None = None) -> None:
+    """Let go of what other operators keep in this worker, and give freed memory back: a worker serves all stages in turn."""
+    for name, forget in _kept.items():
+        if name != keep:
+            forget()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(
     df: DataFrame,
     fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     schema: T.StructType | str,
+    keep: str | None = None,
 ) -> DataFrame:
-    """mapInArrow() with batches of at most BATCH_BYTES, unless the session has a limit of its own."""
+    """mapInArrow() with batches of at most BATCH_BYTES, unless the session has a limit of its own; keep: the worker cache it uses."""
     conf = df.sparkSession.conf
     if conf.get(_BATCH, None) in (None, "67108864b", "67108864", "64m"):  # Spark's default
         conf.set(_BATCH, str(BATCH_BYTES))
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy(keep)
+        yield from fn(batches)
+        tidy(keep)
+
+    return df.mapInArrow(run, schema)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.llm import textscan as S
-from ledgerlark.llm.common import map_arrow, staged, staged_from
+from ledgerlark.llm.common import map_arrow, staged, staged_from, tidy
 
 
 #: Bits of the bitmap that keeps texts which are no candidates out of a shuffle.
@@ -263,6 +263,7 @@ def _between_blocks(apart: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     similarity = near.similarity
 
     def run(t: pa.Table) -> pa.Table:
+        tidy()
         t = t.combine_chunks()
         lists = pa.concat_arrays(t["shingles"].chunks)
         at = lists.offsets.to_numpy().astype(np.int64)

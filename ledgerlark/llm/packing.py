@@ -95,4 +95,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, pack: Pack = Pack()) -> Data
             yield flush()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, schema, tokens.CACHE)

@@ -211,7 +211,7 @@ def write(docs: DataFrame, tokenizer: str, end: int, to: str, form: Format = For
         if held:
             yield flush()
 
-    found = sorted((r.part, r.k, r.uri, r.n) for r in map_arrow(rows, run, "part long, k long, uri string, n long").collect())
+    found = sorted((r.part, r.k, r.uri, r.n) for r in map_arrow(rows, run, "part long, k long, uri string, n long", tokens.CACHE).collect())
     out, before = [], 0
     for _, _, uri, n_ids in found:
         out.append((uri, before))

@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from ledgerlark.llm.common import tidy, worker_cache
+
 #: Words kept by one Python worker, about 80 MB.
 CACHE_WORDS = 360_000
 #: Parts of words kept by one Python worker.
@@ -58,7 +60,13 @@ _KNOWN = {
     },
 }
 
+#: The name of the worker cache.
+CACHE = "tokens"
+#: Runs of texts after which freed memory goes back.
+_TIDY = 16
+
 _encoders: dict[str, Encoder] = {}
+worker_cache(CACHE, _encoders.clear)
 
 
 def known(raw: str) -> bool:
@@ -87,7 +95,7 @@ class Encoder:
         self.start = np.zeros(1 << 12, dtype=np.int64)
         self.length = np.zeros(1 << 12, dtype=np.int64)
         self.seen = np.zeros(1 << 12, dtype=np.int64)
-        self.used = 0
+        self.used = self.turn = 0
 
     def _shrink(self) -> None:
         """Keep the words seen three times or more; halve what they have been seen."""
@@ -179,12 +187,15 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encoded(column: pa.Array, path: str, end: int, size: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def encoded(column: pa.Array, path: str, end: int, size: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For runs of whole texts of about size bytes: the first row, all ids with end after each text, offsets."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
     sizes = np.cumsum(np.asarray(pc.binary_length(column), dtype=np.int64)) if len(column) else np.zeros(0, dtype=np.int64)
     own, first = encoder(path), 0
     while first < len(column):
+        own.turn += 1
+        if own.turn % _TIDY == 0:
+            tidy(CACHE)
         done = sizes[first - 1] if first else 0
         last = max(first + 1, int(np.searchsorted(sizes, done + size, side="right")))
         ids, at = own.encode(column.slice(first, last - first).to_pylist())
