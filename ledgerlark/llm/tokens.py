@@ -187,7 +187,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encoded(column: pa.Array, path: str, end: int, size: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def encoded(column: pa.Array, path: str, end: int, size: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For runs of whole texts of about size bytes: the first row, all ids with end after each text, offsets."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
     sizes = np.cumsum(np.asarray(pc.binary_length(column), dtype=np.int64)) if len(column) else np.zeros(0, dtype=np.int64)
