@@ -25,16 +25,19 @@ INDIA_SOURCES = (
 INDIA_PLACES = (
     "india", "भारत", "bengaluru", "bangalore", "mumbai", "delhi", "new delhi", "ncr", "gurgaon", "gurugram", "noida", "hyderabad", "chennai", "pune", "kolkata", "ahmedabad",
     "surat", "jaipur", "kochi", "cochin", "chandigarh", "bhubaneswar", "indore", "nagpur", "vadodara", "visakhapatnam", "mysore", "mysuru", "thiruvananthapuram", "trivandrum",
-    "coimbatore", "lucknow", "kanpur", "patna", "bhopal", "rajkot", "goa", "dehradun", "west bengal", "tamil nadu", "karnataka", "maharashtra", "telangana", "andhra", "gujarat",
-    "rajasthan", "uttar pradesh", "madhya pradesh", "kerala", "haryana", "bihar", "odisha", "assam", "jharkhand", "chhattisgarh", "uttarakhand", "himachal", "jammu", "kashmir",
-    "ladakh", "puducherry", "pondicherry", "vijayawada", "guwahati", "ranchi", "raipur", "madurai", "srinagar", "shimla", "imphal", "shillong", "delhi ncr",
+    "coimbatore", "lucknow", "kanpur", "patna", "bhopal", "rajkot", "goa", "manali", "dehradun", "remote - india", "remote/india", "remote (india)", "work from india", "wfo india",
+    "wfh india", "+91", "west bengal", "tamil nadu", "karnataka", "maharashtra", "telangana", "andhra", "gujarat", "rajasthan", "uttar pradesh", "madhya pradesh", "kerala",
+    "harayana", "haryana", "punjab india", "bihar", "odisha", "assam", "jharkhand", "chhattisgarh", "uttarakhand", "himachal", "arunachal", "meghalaya", "mizoram", "nagaland",
+    "tripura", "sikkim", "manipur", "jammu", "kashmir", "ladakh", "andaman", "nicobar", "puducherry", "pondicherry", "dadra", "nagar haveli", "daman", "diu", "lakshadweep",
+    "vijayawada", "guwahati", "ranchi", "raipur", "madurai", "srinagar", "shimla", "gangtok", "imphal", "shillong", "aizawl", "kohima", "agartala", "itanagar", "delhi ncr",
 )
 FOREIGN_PLACES = (
-    "united states", "usa", "us only", "us-based", "us based", "california", "new york", "texas", "washington dc", "seattle", "san francisco", "austin", "boston", "chicago",
-    "united kingdom", "uk only", "london", "england", "germany", "berlin", "munich", "france", "paris", "netherlands", "amsterdam", "spain", "madrid", "barcelona", "italy", "rome",
-    "poland", "warsaw", "portugal", "lisbon", "ireland", "dublin", "canada", "toronto", "vancouver", "montreal", "australia", "sydney", "melbourne", "brazil", "sao paulo", "mexico",
-    "singapore", "japan", "tokyo", "china", "beijing", "shanghai", "south korea", "seoul", "dubai", "uae", "saudi", "qatar", "israel", "tel aviv", "turkey", "istanbul", "nigeria",
-    "lagos", "kenya", "nairobi", "south africa", "johannesburg", "cape town", "europe", "emea", "apac", "north america", "latam", "worldwide", "global", "anywhere",
+    "united states", "usa", "u.s.a", "u.s.", "us only", "us-based", "us based", "california", "new york", "texas", "washington dc", "seattle", "san francisco", "austin", "boston",
+    "chicago", "united kingdom", "uk only", "u.k.", "london", "england", "germany", "berlin", "munich", "france", "paris", "netherlands", "amsterdam", "spain", "madrid",
+    "barcelona", "italy", "rome", "poland", "warsaw", "portugal", "lisbon", "ireland", "dublin", "canada", "toronto", "vancouver", "montreal", "australia", "sydney", "melbourne",
+    "brazil", "sao paulo", "mexico", "singapore", "japan", "tokyo", "china", "beijing", "shanghai", "south korea", "seoul", "dubai", "uae", "saudi", "qatar", "israel", "tel aviv",
+    "turkey", "istanbul", "nigeria", "lagos", "kenya", "nairobi", "south africa", "johannesburg", "cape town", "europe", "emea", "apac", "north america", "latam", "worldwide",
+    "global", "anywhere", "remote - us", "remote - europe", "remote - uk", "remote - canada",
 )
 #: What written employment types, work modes, currencies and pay periods mean.
 EMPLOYMENT = {

@@ -74,6 +74,43 @@ def registration(state: str, start: Column, deadline: Column, as_of: Column, soo
     }[state]
 
 
+#: States of an event that nobody has announced.
+PREDICTED = ("PREDICTED", "LOW_CONFIDENCE_PREDICTION", "RECURRING_PATTERN")
+
+
+def in_month(month: int | None, *dates: Column) -> Column:
+    """The month of the first date that is there."""
+    return F.lit(True) if month is None else F.month(F.coalesce(*dates)) == month
+
+
+def has_pay(wanted: bool | None, least: Column, text: Column) -> Column:
+    some = least.isNotNull() | (F.coalesce(text, F.lit("")) != "")
+    return F.lit(True) if wanted is None else some if wanted else ~some
+
+
+def predicted(wanted: bool | None, status: Column) -> Column:
+    """IN or NOT IN the predicted states: a NULL status is in neither list."""
+    return F.lit(True) if wanted is None else status.isin(*PREDICTED) if wanted else ~status.isin(*PREDICTED)
+
+
+def not_deleted(active: Column) -> Column:
+    """IS NOT FALSE: NULL counts as active."""
+    return ~active.eqNullSafe(False)
+
+
+def has_json_key(c: Column, key: str) -> Column:
+    """Whether a JSON object has a key, its value null or not."""
+    return F.coalesce(F.array_contains(F.json_object_keys(c), key), F.lit(False))
+
+
+def contains_as_written(term: str, *columns: Column) -> Column:
+    """Case-insensitive search in which % and _ of the term are wildcards."""
+    out = F.lit(False)
+    for c in columns:
+        out = out | F.coalesce(c.ilike(f"%{term}%"), F.lit(False))
+    return out
+
+
 @dataclass
 class RowFilter:
     """Equality, range, date and search parameters over named columns; those left out don't filter."""
