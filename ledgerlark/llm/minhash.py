@@ -12,7 +12,7 @@ Texts with equal shingles and weights collapse to one node first. Nodes that sha
 candidates; a pair is a link if its shingle sets have a Jaccard similarity of `similarity` or more.
 Candidates of a bucket are tried against one member. All pairs of a bucket that are then in different components are
 compared too: as pairs in buckets of at most FEW members, and block by block in larger ones, where a task counts the common
-shingles of two blocks as a matrix product and returns only the links. So no bucket becomes rows for all its pairs, the
+shingles of two blocks as a matrix product and returns a forest of the links. So no bucket becomes rows for all its pairs, the
 blocks of a hot bucket go to many tasks, and every candidate pair is either linked, connected or found apart.
 
 Texts without words are copies of each other. Nulls count as empty texts. Rows that repeat a doc_id are rows of
@@ -209,11 +209,25 @@ def _met(key: np.ndarray, at: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> Ite
         yield some, ys, common
 
 
-def links_of_blocks(node: np.ndarray, component: np.ndarray, second: np.ndarray, key: np.ndarray, at: np.ndarray, similarity: float, spare: float = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Likely links between members of two blocks (second: whether in the second one) in different components; without a second block, within the first.
+def _forest(pairs: np.ndarray) -> list[int]:
+    """Numbers of the pairs (two rows) that join what the pairs before them don't."""
+    above = list(range(int(pairs.max(initial=-1)) + 1))
+    out = []
+    for k, (x, y) in enumerate(pairs.T.tolist()):
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        while above[y] != y:
+            above[y] = y = above[above[y]]
+        if x != y:
+            above[max(x, y)] = min(x, y)
+            out.append(k)
+    return out
+
 
-    The hashes in key are short, so shingles of a text may share one: a pair may lack `spare` common shingles, and more where texts
-    are so long that more of their hashes coincide.
+def links_of_blocks(node: np.ndarray, component: np.ndarray, second: np.ndarray, key: np.ndarray, at: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links between members of two blocks (second: whether in the second one) in different components, as many as join the same components.
+
+    Without a second block, of those within the first. A forest of links joins what all of them join, and is no larger than the blocks.
     """
     names, place = np.unique(component, return_inverse=True)
     most = place == np.bincount(place).argmax()  # no pair within the largest component
@@ -222,17 +236,17 @@ def links_of_blocks(node: np.ndarray, component: np.ndarray, second: np.ndarray,
     else:
         sides = [(~most, np.ones(len(node), dtype=bool))]
     size = at[1:] - at[:-1]
-    out = []
+    joined, ends = np.zeros((2, 0), dtype=np.int64), np.zeros((2, 0), dtype=np.int64)
     for x, y in sides:
         for xs, ys, common in _met(key, at, np.flatnonzero(x), np.flatnonzero(y)) if x.any() and y.any() else ():
             total = size[xs][:, None] + size[ys][None, :]
-            least = np.minimum(size[xs][:, None], size[ys][None, :]).astype(np.float64)
-            most_common = common + (spare + least * least / (1 << 31) if spare else 0)
-            i, j = np.nonzero((most_common >= similarity * (total - most_common)) & (place[xs][:, None] != place[ys][None, :]))
-            out.append((node[xs[i]], node[ys[j]]))
-    u, v = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in (zip(*out, strict=True) if out else ((), ())))
-    both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
-    return both[0], both[1]
+            i, j = np.nonzero((common >= similarity * (total - common)) & (place[xs][:, None] != place[ys][None, :]))
+            new = np.concatenate([joined, np.stack([place[xs[i]], place[ys[j]]])], axis=1)
+            ends = np.concatenate([ends, np.stack([node[xs[i]], node[ys[j]]])], axis=1)
+            _, once = np.unique(np.minimum(new[0], new[1]) * len(names) + np.maximum(new[0], new[1]), return_index=True)
+            kept = once[_forest(new[:, once])]
+            joined, ends = new[:, kept], ends[:, kept]
+    return ends.min(axis=0), ends.max(axis=0)
 
 
 def _apart(multi: DataFrame, label: DataFrame) -> DataFrame:
@@ -252,13 +266,12 @@ def _few(apart: DataFrame) -> DataFrame:
 
 
 def _between_blocks(apart: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
-    """Likely links between components of larger buckets, by 32 bits of each hash; each two blocks of a bucket are a group."""
+    """Links that join the components of larger buckets; each two blocks of a bucket are a group."""
     n = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
     many = apart.where(F.col("members") > FEW).withColumn("blocks", n).withColumn("block", F.pmod(F.xxhash64("node"), n).cast("int"))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     many = many.select("key", "node", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("second"))
-    short = F.transform("shingles", lambda x: F.call_function("shiftright", x, F.lit(32)).cast("int"))
-    whole = sets.select(F.col("node").alias("of"), short.alias("shingles"))
+    whole = sets.select(F.col("node").alias("of"), "shingles")
     rows = many.join(whole, F.col("node") == F.col("of")).drop("of")
     similarity = near.similarity
 
@@ -330,8 +343,8 @@ def _labelled(docs: DataFrame, near: Near) -> DataFrame:
     edges = staged(_linked(tried, sets, near), "links")
     label = staged(components(edges), "labels")
     apart = staged(_apart(multi, label), "apart")
-    rest = _few(apart).where(_size_fits(near)).select("u", "v").union(_between_blocks(apart, sets, near))
-    more = staged(_linked(staged(rest.distinct(), "tried"), sets, near), "links")
+    few = staged(_few(apart).where(_size_fits(near)).select("u", "v").distinct(), "tried")
+    more = staged(_linked(few, sets, near).union(_between_blocks(apart, sets, near)), "links")
     if not more.isEmpty():
         label = components(edges.union(more))
     own = nodes.join(label.select(F.col("node").alias("ln"), "component"), F.col("node") == F.col("ln"), "left")
