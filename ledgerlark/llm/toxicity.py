@@ -43,14 +43,14 @@ class Settings:
     told: float = 0.35
     k: int = 15
     far: float = 1.0
-    block: int = 128
+    block: int = 256
     seed: int = 5
 
 
 def terms_of(word: str) -> list[str]:
     """The terms of what stands between two white spaces: words, and '^' with the first letters of longer ones."""
-    out = []
-    for w in _LETTERS.findall(word.lower()):
+    out, low = [], word.lower()
+    for w in (low,) if low.isalpha() and low.isascii() else _LETTERS.findall(low):
         out.append(w)
         out += ["^" + w[:n] for n in range(3, min(7, len(w)))]
     return out
@@ -170,7 +170,9 @@ class Model:
         hits = [c if c is not None else learn(w) for w, c in zip(words, map(get, words), strict=True)]
         if len(self._words) > _CACHE_WORDS:
             self._words = {}
-        return np.unique(np.fromiter(itertools.chain.from_iterable(hits), dtype=np.int64), return_counts=True)
+        found = np.sort(np.fromiter(itertools.chain.from_iterable(hits), dtype=np.int64))
+        first = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(found) else np.zeros(0, dtype=np.int64)
+        return found[first], np.diff(np.append(first, len(found)))
 
     def vector(self, counts: Vector) -> Vector:
         raw = (1 + np.log(counts[1])) * self.weight[counts[0]]
@@ -192,6 +194,7 @@ class Model:
                         votes.append(self.vote((score[others][: self.k], near[others][: self.k])))
                         labels.append(int(self.index.labels[i]))
             self.knots = isotonic(np.array(votes), np.array(labels)) if votes else None
+            self.index.rows = []  # the postings have them; the model goes to every task
         return self
 
     def score(self, texts: list[str]) -> list[tuple[float, str]]:
