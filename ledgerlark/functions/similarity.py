@@ -25,10 +25,14 @@ def trigrams(c: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(padded, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substr(p, i, F.lit(3))))))
 
 
+def overlap(x: Column, y: Column) -> Column:
+    """Jaccard similarity of two lists without repeats; 0 for two empty ones."""
+    both = F.size(F.array_intersect(x, y))
+    return F.coalesce(F.try_divide(both, F.size(x) + F.size(y) - both), F.lit(0.0))
+
+
 def trigram_similarity(a: Column, b: Column) -> Column:
-    x, y = trigrams(a), trigrams(b)
-    both = F.size(F.array_union(x, y))
-    return F.when(both == 0, 0.0).otherwise(F.size(F.array_intersect(x, y)) / both)
+    return overlap(trigrams(a), trigrams(b))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -102,11 +102,15 @@ def host(c: Column) -> Column:
     return F.when(name.contains("."), name)
 
 
+#: Suffixes of two labels.
+PAIRED_SUFFIXES = ("co.in", "co.uk")
+
+
 def registrable(c: Column) -> Column:
-    """Last two labels of a host, three where the last two are like co.in or com.au."""
+    """Last two labels of a host, three where the last two are a suffix by themselves."""
     name = host(c)
     labels = F.split(name, r"\.")
-    short = name.rlike(r"\.(co|com|org|net|gov|edu|ac)\.[a-z]{2}$")
+    short = F.substring_index(name, ".", -2).isin(*PAIRED_SUFFIXES)
     return F.array_join(F.slice(labels, -F.least(F.size(labels), F.when(short, 3).otherwise(2)), F.lit(3)), ".")
 
 
@@ -201,10 +205,26 @@ def sendable_phone(c: Column) -> Column:
     return (F.length(d) >= 10) & (F.length(d) <= 15) & (F.size(F.array_distinct(F.split(d, ""))) > 3)
 
 
+#: Words that no person's name has.
+NO_NAMES = (
+    "the", "and", "or", "of", "to", "in", "on", "at", "for", "team", "will", "group", "contact", "contacting", "other", "tasks", "screen", "virtual", "interview", "class", "span",
+    "div", "icon", "logo", "white", "blue", "color", "onecolor", "import", "about", "more", "career", "careers", "hiring", "recruiting", "human", "resources", "company", "people",
+    "talent", "acquisition", "manager", "lead", "form", "page", "section", "header", "footer", "nav", "menu", "click", "here", "learn", "view", "join", "apply", "explore", "san",
+    "francisco", "tokyo", "london", "paris", "berlin", "dublin", "amsterdam", "singapore", "sydney", "remote", "office", "location", "site", "hub", "center", "campus",
+    "eligibility", "check", "benefits", "administrator", "new", "york", "boston", "austin", "chicago", "denver", "atlanta", "miami", "portland", "raleigh", "durham", "palo",
+    "alto", "mountain", "sunnyvale", "cupertino", "redwood", "city", "foster", "head", "script",
+)
+
+
 def person_name(c: Column) -> Column:
-    """Two to five capitalised words without digits, none of them all capitals."""
-    words = F.split(F.trim(c), r"\s+")
-    return F.coalesce(F.size(words).between(2, 5) & F.forall(words, lambda w: w.rlike(r"^\p{Lu}[\p{L}.'-]*$") & ~w.rlike(r"^\p{Lu}{3,}$")), F.lit(False))
+    """Two or more capitalised words of two or more characters, letters with - . _ among them, none all capitals or in NO_NAMES."""
+    words = F.split(F.regexp_replace(c, r"^\s+|\s+$", ""), r"\s+")
+
+    def fits(w: Column) -> Column:
+        bare = F.translate(w, "-._", "")
+        return w.rlike(r"^\p{Lu}.+$") & bare.rlike(r"^\p{L}+$") & ~((F.length(w) >= 3) & (w == F.upper(w))) & ~F.lower(bare).isin(*NO_NAMES)
+
+    return F.coalesce((F.size(words) >= 2) & F.forall(words, fits), F.lit(False))
 
 
 def email_pattern(email: Column, name: Column) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.functions.similarity import levenshtein_similarity, ratio, trigram_similarity
+from ledgerlark.functions.similarity import levenshtein_similarity, overlap, ratio, trigrams
 from ledgerlark.operators.ranking import best_per
 
 #: Fixed value: similarity from which two records are the same.
@@ -34,7 +34,8 @@ def fuzzy_pairs(df: DataFrame, key: str, text: str, block: Sequence[str], measur
 
 
 def trigram_pairs(df: DataFrame, key: str, text: str, block: Sequence[str], least: float = SAME) -> DataFrame:
-    return fuzzy_pairs(df, key, text, block, trigram_similarity, least)
+    """fuzzy_pairs by trigrams, which are listed once for each row and not once for each pair."""
+    return fuzzy_pairs(df.withColumn("_grams", trigrams(F.col(text))), key, "_grams", block, overlap, least)
 
 
 def first_match(new: DataFrame, known: DataFrame, key: str, text: str, block: Sequence[str], stamp: str, per: int | None = None, least: float = SAME) -> DataFrame:
@@ -52,6 +53,48 @@ def first_match(new: DataFrame, known: DataFrame, key: str, text: str, block: Se
     return new.join(best.select(F.col(key).alias("_of"), F.col(f"_{key}").alias("match"), "similarity"), F.col(key) == F.col("_of"), "left").drop("_of")
 
 
+#: Which columns must agree for a rule to reach SAME_ENTITY, one list for each way: without them its points are at most 0.85.
+EVENT_BLOCKS = (("url_key",), ("name_key", "year"), ("year", "city_key"), ("year", "site"))
+COLLEGE_BLOCKS = (("code_key",), ("site",), ("state_key", "city_key"))
+
+
+def linked(df: DataFrame, key: str, compared: Sequence[str], blocks: Sequence[Sequence[str]], rule: Callable[[str, str], tuple[Column, Column]]) -> tuple[DataFrame, DataFrame]:
+    """(links, members): pairs of representatives that `rule` takes for one, and each row's representative.
+
+    Rows whose compared columns are equal, NULLs too, are one class with its least key as representative,
+    so copies meet nothing in a join but their class. Two representatives are compared once, if they agree
+    on all columns of a block; NULL and empty values agree with nothing. links has left, right and
+    confidence, members the key and its representative.
+    """
+    heads = df.groupBy(*compared).agg(F.min(key).alias(key))
+
+    def said(side: str, name: str) -> Column:
+        c = F.col(f"{side}.{name}")
+        return F.when(c.cast("string") != "", c)
+
+    def agree(block: Sequence[str]) -> Column:
+        out = F.lit(True)
+        for name in block:
+            out = out & (said("a", name) == said("b", name))
+        return F.coalesce(out, F.lit(False))
+
+    sure, found = rule("a", "b")[1], []
+    for i, block in enumerate(blocks):
+        sides = [heads.select(F.struct("*").alias(s)).select(s, *(said(s, n).alias(f"_{n}") for n in block)) for s in ("a", "b")]
+        near = sides[0].join(sides[1], [f"_{n}" for n in block]).where(F.col(f"a.{key}") < F.col(f"b.{key}"))
+        for earlier in blocks[:i]:
+            near = near.where(~agree(earlier))
+        found.append(near.select(F.col(f"a.{key}").alias("left"), F.col(f"b.{key}").alias("right"), sure.alias("confidence")).where(F.col("confidence") >= SAME_ENTITY))
+    links = found[0]
+    for more in found[1:]:
+        links = links.unionAll(more)
+    named = heads.select(F.col(key).alias("representative"), *(F.col(c).alias(f"_{c}") for c in compared))
+    equal = F.lit(True)
+    for c in compared:
+        equal = equal & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return links, df.join(named, equal).select(key, "representative")
+
+
 def same_event(a: str, b: str) -> tuple[Column, Column]:
     """Whether two events are one, and how sure: the same URL, name and year, or enough likeness.
 

@@ -14,11 +14,10 @@ def conditional_counts(df: DataFrame, conditions: Mapping[str, Column], by: Sequ
 
 
 def top_groups(df: DataFrame, key: Column, n: int | None = None, value: str = "value", at_least: int = 1) -> DataFrame:
-    """Groups by falling count, ties by value with NULL last."""
+    """Groups with their counts; with n the n largest in order, ties by value with NULL last (without n nothing is sorted)."""
     out = df.groupBy(key.alias(value)).agg(F.count("*").alias("count"))
     out = out.where(F.col("count") >= at_least) if at_least > 1 else out
-    order = F.desc("count"), F.col(value).asc_nulls_last()
-    return out.orderBy(*order).limit(n) if n else out.orderBy(*order)
+    return out.orderBy(F.desc("count"), F.col(value).asc_nulls_last()).limit(n) if n else out
 
 
 def or_unknown(*columns: Column) -> Column:

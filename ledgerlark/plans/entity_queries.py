@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import similarity as L
@@ -32,13 +34,13 @@ def fuzzy_trigram_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH k AS (SELECT p_partkey, p_brand, p_size, p_name, p_retailprice FROM part), c AS (
  SELECT a.p_partkey, b.p_partkey AS m, round(1.0 - levenshtein(a.p_name, b.p_name)::DOUBLE / greatest(length(a.p_name), length(b.p_name)), 6) AS s, row_number() OVER (PARTITION BY a.p_partkey ORDER BY b.p_retailprice DESC, b.p_partkey) AS r
- FROM k a JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rn FROM k) WHERE rn <= 20) b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey
+ FROM k a JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rn FROM k) WHERE rn <= 200) b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey
  WHERE 1.0 - levenshtein(a.p_name, b.p_name)::DOUBLE / greatest(length(a.p_name), length(b.p_name)) >= 0.6)
 SELECT k.p_partkey, m AS "match", s AS similarity FROM k LEFT JOIN (SELECT * FROM c WHERE r = 1) c ON c.p_partkey = k.p_partkey
 """)
 def newest_match_per_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
-    got = matching.first_match(parts, parts, "p_partkey", "p_name", ["p_brand"], "p_retailprice", per=20, least=0.6)
+    got = matching.first_match(parts, parts, "p_partkey", "p_name", ["p_brand"], "p_retailprice", per=200, least=0.6)
     return got.select("p_partkey", "match", F.round("similarity", 6).alias("similarity"))
 
 
@@ -59,15 +61,21 @@ def difflib_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.fuzzy_pairs(table(spark, sf_dir, "part"), "p_partkey", "p_name", ["p_brand", "p_size"], L.ratio, 0.7)
 
 
+def _links_and_members(keys: DataFrame, key: str, blocks: Sequence[Sequence[str]], rule: Callable[[str, str], tuple[Column, Column]]) -> DataFrame:
+    """Links between representatives (kind link) and every row under its representative (kind member, no confidence)."""
+    links, members = matching.linked(keys, key, [c for c in keys.columns if c != key], blocks, rule)
+    rows = members.select(F.lit("member").alias("kind"), F.col("representative").alias("left"), F.col(key).alias("right"), F.lit(None).cast("double").alias("confidence"))
+    return links.select(F.lit("link").alias("kind"), "left", "right", "confidence").unionAll(rows)
+
+
 @query()
 def same_college_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     keys = c.select(
         "c_custkey", F.lit("").alias("code_key"), F.lit(None).cast("string").alias("site"), F.col("c_nationkey").cast("string").alias("state_key"), S.ascii_key(F.col("c_name")).alias("name_key"),
-        F.col("c_mktsegment").alias("city_key"), (F.col("c_custkey") % 7).cast("string").alias("district_key"), F.left(F.col("c_name"), F.lit(16)).alias("prefix"),
+        F.col("c_mktsegment").alias("city_key"), (F.col("c_custkey") % 7).cast("string").alias("district_key"),
     )
-    same, sure = matching.same_college("a", "b")
-    return matching.pairs(keys, "c_custkey", ["state_key", "city_key", "prefix"]).where(same).select(F.col("a.c_custkey").alias("left"), F.col("b.c_custkey").alias("right"), sure.alias("confidence"))
+    return _links_and_members(keys, "c_custkey", matching.COLLEGE_BLOCKS, matching.same_college)
 
 
 @query()
@@ -75,7 +83,6 @@ def same_event_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     keys = o.select(
         "o_orderkey", F.lit("").alias("url_key"), F.concat(F.lit("event"), (F.col("o_custkey") % 50).cast("string")).alias("name_key"), S.ascii_key(F.col("o_orderpriority")).alias("organizer_key"),
-        F.col("o_orderstatus").alias("city_key"), F.lit(None).cast("string").alias("site"), F.year("o_orderdate").alias("year"), F.col("o_custkey").alias("block"),
+        F.col("o_orderstatus").alias("city_key"), F.lit(None).cast("string").alias("site"), F.year("o_orderdate").alias("year"),
     )
-    same, sure = matching.same_event("a", "b")
-    return matching.pairs(keys, "o_orderkey", ["block", "city_key"]).where(same).select(F.col("a.o_orderkey").alias("left"), F.col("b.o_orderkey").alias("right"), sure.alias("confidence"))
+    return _links_and_members(keys, "o_orderkey", matching.EVENT_BLOCKS, matching.same_event)

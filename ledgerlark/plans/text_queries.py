@@ -223,3 +223,11 @@ def list_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def name_key_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", S.name_key(F.col("text")).alias("key"), S.slug(F.col("source")).alias("slug"))
+
+
+@query(f"""
+SELECT p_partkey, len(w) >= 2 AND len(list_filter(w, lambda x: len(x) < 2 OR NOT regexp_full_match(x, '[a-z]+') OR x IN ({", ".join(f"'{n}'" for n in S.NO_NAMES)}))) = 0 AS is_person
+FROM (SELECT p_partkey, string_split(lower(p_name), ' ') AS w FROM part)
+""")
+def person_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", S.person_name(F.initcap("p_name")).alias("is_person"))

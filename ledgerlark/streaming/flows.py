@@ -76,10 +76,26 @@ def breaker_batch(events: DataFrame, key: str, ok: str, at: str, limit: int = 5,
 
 
 def cooled(sends: DataFrame, history: DataFrame, key: str, stamp: str, hours: int = 24) -> DataFrame:
-    """Sends of keys without an earlier send in the hours before them."""
-    h = history.select(F.col(key).alias("_k"), F.col(stamp).alias("_at"))
-    near = (F.col("_at") < F.col(stamp)) & (F.col("_at") >= F.col(stamp) - F.make_dt_interval(hours=F.lit(hours)))
-    return sends.join(h, (F.col(key) == F.col("_k")) & near, "left_anti")
+    """Sends of keys without an earlier send in the hours before them; a NULL key or time is never near another.
+
+    History shrinks to the first and last send of each key in each period of that many hours, so a hot key
+    is spread over its periods and no send meets more than two rows: in its own period an earlier first
+    send is near, in the period before a last send that is late enough.
+    """
+    width = hours * 3_600_000_000
+
+    def period(c: Column) -> Column:
+        micros = F.unix_micros(c.cast("timestamp"))
+        return micros - F.pmod(micros, F.lit(width))
+
+    h = history.groupBy(F.col(key).alias("_k"), period(F.col(stamp)).alias("_p")).agg(F.min(stamp).alias("_first"), F.max(stamp).alias("_last"))
+    own = h.select("_k", "_p", "_first")
+    before = h.select(F.col("_k").alias("_kb"), (F.col("_p") + width).alias("_pb"), "_last")
+    got = sends.withColumn("_period", period(F.col(stamp)))
+    got = got.join(own, (F.col(key) == F.col("_k")) & (F.col("_period") == F.col("_p")), "left")
+    got = got.join(before, (F.col(key) == F.col("_kb")) & (F.col("_period") == F.col("_pb")), "left")
+    near = (F.col("_first") < F.col(stamp)) | (F.col("_last") >= F.col(stamp) - F.make_dt_interval(hours=F.lit(hours)))
+    return got.where(~F.coalesce(near, F.lit(False))).drop("_period", "_k", "_p", "_first", "_kb", "_pb", "_last")
 
 
 def with_retries(failed: DataFrame, attempts: str = "attempts", most: int = 5) -> tuple[DataFrame, DataFrame]:

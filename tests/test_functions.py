@@ -30,6 +30,17 @@ def test_host(spark, url, host):
 def test_registrable(spark):
     assert one(spark, strings.registrable(F.col("a")), a="https://careers.acme.co.in/1") == "acme.co.in"
     assert one(spark, strings.registrable(F.col("a")), a="https://careers.acme.com/1") == "acme.com"
+    assert one(spark, strings.registrable(F.col("a")), a="https://a.b.acme.co.uk") == "acme.co.uk"
+    assert one(spark, strings.registrable(F.col("a")), a="https://acme.co.in") == "acme.co.in"
+    assert one(spark, strings.registrable(F.col("a")), a=None) is None
+
+
+@pytest.mark.parametrize(
+    ("name", "want"),
+    [("Asha Rao", True), ("Mary-Jane O. Watson", True), ("Mary-Jane Watson", True), ("San Francisco", False), ("N I", False), ("Asha", False), ("Asha RAO", False), ("asha Rao", False), ("Asha Rao2", False), ("Éva Nagy", True), ("A B Contact", False), ("Li Wu Na Xi Yu Mo", True), ("", False), (None, False)],
+)
+def test_person_name(spark, name, want):
+    assert one(spark, strings.person_name(F.col("a")), a=name) is want
 
 
 def test_fingerprint_ignores_the_path(spark):

@@ -158,6 +158,66 @@ def test_same_event(spark):
     assert got == {(1, 2): 1.0, (3, 4): 0.98}
 
 
+def _against_all_pairs(spark, rows, fields, blocks, rule):
+    df = spark.createDataFrame(rows, fields)
+    a, b = (df.select(F.struct("*").alias(s)) for s in ("a", "b"))
+    sure = rule("a", "b")[1]
+    every = a.join(b, F.col("a.id") < F.col("b.id")).select(F.col("a.id").alias("l"), F.col("b.id").alias("r"), sure.alias("sure")).where(F.col("sure") >= matching.SAME_ENTITY)
+    want = {(r.l, r.r): r.sure for r in every.collect()}
+    links, members = matching.linked(df, "id", [c for c in df.columns if c != "id"], blocks, rule)
+    of = {}
+    for r in members.collect():
+        of.setdefault(r.representative, []).append(r.id)
+    assert sorted(x for m in of.values() for x in m) == sorted(r[0] for r in rows) and all(k == min(m) for k, m in of.items())
+    got = {}
+    for r in links.collect():
+        for x in of[r.left]:
+            for y in of[r.right]:
+                assert (min(x, y), max(x, y)) not in got
+                got[min(x, y), max(x, y)] = r.confidence
+    within = {(x, y) for m in of.values() for x in m for y in m if x < y}
+    assert got == {k: v for k, v in want.items() if k not in within} and got
+
+
+def test_linked_events_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    names = ("smartindiahackathon", "smartindiahackathon2", "smartindiahackaton", "codesprint", "")
+    rows = [(i, rng.choice(("", "", "", "u1", None)), rng.choice(names), rng.choice(("acmelabs", "acmelab", "zeta")), rng.choice(("pune", "goa", "", None)), rng.choice((None, "x.org", "y.org")), rng.choice((2025, 2026, None))) for i in range(150)]
+    rows += [(200 + i, *rows[0][1:]) for i in range(20)]
+    _against_all_pairs(spark, rows, "id int, url_key string, name_key string, organizer_key string, city_key string, site string, year int", matching.EVENT_BLOCKS, matching.same_event)
+
+
+def test_linked_colleges_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    names = ("governmentcollegeofarts", "governmentcollegeofart", "stxavierscollege", "")
+    rows = [(i, rng.choice(("", "", "", "c1", None)), rng.choice((None, None, "a.edu", "")), rng.choice(("goa", "kerala", "", None)), rng.choice(names), rng.choice(("panaji", "kochi", "")), rng.choice(("north", "south", None))) for i in range(150)]
+    rows += [(200 + i, *rows[0][1:]) for i in range(20)]
+    _against_all_pairs(spark, rows, "id int, code_key string, site string, state_key string, name_key string, city_key string, district_key string", matching.COLLEGE_BLOCKS, matching.same_college)
+
+
+def test_linked_without_rows(spark):
+    df = spark.createDataFrame([], "id int, code_key string, site string, state_key string, name_key string, city_key string, district_key string")
+    links, members = matching.linked(df, "id", [c for c in df.columns if c != "id"], matching.COLLEGE_BLOCKS, matching.same_college)
+    assert links.count() == members.count() == 0
+
+
+def test_cooled_against_a_plain_loop(spark):
+    import random
+
+    rng, start = random.Random(5), dt.datetime(2024, 1, 1)
+    moment = lambda: start + dt.timedelta(hours=rng.randrange(0, 200), minutes=rng.choice((0, 0, 30)))
+    history = [(rng.choice("abcde"), moment()) for _ in range(40)] + [("a", None), (None, start)]
+    sends = [(i, rng.choice("abcdef"), moment()) for i in range(120)] + [(900, "a", None), (901, None, start + dt.timedelta(hours=1))]
+    h, s = spark.createDataFrame(history, "k string, t timestamp_ntz"), spark.createDataFrame(sends, "id int, k string, t timestamp_ntz")
+    want = {i for i, k, t in sends if not any(k == kk and t and tt and k and t - dt.timedelta(hours=24) <= tt < t for kk, tt in history)}
+    got = flows.cooled(s, h, "k", "t")
+    assert got.columns == s.columns and {r.id for r in got.collect()} == want and 0 < len(want) < len(sends)
+
+
 def test_name_keys_against_python(spark, sf_dir):
     import re
     import unicodedata
