@@ -27,6 +27,7 @@ from ledgerlark.llm.html_blocks import Block, blocks
 PATHS, WORDS = 1024, 512
 PATH_SIZE, WORD_SIZE, HIDDEN = 16, 12, 20
 N_NUMBERS = 12
+STOPS = ".,;:!?"
 WEIGHTS = Path(__file__).with_name("block_lstm_weights.npz")
 
 _rows: dict[str, int] = {}
@@ -43,7 +44,7 @@ def _row(token: str, size: int) -> int:
 def numbers(b: Block, at: int, n: int) -> list[float]:
     size = len(b.text)
     words = b.text.count(" ") + 1
-    stops = sum(map(b.text.count, ".,;:!?"))
+    stops = sum(map(b.text.count, STOPS))
     return [
         min(np.log1p(size) / 7, 2.0),
         min(words / 60, 2.0),
@@ -63,7 +64,7 @@ def numbers(b: Block, at: int, n: int) -> list[float]:
 def inputs(page: Sequence[Block]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rows of path tokens and of words with their offsets by block, and the numbers."""
     paths = [[_row(t, PATHS) for t in (*b.path, ">" + b.path[-1] if b.path else ">")] for b in page]
-    words = [[_row(w, WORDS) for w in b.text.lower().split()] for b in page]
+    words = [[_row(w.strip(STOPS) or w, WORDS) for w in b.text.lower().split()] for b in page]
     ends = [np.append(0, np.cumsum([len(x) for x in rows])) for rows in (paths, words)]
     flat = [np.array([r for rows in group for r in rows], dtype=np.int64) for group in (paths, words)]
     return flat[0], ends[0], flat[1], ends[1], np.array([numbers(b, i, len(page)) for i, b in enumerate(page)], dtype=np.float32).reshape(len(page), N_NUMBERS)

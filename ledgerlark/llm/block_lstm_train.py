@@ -51,6 +51,8 @@ class Maker:
         self.lexicon = ["".join(self.r.choices(SYLLABLES, k=self.r.choice((1, 1, 2, 2, 3, 4)))) for _ in range(150)]
         self.semantic = self.r.random() < 0.6
         self.classes = self.r.random() < 0.8 or not self.semantic and self.r.random() < 0.7
+        if self.r.random() < 0.1:  # nothing but div
+            self.semantic = self.classes = False
         self.close_p = self.r.random() < 0.75
         self.junk = self.r.random() < 0.2
 
@@ -73,6 +75,17 @@ class Maker:
             n += self.r.choice("-_ ") + self.r.choice(NAMES["plain"])
         return f' {self.r.choice(("class", "class", "id"))}="{n}"'
 
+    def rights(self) -> str:
+        """A line that says whose the page is."""
+        r = self.r
+        years = str(r.randint(1996, 2030))
+        who = " ".join(self.word().capitalize() for _ in range(r.randint(1, 3)))
+        said = f"{r.choice(('Copyright', '&copy;', '(c)', 'Copyright &copy;', '©'))} {years} {who}"
+        return said + r.choice((".", "", ",", " |")) + r.choice((" All rights reserved.", " All rights reserved", "", " Tous droits réservés.", " Alle Rechte vorbehalten.", " Todos los derechos reservados."))
+
+    def hidden(self, p: float) -> str:
+        return self.r.choice((" hidden", ' style="display:none"', ' aria-hidden="true"')) if self.r.random() < p else ""
+
     def part(self, kind: str) -> str:
         """A part that isn't main text."""
         r = self.r
@@ -81,6 +94,8 @@ class Maker:
             return OTHER + text
 
         def phrase() -> str:
+            if kind == "footer" and r.random() < 0.4:
+                return self.rights()
             return r.choice(PHRASES[kind].split("|")) if r.random() < 0.6 else self.sentence(1, 14).rstrip(".!?") if r.random() < 0.5 else self.prose(2)
 
         tag = {"menu": "nav", "header": "header", "footer": "footer", "side": "aside", "form": "form", "comment": "section"}.get(kind, "div") if self.semantic and r.random() < 0.85 else r.choice(("div", "div", "div", "section"))
@@ -99,6 +114,11 @@ class Maker:
             for _ in range(r.randint(1, 6)):
                 own = f' class="{r.choice(NAMES["comment"])}"' if r.random() < 0.8 else ""
                 inside.append(f"<{inner}{own}><b>{say(self.word())}</b><p>{say(self.prose(3))}</p></{inner}>")
+        elif kind == "form" and r.random() < 0.4:
+            options = "".join(f"<option>{say(self.word())}</option>" for _ in range(r.randint(1, 5)))
+            inside.append(r.choice((f"<select>{options}</select>", f"<label>{say(phrase())}</label><textarea>{say(phrase())}</textarea>")) + f"<button>{say(phrase())}</button>")
+        elif kind == "notice" and r.random() < 0.3:
+            return f"<noscript>{say(phrase())}</noscript>" if r.random() < 0.6 else f"<noscript><p>{say(phrase())}</p></noscript>"
         elif kind == "form":
             inside.append(f"<label>{say(phrase())}</label><input type=text> <p>{say(phrase())}</p>" if r.random() < 0.7 else f"<p>{say(phrase())}</p><input>")
         elif kind == "footer":
@@ -109,8 +129,8 @@ class Maker:
                 inside.append(f"<p>{say(phrase())}</p>")
         else:
             for _ in range(r.choice((1, 1, 2))):
-                inside.append(r.choice(("{}", "<p>{}</p>", "<span>{}</span>", "<a href='#'>{}</a>")).format(say(phrase())))
-        return f"<{tag}{named}>{''.join(inside)}</{tag}>"
+                inside.append(r.choice(("{}", "<p>{}</p>", "<span>{}</span>", "<a href='#'>{}</a>", "<div><button>{}</button></div>")).format(say(phrase())))
+        return f"<{tag}{named}{self.hidden(0.06)}>{''.join(inside)}</{tag}>"
 
     def main(self) -> str:
         r = self.r
@@ -130,6 +150,13 @@ class Maker:
                 text = self.prose()
                 if r.random() < 0.12:
                     text = text.replace(" ", ' <a href="/x">', 1).replace(".", "</a>.", 1)
+                if r.random() < 0.04:
+                    put = f"<button>{self.word()}</button>" if r.random() < 0.5 else "<math><mi>x</mi><mo>=</mo><mn>2</mn></math>"
+                    text = text.replace(" ", f" {put} ", 1)
+                if r.random() < 0.04:
+                    odd = r.choice(("<noscript><p>{}</p></noscript>", "<p" + self.hidden(1) + ">{}</p>", "<div" + self.hidden(1) + "><p>{}</p></div>", "<p><math><mi>{}</mi></math></p>"))
+                    out.append(odd.format(say(text)))
+                    continue
                 out.append(f"<p>{say(text)}{close}" if r.random() < 0.9 else f"<p><b>{say(text)}<br><p>{say(self.prose())}{close}")
             elif kind < 0.86:
                 out.append(f"<h{r.choice('23')}>{say(self.sentence(1, 8).rstrip('.!?'))}</h2>")

@@ -6,10 +6,13 @@ import html
 import re
 from dataclasses import dataclass, field
 
-#: Tags that stand inside a line, tags without an end, tags whose text is never shown as text.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Tags that stand inside a line, tags whose insides all stand in the line, tags without an end, tags
+#: that hold no text but code or another page, tags that may stand in a head.
+INLINE = frozenset("a abbr acronym audio b bdi bdo big button canvas cite code data del dfn em font i img ins kbd label mark math meter object output picture progress q rp rt ruby s samp small span strike strong sub sup svg time tt u var video wbr".split())
+IN_LINE_WHOLE = ("math", "svg")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "title", "textarea", "select", "button", "head")
+RAW = ("script", "style", "template", "iframe", "noframes", "noembed")
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
 #: A start tag of the value's set ends an open element of the key.
 _ENDS = {
     "p": frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()),
@@ -21,6 +24,7 @@ _ENDS = {
     "tr": frozenset(["tr", "tbody", "tfoot"]),
     "option": frozenset(["option"]),
 }
+_ENDED_BY = {tag: tuple(k for k, v in _ENDS.items() if tag in v) for tag in frozenset().union(*_ENDS.values())}
 #: Elements an implied end doesn't reach through.
 _SCOPE = frozenset("article aside body div dl footer form header main nav ol section table ul".split())
 
@@ -32,7 +36,9 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[^\W\d_a-zA-Z]+")
-_CLOSE = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in HIDDEN}
+_CLOSE = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in (*RAW, "title")}
+#: A path has all elements up to this depth together; of deeper ones these many outermost and innermost.
+OUTERMOST, INNERMOST = 24, 40
 
 
 @dataclass
@@ -46,14 +52,14 @@ class Block:
 class _Open:
     tag: str
     names: tuple[str, ...]
-    hidden: bool = False
+    block_below: int
 
 
-_names: dict[tuple[str, str], tuple[tuple[str, ...], bool]] = {}
+_names: dict[tuple[str, str], tuple[str, ...]] = {}
 
 
-def _named(tag: str, attributes: str) -> tuple[tuple[str, ...], bool]:
-    """Path tokens of an element (its tag, its tag and the parts of its class, id and role) and whether it is hidden."""
+def _named(tag: str, attributes: str) -> tuple[str, ...]:
+    """Path tokens of an element: its tag, the parts of its class, id and role, and a token where an attribute hides it."""
     key = tag, attributes
     if (got := _names.get(key)) is None:
         out, hidden = [tag], False
@@ -62,10 +68,10 @@ def _named(tag: str, attributes: str) -> tuple[tuple[str, ...], bool]:
             if name == "style":
                 hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE))
             elif name == "hidden" or name == "aria-hidden":
-                hidden |= name == "hidden" or value.lower() == "true" and tag not in INLINE
+                hidden |= name == "hidden" or value.lower() == "true"
             else:
                 out += ["." + x.lower() for x in _NAME.findall(html.unescape(value))[:12]]
-        got = tuple(dict.fromkeys(out)), hidden
+        got = tuple(dict.fromkeys(out + ["!hidden"] * hidden))
         if len(_names) > 20_000:
             _names.clear()
         _names[key] = got
@@ -82,14 +88,17 @@ class _Leaf:
 def blocks(page: str | None) -> list[Block]:
     """The blocks of a page in order, with white space as single spaces and references decoded.
 
-    Comments, scripts, styles and the other HIDDEN elements, and elements hidden by attribute, have no
-    blocks. Unclosed elements end where HTML ends them or at the end; stray end tags count for nothing.
+    Comments, the head, the title and RAW elements have no blocks; everything else has, also what a form, a button
+    or noscript holds or an attribute hides: whether that is main text is for the labeller. Unclosed elements end where HTML
+    ends them or at the end; stray end tags count for nothing. The time grows with the length of the page, at any depth.
     """
     page = page or ""
     out: list[Block] = []
     stack: list[_Open] = []
+    where: dict[str, list[int]] = {}  # places on the stack by tag
+    scopes: list[int] = []
     leaf = _Leaf()
-    at, links, hidden = 0, 0, 0
+    at = 0
 
     def flush() -> None:
         nonlocal leaf
@@ -100,20 +109,20 @@ def blocks(page: str | None) -> list[Block]:
             leaf = _Leaf()
 
     def say(piece: str) -> None:
-        if hidden or not piece:
+        if not piece or where.get("head"):
             return
         if not leaf.path and not piece.isspace():
-            leaf.path = tuple(n for e in stack for n in e.names)
+            above = stack if len(stack) <= OUTERMOST + INNERMOST else stack[:OUTERMOST] + stack[-INNERMOST:]
+            leaf.path = tuple(n for e in above for n in e.names)
         leaf.parts.append(piece)
-        if links:
+        if where.get("a"):
             leaf.linked += len(piece)
 
     def pop(to: int) -> None:
-        nonlocal links, hidden
         while len(stack) > to:
-            e = stack.pop()
-            links -= e.tag == "a"
-            hidden -= e.hidden
+            where[stack.pop().tag].pop()
+        while scopes and scopes[-1] >= to:
+            scopes.pop()
 
     while m := _TOKEN.search(page, at):
         say(page[at : m.start()])
@@ -122,39 +131,30 @@ def blocks(page: str | None) -> list[Block]:
             continue
         end, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         tag = tag.lower()
-        if tag not in INLINE:
+        inside = tag in INLINE or any(where.get(t) for t in IN_LINE_WHOLE)
+        if not inside:
             flush()
         if end:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == tag:
-                    pop(k)
-                    break
-                if tag in INLINE and stack[k].tag not in INLINE:
-                    break
+            if (places := where.get(tag)) and (tag not in INLINE or places[-1] > stack[-1].block_below):
+                pop(places[-1])
             continue
-        if tag in _CLOSE and tag != "head":
-            if not attributes.rstrip().endswith("/") or tag not in ("svg", "math"):
-                close = _CLOSE[tag].search(page, at)
-                at = close.end() if close else len(page)
+        if tag in RAW or tag == "title" and not where.get("svg"):
+            close = _CLOSE[tag].search(page, at)
+            at = close.end() if close else len(page)
             continue
-        if tag not in INLINE:
-            for k in range(len(stack) - 1, -1, -1):
-                if tag in _ENDS.get(stack[k].tag, ()):
-                    pop(k)
-                    break
-                if stack[k].tag in _SCOPE:
-                    break
-        if tag in VOID:
+        if (heads := where.get("head")) and tag not in IN_HEAD and tag != "head":
+            pop(heads[-1])
+        if not inside:
+            ended = max((where[t][-1] for t in _ENDED_BY.get(tag, ()) if where.get(t)), default=-1)
+            if ended > (scopes[-1] if scopes else -1):
+                pop(ended)
+        if tag in VOID or tag == "a" and where.get("a"):
             continue
-        if tag == "a" and links:
-            continue
-        names, own = _named(tag, attributes)
-        own = own or tag == "head"
-        stack.append(_Open(tag, names, own))
-        links += tag == "a"
-        hidden += own
-        if tag == "body":
-            hidden = sum(e.hidden for e in stack if e.tag != "head")
+        below = len(stack) if tag not in INLINE else stack[-1].block_below if stack else -1
+        where.setdefault(tag, []).append(len(stack))
+        if tag in _SCOPE:
+            scopes.append(len(stack))
+        stack.append(_Open(tag, _named(tag, attributes), below))
     say(page[at:])
     flush()
     return out

@@ -11,6 +11,7 @@ import itertools
 import lzma
 import random
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -348,10 +349,16 @@ PAGES = {
     "": [],
     "<": ["<"],
     "a&nbsp;b &#x41;&copy": ["a b A©"],
-    "<p hidden>x</p>y": ["y"],
+    "<p hidden>x</p>y": ["x", "y"],
+    "Press the <button>Start</button> control": ["Press the Start control"],
+    "<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds": ["so x=2 holds"],
+    "<noscript><p>a</p></noscript><textarea>b</textarea>": ["a", "b"],
+    "<head><title>t</title><p>left open": ["left open"],
+    "<svg><title>logo</title><text>go</text></svg> home": ["logogo home"],
+    "<i>a<div>b</i>c</div>d": ["a", "bc", "d"],
     "<!-- a > b --><p>z": ["z"],
     "<style>p{}": [],
-    "<title>t</title><select><option>x</select>k": ["k"],
+    "<title>t</title><select><option>x</select>k": ["x", "k"],
     "<p>it's <b class=\"x>k</b>": ["it's k"],
 }
 
@@ -361,6 +368,43 @@ def test_blocks(page):
     assert [b.text for b in html_blocks.blocks(page)] == PAGES[page]
 
 
+def test_the_time_of_blocks_grows_with_the_page():
+    """Each of these takes minutes where an end tag or a path looks at all open elements."""
+    n = 40_000
+    began = time.monotonic()
+    assert len(html_blocks.blocks("<div>x" * n)) == n
+    assert len(html_blocks.blocks("<b>" * n + "<li>x" * n)) == n
+    assert html_blocks.blocks("<i><div>" + "<b>" * n + "</i>" * n) == []
+    assert html_blocks.blocks("<a '" * (n + 1)) == []
+    assert time.monotonic() - began < 60
+
+
+def kept(page: str) -> list[str]:
+    found = html_blocks.blocks(page)
+    return [b.text for b, y in zip(found, block_lstm.label([found])[0], strict=True) if y >= 0.5]
+
+
+def test_main_text_is_judged_not_dropped_by_tag():
+    """Buttons, formulas, noscript and hidden parts of the article stay; those of menus, forms and notices go."""
+    prose = "The river rises in the north of the valley, and it runs past three mills before it meets the sea."
+    page = (
+        "<body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav><noscript>Please enable JavaScript.</noscript>"
+        f"<article><h1>The river and its mills</h1><p>{prose}</p><p>Press the <button>Start</button> control, then wait until the pump has run for an hour.</p>"
+        f"<p>The level is <math><mi>h</mi><mo>=</mo><mn>2</mn></math> metres in spring and falls below one metre in autumn.</p><noscript><p>{prose}</p></noscript><p>{prose}</p></article>"
+        "<form class=search><select><option>One</option><option>Two</option></select><button>Search</button></form><footer><p>Privacy Policy</p></footer></body>"
+    )
+    assert kept(page) == [
+        "The river and its mills", prose, "Press the Start control, then wait until the pump has run for an hour.",
+        "The level is h=2 metres in spring and falls below one metre in autumn.", prose, prose,
+    ]
+
+
+def test_pages_of_div_alone():
+    prose = "The river rises in the north of the valley, and it runs past three mills before it meets the sea."
+    page = f"<div><div><a href=/>Home</a> <a href=/n>News</a> <a href=/c>Contact</a></div><div><h1>The river and its mills</h1><p>{prose}</p><p>{prose} {prose}</p><p>{prose}</p></div><div>Copyright 2024 Example. All rights reserved.</div></div>"
+    assert kept(page) == ["The river and its mills", prose, f"{prose} {prose}", prose]
+
+
 def test_labeller_on_pages_it_has_not_seen():
     found = [block_lstm_train.example(2_000_000_000 + k) for k in range(150)]
     right = total = 0
