@@ -42,10 +42,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder of spark.checkpoint.dir; a temporary one where that is unset and the master is local, an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is unset: staged tables need a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_base:
         _own_base[app] = "file://" + tempfile.mkdtemp(prefix="ledgerlark-")
@@ -123,16 +125,22 @@ def tidy(keep: str | None = None) -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Set the session's bytes of an Arrow batch to BATCH_BYTES where it has no setting of its own.
+
+    For the queries and pipelines that own their session; operators leave it as it is.
+    """
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def map_arrow(
     df: DataFrame,
     fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     schema: T.StructType | str,
     keep: str | None = None,
 ) -> DataFrame:
-    """mapInArrow() with batches of at most BATCH_BYTES, unless the session has a limit of its own; keep: the worker cache it uses."""
-    conf = df.sparkSession.conf
-    if conf.get(_BATCH, None) in (None, "67108864b", "67108864", "64m"):  # Spark's default
-        conf.set(_BATCH, str(BATCH_BYTES))
+    """mapInArrow() between two tidyings of the worker; keep: the worker cache it uses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy(keep)

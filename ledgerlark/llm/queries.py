@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.llm import block_lstm, fingerprints, minhash, mixing, packing, pfor, quality_rules, rulefit, secrets, toxicity
-from ledgerlark.llm.common import WORD, table
+from ledgerlark.llm.common import WORD, bound_batches, table
 
 #: Tokenizer of the queries; the operators take any path.
 TOKENIZER = "word_bpe_49k.json"
@@ -20,6 +21,15 @@ def _remainder(of: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(of))
 
 
+def _in_bounded_batches(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def _judged(scores: DataFrame, held_out: Column, *more: str) -> DataFrame:
     return scores.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), *more)
 
@@ -69,7 +79,7 @@ def op10_block_lstm_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f
+    f.__name__: _in_bounded_batches(f)
     for f in (
         op1_rulefit_quality,
         op2_sainte_lague_mix,
