@@ -10,22 +10,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlark.llm import minhash, mixing, packing, quality_rules, secrets
-from ledgerlark.llm.common import staged, table
+from ledgerlark.llm.common import bound_batches, staged, table
 from ledgerlark.llm.queries import END, TOKENIZER
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the repetition rules keep."""
+    bound_batches(spark)
     return quality_rules.keep(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates."""
+    bound_batches(spark)
     return minhash.keep_first(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by the name of their kind."""
+    bound_batches(spark)
     return secrets.redact(docs)
 
 
@@ -36,6 +39,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' token ids in sequences."""
+    bound_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), packing.Pack(end=END))
 
 

@@ -11,9 +11,11 @@ _own: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh path below spark.checkpoint.dir; below a temporary folder only where that is unset, as in tests."""
+    """A fresh path below spark.checkpoint.dir; below a temporary folder where that is unset and the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: scratch data needs a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         base = _own.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="ledgerlark-")
         _own[app] = base
