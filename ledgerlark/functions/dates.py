@@ -45,15 +45,13 @@ def date_range(c: Column) -> dict[str, Column]:
     left, right = F.trim(F.try_element_at(parts, F.lit(1))), F.trim(F.try_element_at(parts, F.lit(2)))
     year = F.regexp_extract(F.coalesce(right, F.lit("")), "([0-9]{4})", 1)
     bare = left.rlike(r"^[A-Za-z]{3,9}\s+[0-9]{1,2}$") & (year != "")
-    start = F.coalesce(F.when(bare, parse_datetime(F.concat(left, F.lit(", "), year))), parse_datetime(left))
-    end = parse_datetime(right)
     monthly = right.rlike(r"^[A-Za-z]{3,9}\s+[0-9]{4}$")
-    end = F.when(monthly, F.last_day(end).cast("timestamp")).otherwise(end)
     none = F.lit(None).cast("timestamp")
-    return {
-        "start": F.when(open_end, none).when(end < start, end).otherwise(start),
-        "end": F.when(open_end, none).when(end < start, start).otherwise(end),
-    }
+    # One-element lists bind what is used more than once: written out, the formats would repeat a hundred times.
+    sides = F.transform(F.array(F.when(bare, F.concat(left, F.lit(", "), year)), left, right), parse_datetime)
+    pair = F.transform(F.array(sides), lambda p: F.struct(F.coalesce(p[0], p[1]).alias("a"), F.when(monthly, F.last_day(p[2]).cast("timestamp")).otherwise(p[2]).alias("b")))
+    got = F.get(F.transform(pair, lambda p: F.struct(F.when(p["b"] < p["a"], p["b"]).otherwise(p["a"]).alias("start"), F.when(p["b"] < p["a"], p["a"]).otherwise(p["b"]).alias("end"))), F.lit(0))
+    return {"start": F.when(open_end, none).otherwise(got["start"]), "end": F.when(open_end, none).otherwise(got["end"])}
 
 
 def posting_freshness(posted: Column, as_of: Column) -> Column:

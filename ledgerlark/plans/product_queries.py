@@ -71,14 +71,21 @@ def event_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", C.event_status(said, start, end, deadline, F.to_timestamp_ntz(F.lit("2000-01-01 00:00:00"))).alias("status"))
 
 
-_PLACES = {
-    '{"city": "Bengaluru", "region": "KA", "country": "India"}': "Bengaluru, KA, India", '["Pune", {"name": "Goa"}, "Pune"]': "Pune, Goa", " Mumbai ": "Mumbai", '{"fullLocation": "X, Y", "city": "X"}': "X, Y", "{odd": "{odd", "": "",
-}
-
-
-@query(_values(list(_PLACES.items()), "raw, location"))
+@query("""
+SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_name || ', ' || n_name WHEN 1 THEN c_mktsegment || ', ' || c_name WHEN 2 THEN n_name || ' / ' || c_name ELSE '{' || c_name END AS location FROM customer JOIN nation ON n_nationkey = c_nationkey
+""")
 def flat_location(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(k,) for k in _PLACES], "raw string").select("raw", C.flat_location(F.col("raw")).alias("location"))
+    """Locations as JSON objects, lists of texts and objects, plain text and broken JSON."""
+    key, name, nation = F.col("c_custkey") % 4, F.col("c_name"), F.col("n_name")
+    listed = F.concat(F.lit("["), F.to_json(F.struct("c_mktsegment")), F.lit(","), F.to_json(F.struct(name.alias("name"))), F.lit(',{"name":"'), name, F.lit('"}]'))
+    raw = (
+        F.when(key == 0, F.to_json(F.struct(name.alias("city"), nation.alias("country"))))
+        .when(key == 1, F.regexp_replace(listed, r'\{"c_mktsegment":("[^"]*")\}', "$1"))
+        .when(key == 2, F.concat(F.lit("  "), nation, F.lit(" / "), name, F.lit(" ")))
+        .otherwise(F.concat(F.lit("{"), name))
+    )
+    df = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    return df.select("c_custkey", C.flat_location(raw).alias("location"))
 
 
 @query("""
@@ -91,26 +98,57 @@ def email_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", C.email_class(mail).alias("kind"), C.email_grade(status, mail).alias("grade"))
 
 
-_ROWS = [
-    (1, None, "Acme Pvt Ltd", "Python Developer", "https://acme.com/j/1", "fuzzy", "L1"), (2, None, "ACME", "Python  developer", "https://acme.com/j/9", "fingerprint", "L1"),
-    (3, "L2", "Other", "Else", "https://o.org/1", "lead_id", "L2"), (4, None, "Initech Limited", "Data Lead", "https://initech.com/jobs/7/?utm=1", "url", "L3"),
-    (5, None, "Globex", "Senior Backend Engineers", "https://globex.io/b", "fuzzy", "L4"), (6, None, "Newco", "Tester", "https://new.co/1", "created", None), (7, None, " ", None, "", "invalid", None),
-    (8, None, "Acme", "Python Developer", "https://other.com/j/1", "created", None), (9, None, "Newco", "tester!", "https://new.co/2", "in_file", None),
-]
-_LEADS = [("L1", "Acme", "Python Developer", "https://acme.com/j/5", 5), ("L0", "Acme", "python developer", "https://acme.com/j/6", 1), ("L2", "Zed", "Zed", "https://zed.org/1", 2), ("L3", "Initech Ltd", "Head of Data", "https://initech.com/jobs/7", 3), ("L4", "Globex Inc", "Senior Backend Engineer", "https://globex.io/a", 4)]
-
-
-@query(_values([(r[0], r[5], r[6]) for r in _ROWS], '"row", outcome, target'))
+#: Leads and file rows made of part, in SQL that Spark and DuckDB share: known ids, other spellings, other addresses, other orders of words.
+_HOST = "'https://c' || CAST(p_size AS STRING) || '.example.com'"
+_LEAD = {
+    "lead_id": "CAST(p_partkey AS STRING)", "company": "p_brand || ' Ltd'", "title": "p_name", "url": f"{_HOST} || '/j/' || CAST(p_partkey AS STRING)", "seen": "p_retailprice",
+}
+_KIND = "CASE WHEN p_partkey % 97 = 0 THEN 6 ELSE p_partkey % 6 END"
+_ROW = {
+    "row": "p_partkey",
+    "lead_id": f"CASE {_KIND} WHEN 0 THEN CAST(p_partkey AS STRING) END",
+    "company": f"CASE {_KIND} WHEN 0 THEN 'Other' WHEN 1 THEN upper(p_brand) || ' LTD.' WHEN 2 THEN p_brand || ' Limited' WHEN 5 THEN p_type WHEN 6 THEN ' ' ELSE p_brand || ' Ltd' END",
+    "title": f"CASE {_KIND} WHEN 0 THEN 'Else ' || CAST(p_partkey AS STRING) WHEN 1 THEN replace(p_name, ' ', '  ') WHEN 2 THEN 'Another role' WHEN 3 THEN split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) WHEN 4 THEN p_name || 's' WHEN 5 THEN 'Tester' ELSE p_name END",
+    "url": f"CASE {_KIND} WHEN 0 THEN 'https://o.example.org' WHEN 2 THEN {_HOST} || '/j/' || CAST(p_partkey AS STRING) || '/?utm=1' WHEN 5 THEN 'https://new.example.com/1' WHEN 6 THEN '' ELSE {_HOST} || '/x' END",
+}
+
+
+def _made(columns: dict[str, str]) -> list[str]:
+    return [f"{expression} AS `{name}`" for name, expression in columns.items()]
+
+
+_LADDER = f"""
+WITH raw_leads AS (SELECT {", ".join(_made(_LEAD))} FROM part), raw_rows AS (SELECT {", ".join(_made(_ROW))} FROM part),
+""".replace("`", '"') + r"""
+x AS (SELECT true AS known, NULL::BIGINT AS n, lead_id, company, title, url, seen FROM raw_leads UNION ALL SELECT false, "row", lead_id, company, title, url, NULL FROM raw_rows),
+k AS (SELECT *, lower(regexp_replace(company, '[^a-zA-Z0-9]', '', 'g')) || '|' || lower(regexp_replace(title, '[^a-zA-Z0-9]', '', 'g')) || '|' || regexp_extract(lower(url), '://([^/?#:]*)', 1) AS fp,
+  regexp_replace(regexp_replace(lower(trim(company)), ' (ltd|limited)\.?$', ''), '[^a-z0-9]', '', 'g') AS ck, rtrim(regexp_replace(lower(url), '[?#].*$', ''), '/') AS uk, regexp_extract(lower(url), '://([^/?#:]*)', 1) AS hk,
+  list_distinct(flatten(list_transform(list_filter(string_split(lower(title), ' '), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3))))) AS g FROM x),
+l AS (SELECT * FROM k WHERE known), r AS (SELECT *, min(n) OVER (PARTITION BY fp) AS first_n FROM k WHERE NOT known),
+p AS (SELECT fp, lead_id AS by_print FROM l QUALIFY row_number() OVER (PARTITION BY fp ORDER BY seen DESC, lead_id) = 1),
+u AS (SELECT uk, ck, lead_id AS by_url FROM l QUALIFY row_number() OVER (PARTITION BY uk, ck ORDER BY seen DESC, lead_id) = 1),
+f AS (SELECT r.n, l.lead_id AS near FROM r JOIN l ON l.ck = r.ck AND l.hk = r.hk WHERE len(list_intersect(l.g, r.g))::DOUBLE / (len(l.g) + len(r.g) - len(list_intersect(l.g, r.g))) >= 0.85
+  QUALIFY row_number() OVER (PARTITION BY r.n ORDER BY l.seen DESC, l.lead_id) = 1),
+j AS (SELECT r.*, i.lead_id AS by_id, by_print, by_url, near FROM r LEFT JOIN raw_leads i ON i.lead_id = r.lead_id LEFT JOIN p ON p.fp = r.fp LEFT JOIN u ON u.uk = r.uk AND u.ck = r.ck LEFT JOIN f ON f.n = r.n),
+o AS (SELECT n AS "row", CASE WHEN ck = '' AND uk = '' THEN 'invalid' WHEN first_n < n THEN 'in_file' WHEN by_id IS NOT NULL THEN 'lead_id' WHEN by_print IS NOT NULL THEN 'fingerprint' WHEN by_url IS NOT NULL THEN 'url' WHEN near IS NOT NULL THEN 'fuzzy' ELSE 'created' END AS outcome,
+  CASE WHEN ck <> '' OR uk <> '' THEN coalesce(by_id, by_print, by_url, near) END AS target FROM j)
+"""
+
+
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    return imports.resolve(part.selectExpr(*_made(_ROW)), part.selectExpr(*_made(_LEAD)))
+
+
+@query(_LADDER + "SELECT * FROM o")
 def import_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([r[:5] for r in _ROWS], "row int, lead_id string, company string, title string, url string")
-    leads = spark.createDataFrame(_LEADS, "lead_id string, company string, title string, url string, seen int")
-    return imports.resolve(rows, leads).select("row", "outcome", "target")
+    return _resolved(spark, sf_dir).select("row", "outcome", "target")
 
 
-@query("SELECT 9::BIGINT AS total_rows, 2::BIGINT AS created, 4::BIGINT AS merged, 2::BIGINT AS merged_fuzzy, 1::BIGINT AS skipped")
+@query(_LADDER + """SELECT count(*) AS total_rows, count(*) FILTER (WHERE outcome = 'created') AS created, count(*) FILTER (WHERE outcome IN ('lead_id', 'fingerprint', 'url', 'in_file')) AS merged,
+count(*) FILTER (WHERE outcome = 'fuzzy') AS merged_fuzzy, count(*) FILTER (WHERE outcome = 'invalid') AS skipped FROM o""")
 def import_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([r[:5] for r in _ROWS], "row int, lead_id string, company string, title string, url string")
-    return imports.tally(imports.resolve(rows, spark.createDataFrame(_LEADS, "lead_id string, company string, title string, url string, seen int")))
+    return imports.tally(_resolved(spark, sf_dir))
 
 
 @query("SELECT c_custkey, c_acctbal < 0 OR c_mktsegment = 'BUILDING' AS suppressed FROM customer")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import dates as D
@@ -61,52 +61,66 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(S.clean_text(F.col("text"), None)).alias("text_md5"))
 
 
-_MONEY = {"₹5 Lakh": 500000.0, "INR 1,00,000": 100000.0, "1.5 crore": 15000000.0, "$10,000": 10000.0, "no prize mentioned": None, "50k": 50000.0, "2 million": 2000000.0, "0": None, "3,500": 3500.0}
+_UNIT_SQL = "CASE {0} " + " ".join(f"WHEN '{u}' THEN {f:.1f}" for u, f in M.UNITS.items()) + " ELSE 1.0 END"
+_MONEY = r"([0-9]+(?:\.[0-9]+)?)\s*(lakhs|lakh|lpa|lacs|lac|crore|cr|thousand|k|million|mn)?"
 
 
-def _literal(value: object) -> str:
-    return "NULL" if value is None else f"'{value}'" if isinstance(value, str) else repr(value)
-
-
-@query("SELECT text, CAST(amount AS DOUBLE) AS amount FROM (VALUES " + ", ".join(f"({_literal(k)}, {_literal(v)})" for k, v in _MONEY.items()) + ") AS v(text, amount)")
+@query(f"""
+SELECT doc_id, CASE WHEN v > 0 THEN v END AS amount FROM (SELECT doc_id, TRY_CAST(regexp_extract(t, '{_MONEY}', 1) AS DOUBLE) * {_UNIT_SQL.format(f"regexp_extract(t, '{_MONEY}', 2)")} AS v
+FROM (SELECT doc_id, replace(lower(coalesce(text, '')), ',', '') AS t FROM documents))
+""")
 def parse_money(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(k,) for k in _MONEY], "text string").select("text", M.parse_money(F.col("text")).alias("amount"))
-
+    return table(spark, sf_dir, "documents").select("doc_id", M.parse_money(F.col("text")).alias("amount"))
 
-_SALARY = {
-    "₹25-45 LPA": (2500000.0, 4500000.0, "INR", "year"),
-    "3.5 - 6 lakh per annum": (350000.0, 600000.0, "", "year"),
-    "1 - 2 crore package": (10000000.0, 20000000.0, "", ""),
-    "Salary 50k - 80k": (50000.0, 80000.0, "", ""),
-    "$80,000 - $120,000 per year": (80000.0, 120000.0, "USD", "year"),
-    "₹12 - ₹15": (1200000.0, 1500000.0, "INR", ""),
-    "£900 per month": (None, None, "GBP", "month"),
-    "negotiable": (None, None, "", ""),
-    "€60,000 - 40,000": (40000.0, 60000.0, "EUR", ""),
-}
 
-
-@query("SELECT text, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high, currency, period FROM (VALUES " + ", ".join(f"({_literal(k)}, {', '.join(map(_literal, v))})" for k, v in _SALARY.items()) + ") AS v(text, low, high, currency, period)")
+@query(r"""
+WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
+m AS (SELECT doc_id, t, regexp_extract_all(regexp_replace(t, '([0-9])\s*k([^\pL\pN_]|$)', '\1' || chr(1) || '\2', 'g'), '[0-9][0-9,]*(?:\.[0-9]+)?' || chr(1) || '?') AS found, regexp_matches(t, '₹|(^|[^\pL\pN_])(rs|inr)([^\pL\pN_]|$)|(^|[^\pL\pN_])rs\.') AS rupees FROM d),
+v AS (SELECT *, list_transform(found, lambda x: TRY_CAST(replace(replace(x, ',', ''), chr(1), '') AS DOUBLE) * CASE WHEN contains(x, chr(1)) THEN 1000.0 ELSE 1.0 END) AS n FROM m),
+s AS (SELECT *, CASE WHEN regexp_matches(t, 'lakh|lpa| lac') THEN 1e5 WHEN regexp_matches(t, 'crore|cpa') THEN 1e7 WHEN rupees AND list_max(n) <= 500 THEN 1e5 ELSE 1.0 END AS f FROM v),
+e AS (SELECT *, n[1] * f AS a, n[-1] * f AS b FROM s)
+SELECT doc_id, CASE WHEN a >= 1000 AND b >= 1000 THEN least(a, b) END AS low, CASE WHEN a >= 1000 AND b >= 1000 THEN greatest(a, b) END AS high,
+  CASE WHEN rupees THEN 'INR' WHEN contains(t, '$') THEN 'USD' WHEN contains(t, '€') THEN 'EUR' WHEN contains(t, '£') THEN 'GBP' ELSE '' END AS currency,
+  CASE WHEN regexp_matches(t, 'month|/mo') THEN 'month' WHEN regexp_matches(t, 'year|annum|lpa|p\.a') THEN 'year' ELSE '' END AS period FROM e
+""")
 def salary_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = M.salary_bounds(F.col("text"))
-    return spark.createDataFrame([(k,) for k in _SALARY], "text string").select("text", *(c.alias(n) for n, c in parts.items()))
-
-
-_DATES = {"2026-03-05": "2026-03-05 00:00:00", "March 2026": "2026-03-01 00:00:00", "05/03/2026": "2026-03-05 00:00:00", "5 Mar 2026": "2026-03-05 00:00:00", "not a date": None, "1767225600": "2026-01-01 00:00:00", "1767225600000": "2026-01-01 00:00:00", "March 5, 2026": "2026-03-05 00:00:00", "2026-01-01T10:30:00Z": "2026-01-01 10:30:00", "Mon, 05 Jan 2026 10:00:00 GMT": "2026-01-05 10:00:00"}
+    return table(spark, sf_dir, "documents").select("doc_id", *(c.alias(n) for n, c in parts.items()))
 
 
-@query("SELECT text, day FROM (VALUES " + ", ".join(f"({_literal(k)}, {_literal(v)})" for k, v in _DATES.items()) + ") AS v(text, day)")
+@query("""
+SELECT o_orderkey, CASE o_orderkey % 8 WHEN 6 THEN strftime(date_trunc('month', o_orderdate), '%Y-%m-%d %H:%M:%S') WHEN 7 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS day FROM orders
+""")
 def parse_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(k,) for k in _DATES], "text string").select("text", F.date_format(D.parse_datetime(F.col("text")), "yyyy-MM-dd HH:mm:ss").alias("day"))
+    day = F.col("o_orderdate")
+    forms = ["yyyy-MM-dd", "dd/MM/yyyy", "d MMM yyyy", "MMMM d, yyyy", "EEE, dd MMM yyyy HH:mm:ss 'GMT'", "yyyy-MM-dd'T'HH:mm:ss'Z'", "MMM yyyy"]
+    said = F.concat(F.lit("on "), F.date_format(day, "yyyy"))
+    for k, form in enumerate(forms):
+        said = F.when(F.col("o_orderkey") % 8 == k, F.date_format(day, form)).otherwise(said)
+    return table(spark, sf_dir, "orders").withColumn("said", said).select("o_orderkey", F.date_format(D.parse_datetime(F.col("said")), "yyyy-MM-dd HH:mm:ss").alias("day"))
 
 
-_RANGES = {"Jan 01 - Jan 05, 2026": ("2026-01-01", "2026-01-05"), "2026-03-05 to 2026-03-07": ("2026-03-05", "2026-03-07"), "ongoing": (None, None), "2026-03-09 until 2026-03-07": ("2026-03-07", "2026-03-09"), "March 2026": ("2026-03-01", None)}
+@query("""
+WITH o AS (SELECT *, o_orderdate + to_days(CAST(o_custkey % 40 AS INT)) AS e, o_orderkey % 5 AS k FROM orders)
+SELECT o_orderkey, CASE WHEN k = 4 THEN NULL WHEN k = 2 AND year(o_orderdate) <> year(e) THEN strftime(least(o_orderdate + to_years(CAST(year(e) - year(o_orderdate) AS INT)), e), '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS first_day,
+  CASE WHEN k = 4 THEN NULL WHEN k = 3 THEN strftime(last_day(e), '%Y-%m-%d') WHEN k = 2 AND year(o_orderdate) <> year(e) THEN strftime(greatest(o_orderdate + to_years(CAST(year(e) - year(o_orderdate) AS INT)), e), '%Y-%m-%d') ELSE strftime(e, '%Y-%m-%d') END AS last_day FROM o
+""")
+def parse_date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start, k = F.col("o_orderdate"), F.col("o_orderkey") % 5
+    end = F.col("o_orderdate") + F.make_dt_interval(days=(F.col("o_custkey") % 40).cast("int"))
 
+    def said(first: str, between: str, last: str) -> Column:
+        return F.concat(F.date_format(start, first), F.lit(between), F.date_format(end, last))
 
-@query("SELECT text, first_day, last_day FROM (VALUES " + ", ".join(f"({_literal(k)}, {', '.join(map(_literal, v))})" for k, v in _RANGES.items()) + ") AS v(text, first_day, last_day)")
-def parse_date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = D.date_range(F.col("text"))
-    return spark.createDataFrame([(k,) for k in _RANGES], "text string").select("text", F.date_format(got["start"], "yyyy-MM-dd").alias("first_day"), F.date_format(got["end"], "yyyy-MM-dd").alias("last_day"))
+    text = (
+        F.when(k == 0, said("yyyy-MM-dd", " to ", "yyyy-MM-dd"))
+        .when(k == 1, F.concat(F.date_format(end, "d MMM yyyy"), F.lit(" until "), F.date_format(start, "d MMM yyyy")))
+        .when(k == 2, said("MMM dd", " - ", "MMM dd, yyyy"))
+        .when(k == 3, said("dd/MM/yyyy", " – ", "MMM yyyy"))
+        .otherwise(F.concat(F.date_format(start, "yyyy-MM-dd"), F.lit(" ongoing")))
+    )
+    got = D.date_range(F.col("said"))
+    return table(spark, sf_dir, "orders").withColumn("said", text).select("o_orderkey", F.date_format(got["start"], "yyyy-MM-dd").alias("first_day"), F.date_format(got["end"], "yyyy-MM-dd").alias("last_day"))
 
 
 @query("""
@@ -150,20 +164,31 @@ def contact_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id", identity.alias("identity")).agg(F.count("*").alias("n"))
 
 
-_NUMBERS = {"98765 43210": "+919876543210", "+91-98765-43210": "+919876543210", "098765 43210": "+919876543210", "12345": None, "+1 (415) 555-0100": "+14155550100"}
-
-
-@query("SELECT text, e164 FROM (VALUES " + ", ".join(f"({_literal(k)}, {_literal(v)})" for k, v in _NUMBERS.items()) + ") AS v(text, e164)")
+@query(r"""
+WITH n AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\+?[0-9][0-9 ()-]{7,}[0-9]'))) AS number FROM documents),
+d AS (SELECT *, regexp_replace(regexp_replace(number, '[^0-9]', '', 'g'), '^0+', '') AS d FROM n)
+SELECT doc_id, number, CASE WHEN regexp_full_match(d, '[6-9][0-9]{9}') THEN '+91' || d WHEN regexp_full_match(d, '91[6-9][0-9]{9}') OR starts_with(number, '+') AND length(d) BETWEEN 8 AND 15 THEN '+' || d END AS e164 FROM d
+""")
 def mobile_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(k,) for k in _NUMBERS], "text string").select("text", S.mobile_e164(F.col("text")).alias("e164"))
+    found = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\+?[0-9][0-9 ()-]{7,}[0-9]"), F.lit(0)))
+    numbers = table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("number"))
+    return numbers.select("doc_id", "number", S.mobile_e164(F.col("number")).alias("e164"))
 
 
-_SLUGS = {"https://boards.greenhouse.io/Acme/jobs/1": "acme", "https://jobs.lever.co/initech/2?x=1": "initech", "https://globex.recruitee.com/o/dev": "globex", "https://example.com/jobs": None}
+_LABEL = r"^[a-zA-Z]+://(?:www\.|m\.)?([a-zA-Z0-9-]+)"
 
 
-@query("SELECT url, slug FROM (VALUES " + ", ".join(f"({_literal(k)}, {_literal(v)})" for k, v in _SLUGS.items()) + ") AS v(url, slug)")
+@query(rf"SELECT page_id, CASE WHEN page_id % 4 < 3 THEN nullif(lower(regexp_extract(url, '{_LABEL}', 1)), '') END AS slug FROM pages")
 def ats_slug_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(k,) for k in _SLUGS], "url string").select("url", markup.ats_slug(F.col("url")).alias("slug"))
+    """Boards of the pages' hosts at three trackers, and the pages' own addresses, which are at none."""
+    key, label = F.col("page_id") % 4, F.regexp_extract("url", _LABEL, 1)
+    url = (
+        F.when(key == 0, F.concat(F.lit("https://boards.greenhouse.io/"), label, F.lit("/jobs/"), key))
+        .when(key == 1, F.concat(F.lit("https://jobs.lever.co/"), label, F.lit("/2?x=1")))
+        .when(key == 2, F.concat(F.lit("https://"), label, F.lit(".recruitee.com/o/dev")))
+        .otherwise(F.col("url"))
+    )
+    return table(spark, sf_dir, "pages").select("page_id", markup.ats_slug(url).alias("slug"))
 
 
 @query(r"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlark.functions import dates, money, scoring, similarity, strings
+from ledgerlark.functions import classify, dates, money, scoring, similarity, strings
 from ledgerlark.sources import markup, tabular
 
 
@@ -122,3 +122,68 @@ def test_headers_and_csv(spark, tmp_path):
     assert tabular.read_delimited(spark, f"file://{out}").columns == ["a", "b"]
     assert one(spark, tabular.csv_line(F.lit('a"b'), F.lit("=1"), F.lit(None).cast("string"))) == '"a""b","\'=1",""'
     assert one(spark, tabular.csv_line_plain(F.lit('a"b'), F.lit("x"))) == '"a""b",x'
+
+
+@pytest.mark.parametrize(
+    ("text", "amount"),
+    [("₹5 Lakh", 500000.0), ("INR 1,00,000", 100000.0), ("1.5 crore", 15000000.0), ("$10,000", 10000.0), ("no prize mentioned", None), ("50k", 50000.0), ("2 million", 2000000.0), ("0", None), ("3,500", 3500.0)],
+)
+def test_written_money(spark, text, amount):
+    assert one(spark, money.parse_money(F.col("a")), a=text) == amount
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("₹25-45 LPA", (2500000.0, 4500000.0, "INR", "year")),
+        ("3.5 - 6 lakh per annum", (350000.0, 600000.0, "", "year")),
+        ("1 - 2 crore package", (10000000.0, 20000000.0, "", "")),
+        ("Salary 50k - 80k", (50000.0, 80000.0, "", "")),
+        ("$80,000 - $120,000 per year", (80000.0, 120000.0, "USD", "year")),
+        ("₹12 - ₹15", (1200000.0, 1500000.0, "INR", "")),
+        ("£900 per month", (None, None, "GBP", "month")),
+        ("negotiable", (None, None, "", "")),
+        ("€60,000 - 40,000", (40000.0, 60000.0, "EUR", "")),
+    ],
+)
+def test_written_salaries(spark, text, want):
+    parts = money.salary_bounds(F.col("a"))
+    assert tuple(one(spark, F.struct(*(c.alias(n) for n, c in parts.items())), a=text)) == want
+
+
+@pytest.mark.parametrize(
+    ("text", "day"),
+    [
+        ("2026-03-05", "2026-03-05 00:00:00"), ("March 2026", "2026-03-01 00:00:00"), ("05/03/2026", "2026-03-05 00:00:00"), ("5 Mar 2026", "2026-03-05 00:00:00"), ("not a date", None), ("1767225600", "2026-01-01 00:00:00"),
+        ("1767225600000", "2026-01-01 00:00:00"), ("March 5, 2026", "2026-03-05 00:00:00"), ("2026-01-01T10:30:00Z", "2026-01-01 10:30:00"), ("Mon, 05 Jan 2026 10:00:00 GMT", "2026-01-05 10:00:00"),
+    ],
+)
+def test_written_dates(spark, text, day):
+    assert one(spark, F.date_format(dates.parse_datetime(F.col("a")), "yyyy-MM-dd HH:mm:ss"), a=text) == day
+
+
+@pytest.mark.parametrize(
+    ("text", "first", "last"),
+    [
+        ("Jan 01 - Jan 05, 2026", "2026-01-01", "2026-01-05"), ("2026-03-05 to 2026-03-07", "2026-03-05", "2026-03-07"), ("ongoing", None, None), ("2026-03-09 until 2026-03-07", "2026-03-07", "2026-03-09"),
+        ("March 2026", "2026-03-01", None), (None, None, None),
+    ],
+)
+def test_written_periods(spark, text, first, last):
+    got = dates.date_range(F.col("a"))
+    assert tuple(one(spark, F.struct(*(F.date_format(got[k], "yyyy-MM-dd").alias(k) for k in ("start", "end"))), a=text)) == (first, last)
+
+
+@pytest.mark.parametrize(("text", "e164"), [("98765 43210", "+919876543210"), ("+91-98765-43210", "+919876543210"), ("098765 43210", "+919876543210"), ("12345", None), ("+1 (415) 555-0100", "+14155550100")])
+def test_written_numbers(spark, text, e164):
+    assert one(spark, strings.mobile_e164(F.col("a")), a=text) == e164
+
+
+@pytest.mark.parametrize(
+    ("raw", "place"),
+    [
+        ('{"city": "Bengaluru", "region": "KA", "country": "India"}', "Bengaluru, KA, India"), ('["Pune", {"name": "Goa"}, "Pune"]', "Pune, Goa"), (" Mumbai ", "Mumbai"), ('{"fullLocation": "X, Y", "city": "X"}', "X, Y"), ("{odd", "{odd"), ("", ""),
+    ],
+)
+def test_written_places(spark, raw, place):
+    assert one(spark, classify.flat_location(F.col("a")), a=raw) == place

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ledgerlark.operators import lifecycle, matching, merging, prediction, ranking, rollups, sweeps
+from ledgerlark.operators import imports, lifecycle, matching, merging, prediction, ranking, rollups, sweeps
 from ledgerlark.sources import tabular
 from ledgerlark.streaming import flows
 
@@ -229,3 +229,18 @@ def test_name_keys_against_python(spark, sf_dir):
     for r in name_key_folded(spark, sf_dir).collect():
         folded = unicodedata.normalize("NFKD", " ".join(texts[r.doc_id].split())).encode("ascii", "ignore").decode()
         assert r.key == re.sub("[^a-z0-9]", "", folded.lower())
+
+
+def test_import_ladder_steps(spark):
+    """Each step of the ladder once, against five known leads."""
+    rows = [
+        (1, None, "Acme Pvt Ltd", "Python Developer", "https://acme.com/j/1", "fuzzy", "L1"), (2, None, "ACME", "Python  developer", "https://acme.com/j/9", "fingerprint", "L1"),
+        (3, "L2", "Other", "Else", "https://o.org/1", "lead_id", "L2"), (4, None, "Initech Limited", "Data Lead", "https://initech.com/jobs/7/?utm=1", "url", "L3"),
+        (5, None, "Globex", "Senior Backend Engineers", "https://globex.io/b", "fuzzy", "L4"), (6, None, "Newco", "Tester", "https://new.co/1", "created", None), (7, None, " ", None, "", "invalid", None),
+        (8, None, "Acme", "Python Developer", "https://other.com/j/1", "created", None), (9, None, "Newco", "tester!", "https://new.co/2", "in_file", None),
+    ]
+    known = [("L1", "Acme", "Python Developer", "https://acme.com/j/5", 5), ("L0", "Acme", "python developer", "https://acme.com/j/6", 1), ("L2", "Zed", "Zed", "https://zed.org/1", 2), ("L3", "Initech Ltd", "Head of Data", "https://initech.com/jobs/7", 3), ("L4", "Globex Inc", "Senior Backend Engineer", "https://globex.io/a", 4)]
+    leads = spark.createDataFrame(known, "lead_id string, company string, title string, url string, seen int")
+    resolved = imports.resolve(spark.createDataFrame([r[:5] for r in rows], "row int, lead_id string, company string, title string, url string"), leads)
+    assert sorted((r.row, r.outcome, r.target) for r in resolved.collect()) == [(r[0], r[5], r[6]) for r in rows]
+    assert tuple(imports.tally(resolved).first()) == (9, 2, 4, 2, 1)
