@@ -1,19 +1,38 @@
 """Structured Streaming flows: keyed dedup, windows, sessions, breaker, cooldown, idempotent sinks.
 
-Event time and watermarks take the place of wall clocks, so a replay gives the same answer. Every sink
-is idempotent by batch id or by key, so a batch that runs again after a lost executor does no harm.
+Event time and watermarks take the place of wall clocks, so a replay gives the same answer. Sinks are
+file sinks, whose log makes them exactly once, so a batch that runs again after a lost executor does no harm.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import contextlib
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ledgerlark.operators.merging import insert_ignore
+#: State on the executors' disks with a log of changes in the checkpoint, so it may outgrow memory.
+ROCKSDB = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextlib.contextmanager
+def on_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries that start inside keep their state in RocksDB; the session's own settings come back."""
+    old = {k: spark.conf.get(k, None) for k in ROCKSDB}
+    try:
+        for k, v in ROCKSDB.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def deduplicated(events: DataFrame, keys: list[str], stamp: str, within: str = "30 days") -> DataFrame:
@@ -36,9 +55,15 @@ def sessions(events: DataFrame, stamp: str, gap: str, late: str, key: str) -> Da
     return got.select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "events")
 
 
-def breaker_states(ok: pd.Series, at: pd.Series, failures: int, until: float, limit: int, rest: float) -> Iterator[tuple[str, int, float]]:
-    """State after each call: open for `rest` seconds once `limit` calls in a row have failed; then one may try."""
+def breaker_states(ok: pd.Series, at: pd.Series, failures: int, until: float, limit: int, rest: float, forget: float = float("inf"), last: float = float("inf")) -> Iterator[tuple[str, int, float]]:
+    """State after each call: open for `rest` once `limit` calls in a row have failed; then one may try.
+
+    After a pause of over `forget` since the last call (at `last`) nothing is known of the calls before.
+    """
     for good, t in zip(ok.tolist(), at.tolist(), strict=True):
+        if t - last > forget:
+            failures, until = 0, 0.0
+        last = t
         if t < until:
             yield "open", failures, until
             continue
@@ -47,32 +72,78 @@ def breaker_states(ok: pd.Series, at: pd.Series, failures: int, until: float, li
         yield ("open" if failures >= limit else "closed"), failures, until
 
 
-def breaker(events: DataFrame, key: str, ok: str, at: str, limit: int = 5, rest: float = 7200.0) -> DataFrame:
-    """key, at, state of every call in a stream; the state store holds two numbers for each key."""
+class _Breaker(StatefulProcessor):
+    """Failures in a row, the end of the rest and the last call of a key.
+
+    A key without failures has the state of a new key, so it is dropped at once; the others go by a timer in event
+    time, `forget` after their last call.
+    """
+
+    def __init__(self, key: str, ok: str, at: str, limit: int, rest: float, forget: float):
+        self.names, self.rule, self.forget = (key, ok, at), (limit, rest, forget), forget
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.calls = handle.getValueState("calls", "failures int, until double, last double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803  the names of the interface
+        name, ok, at = self.names
+        failures, until, last = self.calls.get() if self.calls.exists() else (0, 0.0, float("inf"))
+        calls = pd.concat(list(rows)).sort_values(at, kind="stable")
+        states = []
+        for state, failures, until in breaker_states(calls[ok], calls[at], failures, until, *self.rule, last):
+            states.append(state)
+        last = float(calls[at].iloc[-1])
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if failures == 0:
+            self.calls.clear()
+        else:
+            self.calls.update((failures, until, last))
+            if self.forget != float("inf"):
+                self.handle.registerTimer(int((last + self.forget) * 1000) + 1)
+        yield pd.DataFrame({name: key[0], at: calls[at].to_numpy(), "state": states})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        self.calls.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
 
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failures, until = state.get if state.exists else (0, 0.0)
-        calls = pd.concat(list(frames)).sort_values(at, kind="stable")
-        rows = []
-        for t, (name, failures, until) in zip(calls[at], breaker_states(calls[ok], calls[at], failures, until, limit, rest), strict=True):
-            rows.append((k[0], t, name))
-        state.update((failures, until))
-        yield pd.DataFrame(rows, columns=[key, at, "state"])
 
-    kind = events.schema[key].dataType.simpleString()
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {at} double, state string", "failures int, until double", "append", GroupStateTimeout.NoTimeout)
+def _breaker_schema(events: DataFrame, key: str, at: str) -> str:
+    return f"{key} {events.schema[key].dataType.simpleString()}, {at} double, state string"
 
 
-def breaker_batch(events: DataFrame, key: str, ok: str, at: str, limit: int = 5, rest: float = 7200.0) -> DataFrame:
-    """breaker() over a table. A key's calls are one group, as the state depends on their order."""
+def breaker(events: DataFrame, key: str, ok: str, stamp: str, limit: int = 5, rest: float = 7200.0, forget: float | None = None, late: str = "1 hour") -> DataFrame:
+    """key, stamp (seconds) and state of every call in a stream; the state store holds only keys with failures.
 
-    def run(k: tuple, calls: pd.DataFrame) -> pd.DataFrame:
-        calls = calls.sort_values(at, kind="stable")
-        states = [s for s, _, _ in breaker_states(calls[ok], calls[at], 0, 0.0, limit, rest)]
-        return pd.DataFrame({key: k[0], at: calls[at], "state": states})
+    forget: seconds without a call after which a key begins anew. Times are the calls' own. Start it on_rocksdb().
+    """
+    rows = events.withWatermark(stamp, late).select(key, ok, F.col(stamp).alias("_stamp"), (F.unix_micros(F.col(stamp)) / 1e6).alias(stamp))
+    own = _Breaker(key, ok, stamp, limit, rest, float("inf") if forget is None else forget)
+    return rows.groupBy(key).transformWithStateInPandas(own, _breaker_schema(rows, key, stamp), "append", "eventTime")
+
+
+def breaker_batch(events: DataFrame, key: str, ok: str, stamp: str, limit: int = 5, rest: float = 7200.0, forget: float | None = None) -> DataFrame:
+    """breaker() over a table. A key's calls come in order to one task, as the state depends on the order; it holds a batch of them at a time."""
+    rows = events.select(key, ok, (F.unix_micros(F.col(stamp).cast("timestamp")) / 1e6).alias(stamp))
+    rule = (limit, rest, float("inf") if forget is None else forget)
 
-    kind = events.schema[key].dataType.simpleString()
-    return events.groupBy(key).applyInPandas(run, f"{key} {kind}, {at} double, state string")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, failures, until, last = None, 0, 0.0, float("inf")
+        for f in frames:
+            for k, calls in f.groupby(key, sort=False, dropna=False):
+                if k != own and not (pd.isna(k) and pd.isna(own) and own is not None):
+                    own, failures, until, last = k, 0, 0.0, float("inf")
+                states = []
+                for state, failures, until in breaker_states(calls[ok], calls[stamp], failures, until, *rule, last):
+                    states.append(state)
+                last = float(calls[stamp].iloc[-1])
+                yield pd.DataFrame({key: calls[key], stamp: calls[stamp], "state": states})
+
+    return rows.repartition(key).sortWithinPartitions(key, stamp).mapInPandas(run, _breaker_schema(rows, key, stamp))
 
 
 def cooled(sends: DataFrame, history: DataFrame, key: str, stamp: str, hours: int = 24) -> DataFrame:
@@ -110,22 +181,40 @@ def reclaimed(jobs: DataFrame, state: str, stamp: str, as_of: Column, minutes: i
     return jobs.withColumn(state, F.when(late, "stored").otherwise(F.col(state)))
 
 
-def ingest(path: str, keys: list[str], transform: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink: rows of keys that the table doesn't have yet, one folder for each batch id.
+class _First(StatefulProcessor):
+    """How often a key came, for ever; its first row is the least of the first batch that has the key."""
+
+    def __init__(self, keys: Sequence[str], order: Sequence[str], names: Sequence[str]):
+        self.keys, self.order, self.names = list(keys), list(order), list(names)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "n long")
 
-    A batch that runs again overwrites its own folder, and compares with the other ones only.
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        n, best = self.seen.get()[0] if self.seen.exists() else 0, None
+        known = n > 0
+        for f in rows:
+            n += len(f)
+            if not known:
+                best = pd.concat([f] if best is None else [best, f]).sort_values(self.order, kind="stable").head(1)
+        self.seen.update((n,))
+        if best is not None:
+            yield best[self.names]
+
+    def close(self) -> None:
+        pass
+
+
+def first_seen(stream: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The first row of each key, once for ever: insert-or-ignore on a stream.
+
+    What was delivered is known from the state store alone, a counter for each key, so a batch costs by its own rows, not
+    by what the sink holds. Of the rows of a key in one batch the least by `order` is the first.
     """
+    schema = T.StructType([stream.schema[c] for c in stream.columns])
+    return stream.groupBy(*keys).transformWithStateInPandas(_First(keys, order, stream.columns), schema, "append", "none")
+
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = transform(batch)
-        try:
-            old = spark.read.parquet(path).where(F.col("batch") != batch_id).select(*new.columns)
-        except Exception as e:  # the first batch has no table yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            old = new.limit(0)
-        fresh = insert_ignore(old.limit(0), new, keys).join(old.select(*keys).distinct(), keys, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return run
+def distinct_forever(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row of each key, once for ever, where all rows of a key are the same (a checksum is one of the keys): Spark's own state, without Python."""
+    return stream.dropDuplicates(list(keys))

@@ -47,4 +47,4 @@ def test_query(spark, sf_dir, duck, name):
 
 def test_every_query_without_sql_is_known():
     without = set(registry.queries()) - set(registry.oracle_sql())
-    assert without == {"name_key_folded", "difflib_similarity", "person_similarity", "same_college_pairs", "same_event_pairs", "stream_breaker", "breaker_batch"}
+    assert without == {"name_key_folded", "difflib_similarity", "person_similarity", "same_college_pairs", "same_event_pairs"}
