@@ -11,7 +11,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.functions.similarity import levenshtein_similarity, overlap, ratio, trigrams
+from ledgerlark.functions.similarity import levenshtein_similarity, ratio, trigrams
+from ledgerlark.operators import simjoin
 from ledgerlark.operators.ranking import best_per
 
 #: Fixed value: similarity from which two records are the same.
@@ -34,8 +35,16 @@ def fuzzy_pairs(df: DataFrame, key: str, text: str, block: Sequence[str], measur
 
 
 def trigram_pairs(df: DataFrame, key: str, text: str, block: Sequence[str], least: float = SAME) -> DataFrame:
-    """fuzzy_pairs by trigrams, which are listed once for each row and not once for each pair."""
-    return fuzzy_pairs(df.withColumn("_grams", trigrams(F.col(text))), key, "_grams", block, overlap, least)
+    """fuzzy_pairs by trigrams, joined on the rare ones. Rows without a trigram, or of a NULL block, are like nothing."""
+    rows = df.dropna(subset=list(block)).select(key, *block, F.sort_array(trigrams(F.col(text))).alias("_grams"))
+    heads, members = simjoin.classes(rows.where(F.size("_grams") > 0), key, "_grams", block)
+    return simjoin.row_pairs(simjoin.similar_sets(heads, key, "_grams", block, least), members, key)
+
+
+def edit_pairs(df: DataFrame, key: str, text: str, block: Sequence[str], least: float = SAME) -> DataFrame:
+    """fuzzy_pairs by edits, joined on pieces that stay. NULL texts and rows of a NULL block are like nothing."""
+    heads, members = simjoin.classes(df.dropna(subset=[text, *block]), key, text, block)
+    return simjoin.row_pairs(simjoin.similar_strings(heads, key, text, block, least), members, key)
 
 
 def first_match(new: DataFrame, known: DataFrame, key: str, text: str, block: Sequence[str], stamp: str, per: int | None = None, least: float = SAME) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions import similarity as L
 from ledgerlark.functions import strings as S
-from ledgerlark.operators import matching
+from ledgerlark.operators import matching, simjoin
 from ledgerlark.plans.registry import query
 from ledgerlark.tables import table
 
@@ -19,7 +19,7 @@ SELECT a.p_partkey AS "left", b.p_partkey AS "right", round(1.0 - levenshtein(a.
 FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE 1.0 - levenshtein(a.p_name, b.p_name)::DOUBLE / greatest(length(a.p_name), length(b.p_name)) >= 0.6
 """)
 def fuzzy_levenshtein_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.fuzzy_pairs(table(spark, sf_dir, "part"), "p_partkey", "p_name", ["p_brand", "p_size"], least=0.6).withColumn("similarity", F.round("similarity", 6))
+    return matching.edit_pairs(table(spark, sf_dir, "part"), "p_partkey", "p_name", ["p_brand", "p_size"], least=0.6).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("""
@@ -31,6 +31,22 @@ def fuzzy_trigram_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.trigram_pairs(table(spark, sf_dir, "part"), "p_partkey", "p_name", ["p_brand", "p_size"], 0.3).withColumn("similarity", F.round("similarity", 6))
 
 
+@query("""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, list_sort(list_distinct(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))) AS w FROM conversations),
+h AS (SELECT role, w, min({'c': conv_id, 't': turn}) AS head FROM t GROUP BY 1, 2),
+p AS (SELECT a.head AS x, b.head AS y, len(list_intersect(a.w, b.w)) AS n, len(a.w) + len(b.w) AS s FROM h a JOIN h b ON a.role = b.role AND a.head <> b.head),
+l AS (SELECT x, count(*) AS links FROM p WHERE n::DOUBLE / (s - n) >= 0.8 GROUP BY 1)
+SELECT conv_id, turn, head.c AS head_conv, head.t AS head_turn, coalesce(links, 0) AS links FROM t JOIN h ON h.role = t.role AND h.w = t.w LEFT JOIN l ON l.x = h.head
+""")
+def similar_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of a role with the same words, and how many other sets of words are like theirs."""
+    words = F.sort_array(F.array_distinct(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")))
+    rows = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("row"), F.coalesce("role", F.lit("")).alias("role"), words.alias("words"))
+    heads, members = simjoin.classes(rows, "row", "words", ["role"])
+    got = simjoin.link_counts(simjoin.similar_sets(heads, "row", "words", ["role"], 0.8), members, "row")
+    return got.select("row.conv_id", "row.turn", F.col("representative.conv_id").alias("head_conv"), F.col("representative.turn").alias("head_turn"), "links")
+
+
 @query("""
 WITH k AS (SELECT p_partkey, p_brand, p_size, p_name, p_retailprice FROM part), c AS (
  SELECT a.p_partkey, b.p_partkey AS m, round(1.0 - levenshtein(a.p_name, b.p_name)::DOUBLE / greatest(length(a.p_name), length(b.p_name)), 6) AS s, row_number() OVER (PARTITION BY a.p_partkey ORDER BY b.p_retailprice DESC, b.p_partkey) AS r
