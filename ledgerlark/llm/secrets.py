@@ -11,13 +11,14 @@ match in a layer counts for that span.
 Null texts are empty. Repeated rows each get their row. Very long texts are scanned whole. Extra
 columns are ignored by scan() and kept by redact(), whatever their names. Empty tables give empty
 tables. What is compressed is inflated piece by piece, member by member, and scanned whole in windows that overlap
-by OVERLAP bytes; all it holds counts for the span of the compressed bytes.
+by OVERLAP bytes; what begins in a window and goes on behind it is followed as a stream. All it holds counts for the span of the compressed bytes.
 """
 
 from __future__ import annotations
 
 import base64
 import bz2
+import codecs
 import hashlib
 import itertools
 import lzma
@@ -47,6 +48,12 @@ _LEAST, _LEAST_BASE64 = 16, 22
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]+(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)*")
 _PRINTABLE = re.compile(rb"[\t\n\r\x20-\x7e]{%d,}" % _LEAST)
 _PACKED = re.compile(rb"(?=\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00)")
+#: A base64 run in bytes, maybe behind a line break of a run before it.
+_RUN = re.compile(rb"(?:[ \t]*\r?\n[ \t]*)?[A-Za-z0-9+/_-]+(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)*")
+_IN_RUN = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_- \t\r\n"))
+_DIGITS = bytes.maketrans(b"-_", b"+/")
+#: An escape that doesn't go on with the character of the one before it.
+_NEW_ESCAPE = re.compile(r"%(?![89ABab])|\\(?!u[dD][c-fC-F]|x[89abAB])")
 _NO_BASE64 = re.compile(r"[ \t\r\n]+")
 _LONE = re.compile("[\ud800-\udfff]")
 
@@ -148,10 +155,13 @@ def _pieces(raw: bytes, at: int) -> Iterator[bytes]:
 
 
 class Members:
-    """What the compressed members at the start of some pieces of bytes hold, piece by piece; used: bytes they take."""
+    """What the compressed members at the start of some pieces of bytes hold, piece by piece.
+
+    used: bytes they take; cut: whether the last one would have gone on.
+    """
 
     def __init__(self, pieces: Iterator[bytes]) -> None:
-        self.pieces, self.pulled, self.used = pieces, 0, 0
+        self.pieces, self.pulled, self.used, self.cut = pieces, 0, 0, False
 
     def _pull(self) -> bytes | None:
         piece = next(self.pieces, None)
@@ -172,7 +182,7 @@ class Members:
                     yield out
                 elif not stream.eof and not data:
                     if (piece := self._pull()) is None:
-                        self.used = self.pulled
+                        self.used, self.cut = self.pulled, True
                         return
                     data = piece
             data = stream.unused_data
@@ -219,31 +229,119 @@ def _texts(raw: bytes) -> Iterator[tuple[str, np.ndarray]]:
         yield text.replace("\0", ""), np.stack([end - size, end])[:, held]
 
 
-def _kinds_of(make: Callable[[], Iterator[bytes]], above: frozenset, depth: int) -> tuple[set[int], int]:
-    """The kinds found in a stream of bytes and in all layers inside it, and the deepest of these layers."""
+def _behind(make: Callable[[], Iterator[bytes]], at: int) -> Iterator[bytes]:
+    """A stream from a place on."""
+    for piece in make():
+        if at < len(piece):
+            yield piece[at:] if at else piece
+        at = max(0, at - len(piece))
+
+
+def _open_run(window: bytes) -> int | None:
+    """Where the base64 run begins that stands at the end of a window."""
+    tail = window.rstrip(b" \t\r\n")
+    last = np.flatnonzero(~_IN_RUN[np.frombuffer(tail, dtype=np.uint8)])
+    start = int(last[-1]) + 1 if len(last) else 0
+    at = None
+    for m in _RUN.finditer(window, start):
+        at = m.start() + len(m[0]) - len(m[0].lstrip(b" \t\r\n")) if m.end() == len(tail) else None
+    return at
+
+
+def _base64_stream(pieces: Iterator[bytes], skip: int) -> Iterator[bytes]:
+    """What the base64 run at the start of a stream holds, `skip` of its digits left out."""
+    held = digits = b""
+    for piece in pieces:
+        held += piece
+        m = _RUN.match(held)
+        run, held = (m[0], held[m.end() :]) if m else (b"", held)
+        digits += run.translate(_DIGITS, b" \t\r\n")
+        skip, digits = max(0, skip - len(digits)), digits[skip:]
+        whole = len(digits) // 4 * 4
+        if whole:
+            yield base64.b64decode(digits[:whole])
+        digits = digits[whole:]
+        if held.strip(b" \t\r\n"):
+            break
+    if len(digits) > 1:
+        yield base64.b64decode(digits + b"=" * (-len(digits) % 4))
+
+
+def _unescaped_stream(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """A stream with its escapes decoded; a piece ends before an escape that the next piece may go on with."""
+    reader, held = codecs.getincrementaldecoder("utf-8")("surrogateescape"), ""
+    for piece in pieces:
+        held += reader.decode(piece)
+        cut = [m.start() for m in _NEW_ESCAPE.finditer(held, max(0, len(held) - 64))]
+        end = cut[-1] if cut and cut[-1] else len(held)
+        ready, held = held[:end], held[end:]
+        yield _ESCAPES.sub(lambda m: "".join(c for c, _ in _escaped(m[0])), ready).encode("utf-8", "surrogateescape")
+    held += reader.decode(b"", True)
+    yield _ESCAPES.sub(lambda m: "".join(c for c, _ in _escaped(m[0])), held).encode("utf-8", "surrogateescape")
+
+
+def _kinds_of(make: Callable[[], Iterator[bytes]], above: frozenset, depth: int, packed: bool = True) -> tuple[set[int], int]:
+    """The kinds found in a stream of bytes and in all layers inside it, and the deepest of these layers. packed: whether it may hold compressed members.
+
+    A window is a layer like another. What begins in it and goes on behind its end, a compressed member or a
+    base64 run, is followed as a stream of its own over the windows behind; it is followed where it isn't whole in the next
+    window. A stream of several windows that has escapes or zero bytes is also taken without them, as a whole.
+    """
     kinds: set[int] = set()
     seen: set[bytes] = set()
-    deepest, first = 0, None
+    deepest, first, step, n, escapes, zeros = 0, None, WINDOW - OVERLAP, 0, False, False
+
+    def follow(stream: Callable[[], Iterator[bytes]], over: frozenset, packed: bool = True) -> None:
+        nonlocal kinds, deepest
+        if len(kinds) < len(KINDS):
+            more, deep = _kinds_of(stream, over, depth + 1, packed)
+            kinds, deepest = kinds | more, max(deepest, deep)
+
     for window in windows(make()):
+        at, n = n * step, n + 1
         key = hashlib.blake2b(window).digest()
         first = first or (key, window[:8])
-        if key in above or key in seen or len(kinds) == len(KINDS):
+        if key in above or len(kinds) == len(KINDS):
             continue
-        seen.add(key)
         inside = above | {key}
-        for text, _ in _texts(window):
+        for text, _ in _texts(window) if key not in seen else ():
             if text not in above:
                 flat = np.broadcast_to(np.int64(0), (len(text),))
                 found, deep = _closure(Layer(text, flat, flat, inside, depth))
                 kinds |= {k for _, k, _ in found}
                 deepest = max(deepest, deep)
-        for k in (m.start() for m in _PACKED.finditer(window)):
-            if k or key != first[0]:
-                more, deep = _kinds_of(lambda k=k, w=window: iter(Members(_pieces(w, k))), inside, depth + 1)
-                kinds, deepest = kinds | more, max(deepest, deep)
-    if first and first[0] not in above and _decoder(first[1]) is not None:
-        more, deep = _kinds_of(lambda: iter(Members(make())), above | {first[0]}, depth + 1)
-        kinds, deepest = kinds | more, max(deepest, deep)
+        seen.add(key)
+        goes_on = len(window) == WINDOW
+        for k in (m.start() for m in _PACKED.finditer(window if packed else b"")):
+            if k or n > 1:
+                made: list[Members] = []
+
+                def inner(k: int = k, w: bytes = window, made: list[Members] = made) -> Iterator[bytes]:
+                    made.append(Members(_pieces(w, k)))
+                    return iter(made[-1])
+
+                follow(inner, inside)
+                if goes_on and k <= step and made and made[0].cut:
+                    follow(lambda k=at + k: iter(Members(_behind(make, k))), inside)
+        run = _open_run(window) if goes_on else None
+        if run is not None and run <= step and (run or n == 1):
+            for skip in range(4):
+                follow(lambda run=at + run, skip=skip: _base64_stream(_behind(make, run), skip), inside)
+        escapes = escapes or b"%" in window or b"\\" in window
+        zeros = zeros or b"\0" in window
+    if first and packed and first[0] not in above and _decoder(first[1]) is not None:
+        follow(lambda: iter(Members(make())), above | {first[0]})
+    if n > 1 and escapes:
+        plain = hashlib.blake2b()
+        for piece in make():
+            plain.update(piece)
+        other = hashlib.blake2b()
+        for piece in _unescaped_stream(make()):
+            other.update(piece)
+        if other.digest() != plain.digest():
+            follow(lambda: _unescaped_stream(make()), above | seen, packed=False)
+    if n > 1 and zeros:
+        follow(lambda: (piece.replace(b"\0", b"") for piece in make()), above | seen, packed=False)
     return kinds, deepest
 
 

@@ -166,6 +166,32 @@ def test_large_layers_are_scanned_whole(pack, where, monkeypatch):
     assert SECRET not in secrets.redacted(text) and len(secrets.redacted(text)) < 120
 
 
+FILL = " ".join(hashlib.sha256(str(k).encode()).hexdigest()[:9] + "." for k in range(9000)).encode()  # packs badly
+
+
+@pytest.mark.parametrize("middle", ["gzip", "zlib", "bz2", "lzma", "base64", "lines", "base64 gzip", "gzip base64", "base64 base64", "zlib bz2", "lines gzip base64", "percent", "utf-16", "percent base64", "base64 utf-16"])
+@pytest.mark.parametrize("lead", [0, 1, 9_000, 16_000, 40_000])
+def test_nested_streams_go_over_the_edges_of_windows(middle, lead, monkeypatch):
+    """What a small window gives is what an unbounded one gives: nothing is lost at an edge."""
+    packs = {
+        "gzip": gzip.compress, "zlib": zlib.compress, "bz2": bz2.compress, "lzma": lzma.compress, "base64": base64.b64encode, "utf-16": lambda raw: raw.decode("latin-1").encode("utf-16-le"),
+        "lines": base64.encodebytes, "percent": lambda raw: "".join(f"%{b:02X}" for b in raw).encode(),
+    }
+    raw = FILL + b" " + SECRET.encode() + b" " + FILL[:30_000]
+    for name in reversed(middle.split()):
+        raw = packs[name](raw)
+    code = base64.b64encode(gzip.compress(FILL[:lead] + b" cfg = " * (lead > 0) + raw + b" . " + FILL[:5000])).decode()
+    text = f"é before {code} after"
+    want = secrets.scan_text(text)[1]
+    assert any(s < 12 and e > len(text) - 12 for s, _, e in want)
+    monkeypatch.setattr(secrets, "PIECE", 1 << 12)
+    monkeypatch.setattr(secrets, "WINDOW", 1 << 14)
+    monkeypatch.setattr(secrets, "OVERLAP", 1 << 11)
+    got = secrets.scan_text(text)[1]
+    assert set(want) <= set(got)  # bytes that look like a stream and are none may give more at other edges
+    assert all(9 <= s < e <= len(text) - 6 for s, _, e in got) and len(got) <= len(want) + 1
+
+
 def test_a_stream_that_holds_itself_ends(monkeypatch):
     """Layers of zeros, and streams whose content begins like them again."""
     monkeypatch.setattr(secrets, "WINDOW", 1 << 14)
