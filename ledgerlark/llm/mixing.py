@@ -2,13 +2,13 @@
 
 Sources in code-point order (null last) weigh 1, 2, 3, repeating. A source's target is its share of
 all words, at most `epochs` times its own words; what is above goes to the others by weight. Targets
-become whole blocks by highest quotients, each source's blocks are apportioned to its shards in
+become whole blocks by highest quotients (blocks small enough for the least target to have PARTS of them), each source's blocks are apportioned to its shards in
 the same way, down a tree of at most FAN branches a node, and a shard takes whole passes over its documents plus the first blocks of its
 documents in seeded order.
 
 Only sources are rows on the driver, a name and a number each. Documents go to shards by a seeded hash of doc_id and text,
-so null or repeated ids spread. Rows equal in doc_id, source and text are one entry with a count and take the same number
-of words each. Null texts have size 0 and null sources form one source. Sources without words have target 0. Empty tables
+so null or repeated ids spread. Rows equal in doc_id, source and text are one entry with a count and take the same number of
+words each, give or take one. An entry goes to shards in pieces of COPIES rows, so a row that is repeated often is no hot key. Null texts have size 0 and null sources form one source. Sources without words have target 0. Empty tables
 give empty tables. Columns other than doc_id, text and source don't matter.
 """
 
@@ -27,11 +27,13 @@ from ledgerlark.llm.common import WORD, staged, text_of
 
 #: Branches of a node of the tree of a source's shards.
 FAN = 256
+#: Blocks that the least target has at least (if it has the words), and rows of an entry that go to a shard together.
+PARTS, COPIES = 512, 1024
 
 
 @dataclass(frozen=True)
 class Plan:
-    """block: words of a block; shard: words of a shard, about."""
+    """block: words of a block at most; shard: words of a shard, about."""
 
     block: int = 32
     shard: int = 100_000
@@ -98,12 +100,12 @@ def _code_points(source: str | None) -> tuple[bool, list[int]]:
     return source is None, [ord(c) for c in source or ""]
 
 
-def _quotas(shards: DataFrame, sources: DataFrame, levels: int, plan: Plan) -> DataFrame:
-    """of, shard, passes and part of each shard (source, shard, n): seats go down the tree, a group of at most FAN branches at a time."""
+def _quotas(shards: DataFrame, sources: DataFrame, levels: int, block: int, plan: Plan) -> DataFrame:
+    """of, of_shard, passes and part (words) of each shard (source, shard, n): seats go down the tree, a group of at most FAN branches at a time."""
 
     def seat(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node")
-        blocks = [-(-n // plan.block) for n in rows["n"].tolist()]
+        blocks = [-(-n // block) for n in rows["n"].tolist()]
         seats = apportion([float(n) for n in rows["n"].tolist()], int(rows["seats"].iloc[0]), [plan.epochs * b for b in blocks])
         return pd.DataFrame({"source": rows["source"], "node": rows["node"], "n": rows["n"], "quota": seats})
 
@@ -114,20 +116,24 @@ def _quotas(shards: DataFrame, sources: DataFrame, levels: int, plan: Plan) -> D
         both = nodes.join(above, F.col("source").eqNullSafe(F.col("s")) & (F.col("parent") == F.col("up")))
         got = staged(both.groupBy("source", "parent").applyInPandas(seat, "source string, node long, n long, quota long"), "quotas")
         above = got.select(F.col("source").alias("s"), F.col("node").alias("up"), F.col("quota").alias("seats"))
-    whole = F.greatest(F.expr(f"(n + {plan.block - 1}) div {plan.block}"), F.lit(1))
-    return got.select(F.col("source").alias("of"), F.col("node").alias("of_shard"), F.floor(F.col("quota") / whole).alias("passes"), (F.col("quota") % whole * plan.block).alias("part"))
+    n = F.greatest(F.col("n"), F.lit(1))
+    words = F.least(F.col("quota") * block, plan.epochs * F.col("n"))
+    return got.select(F.col("source").alias("of"), F.col("node").alias("of_shard"), F.floor(words / n).alias("passes"), (words % n).alias("part"))
 
 
 def _entries(docs: DataFrame, plan: Plan) -> DataFrame:
-    """doc_id, source, digest, size, rows, source_size, target, quota, taken (of each of its rows) of each entry."""
+    """doc_id, source, digest, size, piece, rows, source_size, target, quota, taken (of each of its rows) and extra (rows that take one word more) of each piece of an entry."""
     spark = docs.sparkSession
-    entries = staged(docs.select(*_keyed(docs)).groupBy("doc_id", "source", "digest", "size").agg(F.count("*").alias("rows")), "mix-entries")
+    entries = docs.select(*_keyed(docs)).groupBy("doc_id", "source", "digest", "size").agg(F.count("*").alias("n"))
+    entries = entries.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))))
+    entries = staged(entries.withColumn("rows", F.least(F.lit(COPIES), F.col("n") - COPIES * F.col("piece"))), "mix-entries")
     words = F.sum(F.col("size") * F.col("rows"))
     totals = sorted(((r.source, r.n) for r in entries.groupBy("source").agg(words.alias("n")).collect()), key=lambda r: _code_points(r[0]))
     weights = [plan.weights[i % len(plan.weights)] for i in range(len(totals))]
     target = capped_targets([n for _, n in totals], weights, plan.epochs)
-    blocks = [-(-n // plan.block) for _, n in totals]
-    quota = apportion(target, round(sum(target) / plan.block), [plan.epochs * b for b in blocks])
+    block = max(1, min(plan.block, int(min((t for t in target if t > 0), default=0) / PARTS)))
+    blocks = [-(-n // block) for _, n in totals]
+    quota = apportion(target, round(sum(target) / block), [plan.epochs * b for b in blocks])
     counts = [max(1, -(-n // plan.shard)) for _, n in totals]
     sources = spark.createDataFrame(
         [(s, n, t, q, k) for (s, n), t, q, k in zip(totals, target, quota, counts, strict=True)],
@@ -137,21 +143,44 @@ def _entries(docs: DataFrame, plan: Plan) -> DataFrame:
     while FAN**levels < max(counts, default=1):
         levels += 1
     # A hot source has as many shards as its words ask for, so no shard grows with it.
-    placed = entries.join(sources, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("place", F.xxhash64(F.lit(plan.seed), "doc_id", "digest"))
+    placed = entries.join(sources, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("place", F.xxhash64(F.lit(plan.seed), "doc_id", "digest", "piece"))
     placed = placed.withColumn("shard", F.pmod(F.col("place"), F.col("shards")))
-    shares = _quotas(staged(placed.groupBy("source", "shard").agg(words.alias("n")), "mix-shards"), sources, levels, plan)
+    shares = _quotas(staged(placed.groupBy("source", "shard").agg(words.alias("n")), "mix-shards"), sources, levels, block, plan)
     joined = placed.join(shares, F.col("source").eqNullSafe(F.col("of")) & (F.col("shard") == F.col("of_shard")))
     whole = F.col("size") * F.col("rows")
-    order = Window.partitionBy("source", "shard").orderBy("place", "doc_id", "digest", "size").rowsBetween(Window.unboundedPreceding, 0)
-    partly = F.greatest(F.lit(0), F.least(whole, F.col("part") - (F.sum(whole).over(order) - whole)))
-    taken = F.col("size") * F.col("passes") + F.floor(partly / F.col("rows"))
-    return joined.select("doc_id", "source", "digest", "size", "rows", "source_size", "target", "quota", taken.cast("long").alias("taken"))
+    order = Window.partitionBy("source", "shard").orderBy("place", "doc_id", "digest", "size", "piece").rowsBetween(Window.unboundedPreceding, 0)
+    partly = F.greatest(F.lit(0).cast("long"), F.least(whole, F.col("part") - (F.sum(whole).over(order) - whole)))
+    joined = joined.withColumn("partly", partly)
+    taken = F.col("size") * F.col("passes") + F.floor(F.col("partly") / F.col("rows"))
+    return joined.select("doc_id", "source", "digest", "size", "n", "piece", "rows", "source_size", "target", "quota", taken.cast("long").alias("taken"), (F.col("partly") % F.col("rows")).alias("extra"))
 
 
 def mix(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """doc_id, source, size, source_size, target, quota (blocks of its source), taken, a row for each row of docs."""
-    each = _entries(docs, plan).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
-    return each.select("doc_id", "source", "size", "source_size", "target", "quota", "taken")
+    each = _entries(docs, plan).withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
+    return each.select("doc_id", "source", "size", "source_size", "target", "quota", (F.col("taken") + (F.col("place") < F.col("extra")).cast("long")).alias("taken"))
+
+
+def _numbered(rows: DataFrame, keys: list[str], entries: DataFrame) -> DataFrame:
+    """rows with piece and place, the number of a row among those of its entry; of an entry of one row both are 0.
+
+    Rows of one entry are counted in each part of the input, and the parts one after the other, so no task sees all
+    of them.
+    """
+    many = entries.where("n > 1").select(*(F.col(k).alias(f"m_{k}") for k in keys)).distinct()
+    on = [F.col(k).eqNullSafe(F.col(f"m_{k}")) for k in keys]
+    zero = F.lit(0).cast("long")
+    once = rows.join(many, on, "left_anti").select("*", zero.alias("piece"), zero.alias("place"))
+    same = staged(rows.withColumn("part_of_input", F.spark_partition_id()).join(many, on, "left_semi"), "mix-repeated")
+    parts = same.groupBy(*keys, "part_of_input").agg(F.count("*").alias("k"))
+    before = F.sum("k").over(Window.partitionBy(*keys).orderBy("part_of_input").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(*(F.col(k).alias(f"p_{k}") for k in keys), F.col("part_of_input").alias("p_part"), F.coalesce(before, zero).alias("before"))
+    own = Window.partitionBy(*keys, "part_of_input").orderBy(F.lit(0))
+    same = same.withColumn("number", F.row_number().over(own))
+    on = [F.col(k).eqNullSafe(F.col(f"p_{k}")) for k in keys] + [F.col("part_of_input") == F.col("p_part")]
+    number = F.col("before") + F.col("number") - 1
+    same = same.join(parts, on).select(*rows.columns, F.floor(number / COPIES).alias("piece"), (number % COPIES).alias("place"))
+    return once.unionAll(same)
 
 
 def mixed(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
@@ -161,10 +190,11 @@ def mixed(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     columns stay; n_chars, where there is one, is that of the new text. The rows hold exactly the words taken.
     """
     keys = ["doc_id", "source", "digest", "size"]
-    take = _entries(docs, plan).where("taken > 0").select(*(F.col(k).alias(f"of_{k}") for k in keys), "taken")
-    rows = docs.select(F.struct("*").alias("row"), *_keyed(docs))
-    on = [F.col(k).eqNullSafe(F.col(f"of_{k}")) if k in ("doc_id", "source") else F.col(k) == F.col(f"of_{k}") for k in keys]
-    hit = rows.join(take, on)
+    entries = staged(_entries(docs, plan), "mix-taken")
+    take = entries.where("taken > 0 OR extra > 0").select(*(F.col(k).alias(f"of_{k}") for k in keys), F.col("piece").alias("of_piece"), "taken", "extra")
+    rows = _numbered(docs.select(F.struct("*").alias("row"), *_keyed(docs)), keys, entries)
+    on = [F.col(k).eqNullSafe(F.col(f"of_{k}")) if k in ("doc_id", "source") else F.col(k) == F.col(f"of_{k}") for k in [*keys, "piece"]]
+    hit = rows.join(take, on).withColumn("taken", F.col("taken") + (F.col("place") < F.col("extra")).cast("long")).where("taken > 0")
     rest = F.col("taken") % F.col("size")
     pieces = F.split(F.col("row.text"), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     cut = F.when(rest > 0, F.array(F.array_join(F.slice(pieces, 1, rest.cast("int")), ""))).otherwise(F.array().cast("array<string>"))

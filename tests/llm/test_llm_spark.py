@@ -118,13 +118,57 @@ def test_mix_down_a_tree_of_shards(docs, monkeypatch):
         assert abs(taken[s] - t) <= plan.block * (2 + size[s] // plan.shard)
 
 
-def test_equal_rows_take_equal_parts(spark):
-    rows = [(None, "a b c d e f g h", "x")] * 40 + [(7, "one two three", "x")] * 3 + [(k, prose(k, 9), "y") for k in range(30)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
-    got = mixing.mix(df, mixing.Plan(block=4, shard=50))
-    assert got.count() == 73 and {r.n for r in got.groupBy("doc_id", "source").agg(F.countDistinct("taken").alias("n")).collect()} == {1}
-    words = sum(len(WORD.findall(r.text)) for r in mixing.mixed(df, mixing.Plan(block=4, shard=50)).collect())
-    assert words == got.agg(F.sum("taken")).first()[0]
+@pytest.mark.parametrize("copies", [1024, 7])
+def test_equal_rows_take_equal_parts(spark, copies, monkeypatch):
+    """Give or take a word where they are in one piece; mixed() cuts just as many rows."""
+    monkeypatch.setattr(mixing, "COPIES", copies)
+    rows = [(None, "a b c d e f g h", "x", i) for i in range(40)] + [(7, "one two three", "x", i) for i in range(3)] + [(k, prose(k, 9), "y", 0) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, other long").repartition(5)
+    plan = mixing.Plan(block=4, shard=50)
+    got = mixing.mix(df, plan).collect()
+    each = collections.defaultdict(list)
+    for r in got:
+        each[r.doc_id, r.source].append(r.taken)
+    assert len(got) == 73 and (copies < 40 or all(max(t) - min(t) <= 1 for t in each.values()))
+    words = collections.Counter()
+    for r in mixing.mixed(df, plan).collect():
+        words[r.doc_id, r.source, r.other] += len(WORD.findall(r.text))
+    for key, taken in each.items():
+        assert sorted(w for (d, s, _), w in words.items() if (d, s) == key) == sorted(t for t in taken if t)
+
+
+def near_targets(spark, rows: list[tuple]) -> None:
+    """Every source's words are within a half of a hundredth of its target, or a document."""
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    want = mix_by_hand([(d, t, None, s) for d, t, s in rows], mixing.Plan())
+    taken, longest = collections.Counter(), collections.Counter()
+    for r in got:
+        assert 0 <= r.taken <= 3 * r.size
+        taken[r.source] += r.taken
+        longest[r.source] = max(longest[r.source], r.size)
+    assert len(got) == len(rows)
+    for s, t in want.items():
+        assert abs(taken[s] - t) <= max(1.0, min(0.005 * t, longest[s])), (s, t, taken[s])
+
+
+@pytest.mark.parametrize("sources", [1, 2, 9, 300, 1000])
+def test_sources_of_any_size_come_near_their_targets(spark, sources):
+    r = random.Random(sources)
+    rows = []
+    for s in range(sources):
+        left = int(10 ** r.uniform(0, 4 if sources < 100 else 3))
+        while left > 0:
+            n = min(left, r.choice([1, 5, 40, 700]))
+            text = " ".join(["w"] * n)
+            rows.append((len(rows) if r.random() < 0.7 else None, text, f"s{s}" if s % 97 else None))
+            left -= n
+    near_targets(spark, rows)
+
+
+def test_small_sources_and_equal_rows_come_near_their_targets(spark):
+    near_targets(spark, [(1, "a " * 30, "p"), (2, "a " * 28, "q")])
+    near_targets(spark, [(5, "a b c d e f g h i j", "p")] * 3000 + [(i, prose(i, 100), "q") for i in range(100)])
+    near_targets(spark, [(5, "a b", "p")] * 1000 + [(i, prose(i, 10), "q") for i in range(40)])
 
 
 def test_secrets(odd):
