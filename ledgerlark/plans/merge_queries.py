@@ -75,13 +75,15 @@ def _moves_sql() -> str:
 
 
 @query(f"""
-WITH s AS (SELECT unnest({list(lifecycle.STAGES)!r}) AS stage), m(o, n) AS (VALUES {_moves_sql()})
-SELECT a.stage AS old_stage, b.stage AS new_stage, EXISTS (SELECT 1 FROM m WHERE m.o = a.stage AND m.n = b.stage) AS ok, CASE WHEN EXISTS (SELECT 1 FROM m WHERE m.o = a.stage AND m.n = b.stage) THEN b.stage ELSE a.stage END AS after FROM s a, s b
+WITH s AS (SELECT {list(lifecycle.STAGES)!r} AS stages), m(o, n) AS (VALUES {_moves_sql()}), a AS (SELECT o_orderkey, stages[o_custkey % {len(lifecycle.STAGES)} + 1] AS old_stage, stages[o_orderkey % {len(lifecycle.STAGES)} + 1] AS new_stage FROM orders, s)
+SELECT o_orderkey, old_stage, new_stage, m.o IS NOT NULL AS ok, CASE WHEN m.o IS NOT NULL THEN new_stage ELSE old_stage END AS after FROM a LEFT JOIN m ON m.o = old_stage AND m.n = new_stage
 """)
 def stage_transition_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stages = spark.createDataFrame([(a, b) for a in lifecycle.STAGES for b in lifecycle.STAGES], "old_stage string, new_stage string")
-    old, new = F.col("old_stage"), F.col("new_stage")
-    return stages.select("old_stage", "new_stage", lifecycle.transition_ok(old, new).alias("ok"), lifecycle.advance(old, new).alias("after"))
+    """A proposed move for every order."""
+    stages = F.array(*(F.lit(s) for s in lifecycle.STAGES))
+    old, new = (F.get(stages, (F.col(c) % len(lifecycle.STAGES)).cast("int")) for c in ("o_custkey", "o_orderkey"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", old.alias("old_stage"), new.alias("new_stage"))
+    return rows.select("*", lifecycle.transition_ok(F.col("old_stage"), F.col("new_stage")).alias("ok"), lifecycle.advance(F.col("old_stage"), F.col("new_stage")).alias("after"))
 
 
 @query("""

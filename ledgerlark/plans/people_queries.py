@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import money, people
 from ledgerlark.operators import outreach
-from ledgerlark.plans.product_queries import _values
 from ledgerlark.plans.registry import query
 from ledgerlark.sources import markup
 from ledgerlark.tables import table
 
-_SLUGS = {"priya-sharma-2a9b1c14": "Priya Sharma", "/john_q-public/": "John Q Public", "a-b-c-d-e?x=1": "A B C D", "jane-12345": "Jane", "dabba-face": "Dabba Face"}
-
-
-@query(_values(list(_SLUGS.items()), "slug, name"))
+@query(r"""
+WITH p AS (SELECT page_id, list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[/.]', '-', 'g'), '\?.*$', '')), '[-_]+'), lambda x: x <> '') AS parts FROM pages),
+k AS (SELECT page_id, parts, list_position(list_transform(parts, lambda x: regexp_full_match(x, '\d{2,}') OR (regexp_full_match(x, '[0-9a-f]{6,}') AND regexp_matches(x, '\d')) OR regexp_matches(x, '[^\x00-\x7f]')), true) AS stop FROM p)
+SELECT page_id, coalesce(list_aggregate(list_transform(list_slice(parts, 1, least(4, coalesce(nullif(stop, 0) - 1, 4))), lambda x: upper(x[1]) || x[2:]), 'string_agg', ' '), '') AS name FROM k
+""")
 def profile_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(k,) for k in _SLUGS], "slug string").select("slug", people.profile_name(F.col("slug")).alias("name"))
+    slug = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[/.]", "-")
+    return table(spark, sf_dir, "pages").select("page_id", people.profile_name(slug).alias("name"))
 
 
 @query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'asha.rao@x.com' WHEN 1 THEN 'bo.li@x.com' ELSE 'cher@x.com' END AS first_form, CAST(CASE WHEN c_custkey % 3 = 2 THEN 1 ELSE 8 END AS INT) AS forms FROM customer")
@@ -28,28 +29,47 @@ def address_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", F.get(got, 0).alias("first_form"), F.size(got).alias("forms"))
 
 
-_VERDICTS = {
-    '{"is_reachable": "safe"}': "valid", '{"is_reachable": "risky"}': "catch_all", '{"is_reachable": "invalid", "misc": {"is_disposable": true}}': "disposable", "[]": "unknown", "no json": "unknown",
-    '{"is_reachable": "safe", "smtp": {"error": {"message": "550 5.1.1 user unknown"}}}': "invalid", '{"is_reachable": "safe", "smtp": {"error": {"message": "connection timed out, user unknown"}}}': "valid",
-    '{"misc": {"is_role_account": true}}': "catch_all",
-}
+@query(rf"""
+WITH d AS (SELECT doc_id, ['safe', 'risky', 'invalid', 'unknown', 'unknown', 'true'][doc_id % 6 + 1] AS reach, n_chars % 2 = 0 AS disposable, n_chars % 3 = 0 AS desk,
+ coalesce(text, '') || CASE doc_id % 5 WHEN 0 THEN ' 550 5.1.1 User unknown' WHEN 1 THEN ' connection timed out, user unknown' ELSE '' END AS said FROM documents)
+SELECT doc_id, CASE WHEN regexp_matches(said, '{people.HARD_BOUNCE}') AND NOT regexp_matches(said, '{people.TRANSIENT}') THEN 'invalid' WHEN reach IN ('true', 'safe') THEN 'valid' WHEN reach = 'risky' THEN 'catch_all'
+ WHEN reach = 'invalid' THEN CASE WHEN disposable THEN 'disposable' ELSE 'invalid' END WHEN disposable THEN 'disposable' WHEN desk THEN 'catch_all' ELSE 'unknown' END AS verdict FROM d
+""")
+def mailbox_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, n = F.col("doc_id"), F.col("n_chars")
+    reach = F.when(key % 6 == 0, "safe").when(key % 6 == 1, "risky").when(key % 6 == 2, "invalid").when(key % 6 == 3, "unknown").when(key % 6 == 5, "true")
+    said = F.concat(F.coalesce("text", F.lit("")), F.when(key % 5 == 0, " 550 5.1.1 User unknown").when(key % 5 == 1, " connection timed out, user unknown").otherwise(""))
+    result = F.struct(reach.alias("is_reachable"), F.struct((n % 2 == 0).alias("is_disposable"), (n % 3 == 0).alias("is_role_account")).alias("misc"), F.struct(F.struct(said.alias("message")).alias("error")).alias("smtp"))
+    return table(spark, sf_dir, "documents").select("doc_id", people.mailbox_verdict(F.to_json(result)).alias("verdict"))
 
 
-@query(_values(list(_VERDICTS.items()), "result, verdict"))
-def mailbox_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(k,) for k in _VERDICTS], "result string").select("result", people.mailbox_verdict(F.col("result")).alias("verdict"))
+def _pay_sql() -> str:
+    money_sign, number = r"(?:₹|rs\.?\s*|\$|€|£|inr\s*)?\s*", r"([0-9]+(?:[.,][0-9]+)*)"
+    span = rf"{number}\s*(lpa|lakhs?|lacs?|crore|cr|k)?\s*(?:-|–|—|\bto\b)\s*{money_sign}{number}\s*(lpa|lakhs?|lacs?|crore|cr|k)?"
+    before, behind = rf"{money.PAY_ANCHOR}.{{0,60}}?{span}", rf"{span}.{{0,30}}?{money.PAY_ANCHOR}"
+    parts = ", ".join(f"regexp_extract(t, CASE WHEN regexp_matches(t, '{before}') THEN '{before}' ELSE '{behind}' END, {k}) AS p{k}" for k in (1, 2, 3, 4))
 
+    def value(n: str, unit: str) -> str:
+        own = f"CASE WHEN {unit} <> '' THEN {unit} WHEN p4 <> '' THEN p4 ELSE p2 END"
+        return f"TRY_CAST(replace({n}, ',', '') AS DOUBLE) * CASE WHEN regexp_matches({own}, '^(lpa|lakh|lac)') THEN 1e5 WHEN regexp_matches({own}, '^cr') THEN 1e7 WHEN {own} = 'k' THEN 1e3 ELSE 1.0 END"
 
-_PAY = {
-    "Join us (₹25-45 LPA), Pune": (2500000.0, 4500000.0), "CTC: 3.5 - 6 lakh per annum": (350000.0, 600000.0), "1 - 2 crore package": (10000000.0, 20000000.0), "Salary 50k - 80k": (50000.0, 80000.0),
-    "Duration: 1-2 Months, B.Tech 2026 batch": (None, None), "0-2 years experience": (None, None), "stipend within 1-2 months": (None, None),
-}
+    told = "text || CASE doc_id % 5 WHEN 0 THEN ' CTC: ' || (n_chars % 9 + 1) || ' - ' || (n_chars % 9 + 4) || ' lakh per annum' WHEN 1 THEN ' Salary ' || (n_chars % 80 + 20) || 'k - ' || (n_chars % 80 + 60) || 'k' WHEN 2 THEN ' 1 - 2 crore package' WHEN 3 THEN ' 0-2 years' ELSE '' END"
+    return f"""
+WITH d AS (SELECT doc_id, lower(coalesce({told}, '')) AS t FROM documents), p AS (SELECT doc_id, {parts} FROM d), v AS (SELECT doc_id, {value("p1", "p2")} AS a, {value("p3", "p4")} AS b FROM p)
+SELECT doc_id, CASE WHEN least(a, b) >= 1000 THEN least(a, b) END AS low, CASE WHEN least(a, b) >= 1000 THEN greatest(a, b) END AS high FROM v
+"""
 
 
-@query(_values([(k, *v) for k, v in _PAY.items()], "text, low, high").replace("SELECT *", "SELECT text, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high"))
+@query(_pay_sql())
 def inline_pay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = money.inline_pay(F.col("text"))
-    return spark.createDataFrame([(k,) for k in _PAY], "text string").select("text", got["low"].alias("low"), got["high"].alias("high"))
+    key, n = F.col("doc_id"), F.col("n_chars")
+
+    def text(*parts: Column | str) -> Column:
+        return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+
+    pay = F.when(key % 5 == 0, text(" CTC: ", n % 9 + 1, " - ", n % 9 + 4, " lakh per annum")).when(key % 5 == 1, text(" Salary ", n % 80 + 20, "k - ", n % 80 + 60, "k"))
+    got = money.inline_pay(F.concat("text", pay.when(key % 5 == 2, " 1 - 2 crore package").when(key % 5 == 3, " 0-2 years").otherwise("")))
+    return table(spark, sf_dir, "documents").select("doc_id", got["low"].alias("low"), got["high"].alias("high"))
 
 
 @query("SELECT p_partkey, p_name LIKE '%bolt%' OR p_name LIKE '%gear%' AS found FROM part")
@@ -59,7 +79,10 @@ def company_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def person_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([("Priya Sharma", "sharma  PRIYA"), ("A B", None), ("Asha Rao", "Asha Roy")], "a string, b string").select("a", "b", F.round(people.person_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+    """Each customer's name against its segment and nation."""
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    other = F.concat_ws(" ", "c_mktsegment", "n_name")
+    return rows.select("c_custkey", F.round(people.person_similarity(F.col("c_name"), other), 6).alias("similarity"))
 
 
 @query("""

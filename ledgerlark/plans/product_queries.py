@@ -11,52 +11,61 @@ from ledgerlark.plans.registry import query
 from ledgerlark.tables import table
 
 
-def _values(rows: list[tuple], names: str) -> str:
-    def text(v: object) -> str:
-        return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else "'" + str(v).replace("'", "''") + "'" if isinstance(v, str) else str(v)
+def words_sql(text: str, words: tuple[str, ...]) -> str:
+    """any_word() for an engine whose word boundary knows ASCII only: what stands before and behind is spelt out. Words that aren't there at all are told apart first."""
+    letter = r"\pL\pN\pM_"
 
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) AS v({names})"
+    def edge(c: str, start: str) -> str:
+        return f"(?:{start}|[^{letter}])" if c.isalnum() else f"[{letter}]"
 
+    def found(w: str) -> str:
+        pattern = edge(w[0], "^") + "".join(c if c.isalnum() or c == " " or not c.isascii() else "\\" + c for c in w) + edge(w[-1], "$")
+        return f"contains({text}, '{w}') AND regexp_matches({text}, '{pattern}')"
 
-_POSTS = [
-    ("Software Intern", "0 to 2 year(s)", "Pune", "", "remoteok", True, True),
-    ("Internal Auditor", "5 years", "Berlin", "work with teams in India", "remoteok", False, False),
-    ("Engineer", "class of 2026", "", "office in Bengaluru", "x", True, True),
-    ("Engineer", "3 years", "Remote", "", "naukri.com", False, True),
-    ("Senior Engineer", "8 years", None, None, None, False, False),
-    ("Graduate Engineer", None, "Austin or Hyderabad", "", "x", True, True),
-]
+    return "(" + " OR ".join(map(found, words)) + ")"
 
 
-@query(_values([(*r[:1], r[5], r[6], r[2]) for r in _POSTS], "title, fresher, india, location"))
+@query(rf"""
+WITH d AS (SELECT doc_id, lower(source || ' ' || ['Graduate Engineer', 'Internal Auditor', 'Lead, class of 2026', 'Engineer'][doc_id % 4 + 1] || CASE doc_id % 3 WHEN 0 THEN ' 0 to 2 year(s)' WHEN 2 THEN ' 5 years' ELSE '' END || coalesce(' ' || text, '')) AS post,
+ lower(coalesce(n_name, '')) AS place, lower(coalesce(text, '')) AS said, lower(CASE WHEN doc_id % 7 = 0 THEN 'Naukri.com' ELSE source END) AS site FROM documents LEFT JOIN nation ON n_nationkey = doc_id % 26),
+p AS (SELECT *, regexp_replace(regexp_replace(post, '\((es|s)\)', '\1', 'g'), '\b(\d+)\s*to\s*(\d+)\b', '\1-\2', 'g') AS read FROM d)
+SELECT doc_id, {words_sql("read", C.FRESHER_WORDS)} OR regexp_matches(read, '\b20\d\d\s+graduates?\b') OR regexp_matches(read, '\bclass of 20\d\d\b') AS fresher,
+ CASE WHEN {words_sql("place", C.INDIA_PLACES)} THEN true WHEN {words_sql("place", C.FOREIGN_PLACES)} THEN false ELSE {words_sql("said", C.INDIA_PLACES)} OR regexp_matches(site, '{"|".join(C.INDIA_SOURCES)}') END AS india FROM p
+""")
 def posting_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([r[:5] for r in _POSTS], "title string, experience string, location string, text string, source string")
-    india = C.india_relevant(F.col("location"), F.col("text"), F.col("source"))
-    return df.select("title", C.is_fresher(F.col("title"), F.col("experience")).alias("fresher"), india.alias("india"), "location")
-
-
-_KINDS = [
-    ("Full-time", "full_time", "Work from home", "", "remote"), ("Permanent", "full_time", None, "Bengaluru, Hybrid", "hybrid"), ("odd", "unspecified", "client office", "", "onsite"),
-    (None, None, None, "Remote - anywhere", "remote"), ("  ", None, None, None, None), ("Contractual", "contract", "moon", "", "unspecified"), ("intern", "internship", None, "Remote / onsite", None),
-]
+    docs, key = table(spark, sf_dir, "documents"), F.col("doc_id")
+    rows = docs.join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == key % 26, "left")
+    title = F.concat("source", F.lit(" "), F.when(key % 4 == 0, "Graduate Engineer").when(key % 4 == 1, "Internal Auditor").when(key % 4 == 2, "Lead, class of 2026").otherwise("Engineer"))
+    experience = F.when(key % 3 == 0, "0 to 2 year(s)").when(key % 3 == 2, "5 years")
+    india = C.india_relevant(F.col("n_name"), F.col("text"), F.when(key % 7 == 0, "Naukri.com").otherwise(F.col("source")))
+    return rows.select("doc_id", C.is_fresher(title, experience, F.col("text")).alias("fresher"), india.alias("india"))
 
 
-@query(_values([(i, *r[1::3]) for i, r in enumerate(_KINDS)], "id, employment, mode"))
+@query("""
+WITH d AS (SELECT doc_id, n_chars % 6 AS e, n_chars % 5 AS w, lower(coalesce(text, '')) || CASE doc_id % 4 WHEN 0 THEN ' remote' WHEN 1 THEN ' bengaluru, hybrid' WHEN 2 THEN ' remote / onsite' ELSE '' END AS place FROM documents)
+SELECT doc_id, CASE e WHEN 0 THEN 'full_time' WHEN 1 THEN 'full_time' WHEN 2 THEN 'contract' WHEN 3 THEN 'internship' WHEN 4 THEN 'unspecified' END AS employment,
+ CASE WHEN w = 0 THEN 'remote' WHEN w = 1 THEN 'onsite' WHEN w = 2 THEN 'unspecified' WHEN contains(place, 'remote') AND NOT regexp_matches(place, 'onsite|on-site|office') THEN 'remote' WHEN contains(place, 'hybrid') THEN 'hybrid' END AS mode FROM d
+""")
 def employment_and_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([(i, r[0], r[2], r[3]) for i, r in enumerate(_KINDS)], "id int, e string, w string, l string")
-    return df.select("id", C.employment_type(F.col("e")).alias("employment"), C.location_type(F.col("w"), F.col("l")).alias("mode"))
-
-
-_COLLEGES = [
-    ("Government Engineering College", "government", "college"), ("Private Unaided Institute", "private", "institute"), ("St. X Aided College", "aided", "college"), ("Deemed to be University", "deemed", "deemed_university"),
-    ("ABC Autonomous Institution", "autonomous", "institute"), ("State University", None, "university"), (None, None, None),
-]
-
-
-@query(_values([(i, *r[1:]) for i, r in enumerate(_COLLEGES)], "id, ownership, kind"))
+    n, key = F.col("n_chars"), F.col("doc_id")
+    said = F.when(n % 6 == 0, "Full-time").when(n % 6 == 1, "Permanent").when(n % 6 == 2, "Contractual").when(n % 6 == 3, "intern").when(n % 6 == 4, "odd")
+    declared = F.when(n % 5 == 0, "Work from home").when(n % 5 == 1, "client office").when(n % 5 == 2, "moon").when(n % 5 == 3, " ")
+    place = F.concat(F.coalesce("text", F.lit("")), F.when(key % 4 == 0, " Remote").when(key % 4 == 1, " Bengaluru, Hybrid").when(key % 4 == 2, " Remote / onsite").otherwise(""))
+    return table(spark, sf_dir, "documents").select("doc_id", C.employment_type(said).alias("employment"), C.location_type(declared, place).alias("mode"))
+
+
+@query(r"""
+WITH p AS (SELECT page_id, lower(['Government ', 'Private Unaided ', 'Aided ', 'Deemed to be ', 'Autonomous ', ''][page_id % 6 + 1] || regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) || [' College', ' University', ' Institute', ''][length(html) % 4 + 1]) AS t FROM pages)
+SELECT page_id, CASE WHEN contains(t, 'autonomous') THEN 'autonomous' WHEN regexp_matches(t, '\b(government|govt|public)') THEN 'government' WHEN regexp_matches(t, '\bdeemed') THEN 'deemed' WHEN regexp_matches(t, '\b(private|self-financ|unaided)') THEN 'private'
+  WHEN regexp_matches(t, '\b(aided|grant-in-aid)') THEN 'aided' END AS ownership,
+ CASE WHEN regexp_matches(t, '\bdeemed') THEN 'deemed_university' WHEN contains(t, 'university') THEN 'university' WHEN contains(t, 'institut') THEN 'institute' WHEN contains(t, 'college') THEN 'college' END AS kind FROM p
+""")
 def institution_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(_COLLEGES)], "id int, name string")
-    return df.select("id", C.ownership(F.col("name")).alias("ownership"), C.institution_type(F.col("name")).alias("kind"))
+    kind, size = F.col("page_id") % 6, F.length("html") % 4
+    first = F.when(kind == 0, "Government ").when(kind == 1, "Private Unaided ").when(kind == 2, "Aided ").when(kind == 3, "Deemed to be ").when(kind == 4, "Autonomous ").otherwise("")
+    last = F.when(size == 0, " College").when(size == 1, " University").when(size == 2, " Institute").otherwise("")
+    name = F.concat(first, F.regexp_extract("url", "^[a-z]+://([^/?#:]*)", 1), last)
+    return table(spark, sf_dir, "pages").select("page_id", C.ownership(name).alias("ownership"), C.institution_type(name).alias("kind"))
 
 
 @query("""
