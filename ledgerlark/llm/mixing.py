@@ -29,6 +29,8 @@ from ledgerlark.llm.common import WORD, staged, text_of
 FAN = 256
 #: Blocks that the least target has at least (if it has the words), and rows of an entry that go to a shard together.
 PARTS, COPIES = 512, 1024
+#: Entries of more than one row that may be broadcast, four short columns each.
+BROADCAST = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -167,9 +169,14 @@ def _numbered(rows: DataFrame, keys: list[str], entries: DataFrame) -> DataFrame
     Rows of one entry are counted in each part of the input, and the parts one after the other, so no task sees all
     of them.
     """
-    many = entries.where("n > 1").select(*(F.col(k).alias(f"m_{k}") for k in keys)).distinct()
-    on = [F.col(k).eqNullSafe(F.col(f"m_{k}")) for k in keys]
     zero = F.lit(0).cast("long")
+    many = entries.where("n > 1 AND piece = 0").select(*(F.col(k).alias(f"m_{k}") for k in keys))
+    found = many.count()
+    if not found:
+        return rows.select("*", zero.alias("piece"), zero.alias("place"))
+    if found <= BROADCAST:  # else the rows go to their keys
+        many = F.broadcast(many)
+    on = [F.col(k).eqNullSafe(F.col(f"m_{k}")) for k in keys]
     once = rows.join(many, on, "left_anti").select("*", zero.alias("piece"), zero.alias("place"))
     same = staged(rows.withColumn("part_of_input", F.spark_partition_id()).join(many, on, "left_semi"), "mix-repeated")
     parts = same.groupBy(*keys, "part_of_input").agg(F.count("*").alias("k"))
