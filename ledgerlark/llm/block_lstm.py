@@ -28,6 +28,8 @@ PATHS, WORDS = 1024, 512
 PATH_SIZE, WORD_SIZE, HIDDEN = 16, 12, 20
 N_NUMBERS = 12
 STOPS = ".,;:!?"
+#: A block is main text from this probability on: a line lost costs more than one kept.
+KEEP = 0.4
 WEIGHTS = Path(__file__).with_name("block_lstm_weights.npz")
 
 _rows: dict[str, int] = {}
@@ -141,7 +143,7 @@ def extract(pages: DataFrame) -> DataFrame:
             for at in range(0, b.num_rows, run_size):
                 part = b.slice(at, run_size)
                 found = [blocks(x.as_py()) for x in part.column(2)]
-                kept = [[x.text for x, y in zip(page, score.tolist(), strict=True) if y >= 0.5] for page, score in zip(found, label(found), strict=True)]
+                kept = [[x.text for x, y in zip(page, score.tolist(), strict=True) if y >= KEEP] for page, score in zip(found, label(found), strict=True)]
                 texts = [" ".join(k) for k in kept]
                 counts = (pa.array(list(map(len, x)), pa.int64()) for x in (texts, found, kept))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), *counts], names)

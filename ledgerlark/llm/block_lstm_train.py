@@ -1,6 +1,7 @@
 """Train the block labeller on generated pages: python -m ledgerlark.llm.block_lstm_train
 
-Pages are drawn from many layouts, with semantic tags, with telling class names and with neither. Every piece of
+Pages are drawn from many layouts, with semantic tags, with telling class names and with neither, long and of one paragraph, with and without anything
+that holds the main text or a title over it. Every piece of
 text starts with a private mark that says whether it is main text; the mark goes before the
 network sees the block.
 """
@@ -53,6 +54,11 @@ class Maker:
         self.classes = self.r.random() < 0.8 or not self.semantic and self.r.random() < 0.7
         if self.r.random() < 0.1:  # nothing but div
             self.semantic = self.classes = False
+        self.layout = self.r.choices(("usual", "bare", "section", "divs"), (55, 16, 12, 17))[0]
+        if self.layout == "divs":
+            self.semantic = False
+        self.short = self.r.random() < (0.15 if self.layout == "usual" else 0.4)
+        self.own_names = self.r.random() < 0.25  # class names that tell nothing
         self.close_p = self.r.random() < 0.75
         self.junk = self.r.random() < 0.2
 
@@ -71,6 +77,8 @@ class Maker:
         if not self.classes and kind != "plain" or self.r.random() < 0.07:
             return ""
         n = self.r.choice(NAMES[kind])
+        if self.own_names and kind in ("plain", "main"):
+            n = self.r.choice((self.r.choice(self.lexicon), f"{self.r.choice(SYLLABLES)}{self.r.randint(0, 99)}", f"{self.r.choice(self.lexicon)}__{self.r.choice(self.lexicon)}"))
         if self.r.random() < 0.25:
             n += self.r.choice("-_ ") + self.r.choice(NAMES["plain"])
         return f' {self.r.choice(("class", "class", "id"))}="{n}"'
@@ -142,24 +150,29 @@ class Maker:
         head = f"<h1>{say(title)}</h1>" if r.random() < 0.85 else f"<h2>{say(title)}</h2>"
         if self.semantic and r.random() < 0.15:
             head = f"<header>{head}</header>"
+        if self.layout != "usual" and r.random() < 0.5 or self.short and r.random() < 0.3:
+            head = "" if r.random() < 0.7 else f"<div>{say(title)}</div>"
         out = [head]
         close = "</p>" if self.close_p else ""
-        for k in range(r.choice((1, 2, 3, 5, r.randint(1, 20)))):
+        for k in range(r.choice((1, 1, 2)) if self.short else r.choice((1, 2, 3, 5, 12, r.randint(1, 20)))):
             kind = r.random()
-            if kind < 0.78:
+            if kind < 0.78 or self.short:
                 text = self.prose()
                 if r.random() < 0.12:
                     text = text.replace(" ", ' <a href="/x">', 1).replace(".", "</a>.", 1)
-                if r.random() < 0.04:
-                    put = f"<button>{self.word()}</button>" if r.random() < 0.5 else "<math><mi>x</mi><mo>=</mo><mn>2</mn></math>"
+                if r.random() < (0.12 if self.short else 0.05):
+                    put = f"<button>{self.word()}</button>" if r.random() < 0.6 else "<math><mi>x</mi><mo>=</mo><mn>2</mn></math>"
                     text = text.replace(" ", f" {put} ", 1)
                 if r.random() < 0.04:
                     odd = r.choice(("<noscript><p>{}</p></noscript>", "<p" + self.hidden(1) + ">{}</p>", "<div" + self.hidden(1) + "><p>{}</p></div>", "<p><math><mi>{}</mi></math></p>"))
                     out.append(odd.format(say(text)))
                     continue
+                if self.layout == "divs":
+                    out.append(r.choice(("<div>{}</div>", "<div>{}</div>", "<div><div>{}</div></div>", "{}<br><br>")).format(say(text)))
+                    continue
                 out.append(f"<p>{say(text)}{close}" if r.random() < 0.9 else f"<p><b>{say(text)}<br><p>{say(self.prose())}{close}")
             elif kind < 0.86:
-                out.append(f"<h{r.choice('23')}>{say(self.sentence(1, 8).rstrip('.!?'))}</h2>")
+                out.append(f"<h{r.choice('23')}>{say(self.sentence(1, 8).rstrip('.!?'))}</h2>" if self.layout != "divs" else f"<div><b>{say(self.sentence(1, 8).rstrip('.!?'))}</b></div>")
             elif kind < 0.92:
                 out.append("<ul>" + "".join(f"<li>{say(self.sentence(1, 12))}</li>" for _ in range(r.randint(2, 6))) + "</ul>")
             elif kind < 0.95:
@@ -171,6 +184,12 @@ class Maker:
             if k and r.random() < 0.06:
                 out.append(self.part(r.choice(("ad", "side", "share", "form", "notice"))))
         inside = "".join(out)
+        if self.layout == "bare":
+            return inside
+        if self.layout == "section":
+            return f"<section{self.name('main')}>{inside}</section>"
+        if self.layout == "divs":
+            return f"<div{self.name('plain') if r.random() < 0.5 else ''}>{inside}</div>" if r.random() < 0.8 else inside
         if self.semantic and r.random() < 0.8:
             inside = f"<article{self.name('main') if r.random() < 0.3 else ''}>{inside}</article>"
         elif self.classes:
@@ -181,8 +200,9 @@ class Maker:
 
     def page(self) -> str:
         r = self.r
-        before = [k for k, p in (("notice", 0.2), ("header", 0.4), ("menu", 0.75), ("share", 0.15), ("ad", 0.4), ("form", 0.15), ("side", 0.15)) if r.random() < p]
-        after = [k for k, p in (("share", 0.2), ("ad", 0.2), ("comment", 0.35), ("form", 0.15), ("side", 0.4), ("menu", 0.08), ("notice", 0.12), ("footer", 0.75)) if r.random() < p]
+        alone = self.layout != "usual" and r.random() < 0.25  # a page with nothing beside its text
+        before = [] if alone else [k for k, p in (("notice", 0.2), ("header", 0.4), ("menu", 0.75), ("share", 0.15), ("ad", 0.4), ("form", 0.15), ("side", 0.15)) if r.random() < p]
+        after = [] if alone else [k for k, p in (("share", 0.2), ("ad", 0.2), ("comment", 0.35), ("form", 0.15), ("side", 0.4), ("menu", 0.08), ("notice", 0.12), ("footer", 0.75)) if r.random() < p]
         if r.random() < 0.3:
             r.shuffle(before)
         middle = self.main() if r.random() < 0.97 else ""
@@ -280,7 +300,7 @@ def step(p: dict[str, np.ndarray], batch: list[tuple[tuple, np.ndarray]]) -> tup
     return loss, g
 
 
-def train(pages: int = 6000, epochs: int = 7, size: int = 48, seed: int = 3) -> dict[str, np.ndarray]:
+def train(pages: int = 12_000, epochs: int = 6, size: int = 48, seed: int = 3) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     found = [example(seed * 1_000_003 + k) for k in range(pages)]
     data = [(M.inputs(b), y) for b, y in found if len(b)]
@@ -297,6 +317,8 @@ def train(pages: int = 6000, epochs: int = 7, size: int = 48, seed: int = 3) ->
                 (pr, pe, wr, we, nums), y = data[i]
                 if rng.random() < 0.15:  # words alone don't decide
                     wr = rng.integers(0, M.WORDS, len(wr))
+                if rng.random() < 0.2:  # nor do names and tags that nobody has seen
+                    pr = np.where(rng.random(len(pr)) < 0.15, rng.integers(0, M.PATHS, len(pr)), pr)
                 batch.append(((pr, pe, wr, we, nums), y))
             loss, g = step(p, batch)
             losses.append(loss)
@@ -313,4 +335,4 @@ def train(pages: int = 6000, epochs: int = 7, size: int = 48, seed: int = 3) ->
 
 if __name__ == "__main__":
     trained = train()
-    np.savez_compressed(M.WEIGHTS, **{k: x.astype(np.float16) for k, x in trained.items()})
+    np.savez_compressed(sys.argv[1] if len(sys.argv) > 1 else M.WEIGHTS, **{k: x.astype(np.float16) for k, x in trained.items()})
