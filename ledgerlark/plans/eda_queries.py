@@ -41,20 +41,21 @@ x AS (SELECT metric, '' AS value, n FROM m UNION ALL SELECT 'prize_buckets', b.v
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY n DESC, value)::INT AS rank FROM x) WHERE rank <= 15 OR metric NOT IN ({", ".join(f"'{m}'" for m in eda.EVENT_FACETS)})
 """)
 def event_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    key, zone = F.col("doc_id"), "timestamp_ntz"
+    key, zone, text = F.col("doc_id"), "timestamp_ntz", F.col("text")
 
     def day(start: str, n: int) -> Column:
         return F.lit(start).cast(zone) + F.make_dt_interval(days=(key % n).cast("int"))
 
+    # What is read from the text comes before the join, so texts aren't shuffled.
+    read = {"mode": F.when(F.contains("text", F.lit("\n")), "online").otherwise("offline"), "hiring_opportunities": text.rlike("[#$%&]"), "internship_opportunities": F.length("text") > 3000}
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", *(c.alias(n) for n, c in read.items())).join(table(spark, sf_dir, "labels"), "doc_id", "left")
     status = F.when(key % 6 == 0, "historical").when(key % 6 == 1, "PREDICTED").when(key % 6 == 2, "ANNOUNCED").when(key % 6 == 3, "RECURRING_PATTERN").when(key % 6 == 4, "")
     events = docs.select(
-        F.col("source").alias("organizer_name"), F.when(key % 9 > 0, day("2022-06-01", 1200)).alias("event_start"), F.lit("2023-01-01").cast(zone).alias("registration_start"),
+        *read, F.col("source").alias("organizer_name"), F.when(key % 9 > 0, day("2022-06-01", 1200)).alias("event_start"), F.lit("2023-01-01").cast(zone).alias("registration_start"),
         F.when(key % 4 > 0, day("2024-01-01", 60)).alias("registration_deadline"), F.col("lang").alias("state"), F.concat("lang", F.lit("/"), "source").alias("city"),
-        F.when(F.contains("text", F.lit("\n")), "online").otherwise("offline").alias("mode"), F.upper("lang").alias("technology"), F.when(F.col("quality") == 1, "clean").when(F.col("quality") == 0, " ").alias("domain"),
+        F.upper("lang").alias("technology"), F.when(F.col("quality") == 1, "clean").when(F.col("quality") == 0, " ").alias("domain"),
         F.when(F.col("n_chars") % 7 > 0, ((F.col("n_chars") - 200) * F.lit(120.5)).cast("decimal(18,2)")).when(F.col("n_chars") % 2 == 0, F.lit(0)).alias("prize_pool"), (F.col("quality") == 1).alias("student_only"),
-        (F.col("toxic") == 1).alias("college_only"), (F.col("quality") == 0).alias("open_to_public"), F.col("text").rlike("[#$%&]").alias("hiring_opportunities"), (F.length("text") > 3000).alias("internship_opportunities"),
-        F.col("source").alias("source_platform"), status.alias("status"), F.when(key % 5 == 0, "recurring").alias("occurrence_type"),
+        (F.col("toxic") == 1).alias("college_only"), (F.col("quality") == 0).alias("open_to_public"), F.col("source").alias("source_platform"), status.alias("status"), F.when(key % 5 == 0, "recurring").alias("occurrence_type"),
     )
     return eda.event_figures(events, F.lit(EVENTS_AS_OF).cast(zone))
 
