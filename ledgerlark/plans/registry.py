@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
-_MODULES = ("rollup_queries", "relation_queries", "text_queries", "scoring_queries", "entity_queries", "merge_queries", "stream_queries", "product_queries", "people_queries", "list_queries", "claim_queries", "eda_queries", "source_queries")
+_MODULES = ("rollup_queries", "relation_queries", "text_queries", "scoring_queries", "entity_queries", "merge_queries", "stream_queries", "product_queries", "people_queries", "list_queries", "claim_queries", "eda_queries", "source_queries", "record_queries")
 
 #: Clocks of the queries; no operator reads the wall clock.
 ORDERS_AS_OF = "2000-01-01 00:00:00"
