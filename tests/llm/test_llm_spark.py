@@ -472,3 +472,21 @@ def test_pipeline_by_hand(spark, sf_dir):
     own = Tokenizer.from_file(TOKENIZER)
     want = collections.Counter((d, len(own.encode(t, add_special_tokens=False).ids) + 1) for d, t in mixed)
     assert collections.Counter((r.doc_id, r.doc_tokens) for r in got if r.start == 0) == want
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, sf_dir):
+    """Nulls, empty texts, repeated rows, clashing columns and no rows at all go through every stage."""
+    import corpus_pipeline
+    from ledgerlark.llm.common import staged
+
+    last = corpus_pipeline.STAGES[-1][1]
+    for start in (odd, odd.limit(0)):
+        docs = start
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            assert docs.columns == odd.columns
+            if name == "near-duplicates":  # long texts only, one of each class; 9 is there twice and one text has no id
+                assert start is not odd or sorted(-1 if r.doc_id is None else r.doc_id for r in docs.collect()) == [-1, 0, 8, 9]
+        pieces = last(spark, docs, sf_dir).collect()
+        assert bool(pieces) == (start is odd)
+        assert all(0 < r.length <= 4096 and r.doc_id in (None, 0, 8, 9) for r in pieces)
