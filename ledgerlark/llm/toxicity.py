@@ -4,9 +4,9 @@ Terms are lower-case words of letters and their first 3 to 6 letters, so one ent
 with many endings. Every term that occurs in at least `least_df` examples counts, and examples of both labels are
 indexed. A term weighs (1 + ln count) * idf * (chi-square with the label + 0.05) ** `told`: the last factor is what a
 labelled collection adds to TF-IDF; it is small for terms that say nothing of the label and never 0. Postings lie
-by term, in blocks of examples with the largest weight of each block; the few most common terms, which nearly all examples
-have, lie in a dense matrix. A query scores the blocks of highest upper bound, then all others
-whose bound reaches the k-th best, so its k nearest are exact; among equal cosines the earlier example wins. The neighbours
+by term, in blocks of examples with the largest weight of each block; the most common terms, which have most of the
+postings, lie in a dense matrix. A batch of queries goes through the matrix at once; each then scores the blocks whose upper bound
+reaches the k-th best of the matrix alone, so its k nearest are exact; among equal cosines the earlier example wins. The neighbours
 vote by squared cosine against a constant, so far ones hardly count; leave-one-out votes on the
 examples calibrate the vote to a share (isotonic).
 
@@ -31,9 +31,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.common import map_arrow
+from ledgerlark.llm.interned import Interned, ranges, split
 
 _LETTERS = re.compile(r"[^\W\d_]+")
+#: The same in words with a space after each.
+_PIECES = re.compile(r"[^\W\d_]+| ")
+#: Words kept by one model, with their terms.
 _CACHE_WORDS = 300_000
+#: Texts taken apart at once; queries multiplied at once.
+_TEXTS, _BATCH = 256, 64
 
 
 @dataclass(frozen=True)
@@ -59,18 +65,11 @@ def terms_of(word: str) -> list[str]:
 Vector = tuple[np.ndarray, np.ndarray]
 
 
-def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """The numbers from each first to before its last, end to end."""
-    size = last - first
-    at = np.cumsum(size) - size
-    return np.repeat(first - at, size) + np.arange(int(size.sum()))
-
-
 class Index:
     """Unit vectors (terms, weights) of examples by term, in blocks; the most common terms in a matrix."""
 
-    #: Terms in the matrix; blocks scored before the bound is first used.
-    DENSE, FIRST = 512, 4
+    #: Terms in the matrix, of 8 bytes an example.
+    DENSE = 2048
 
     def __init__(self, rows: list[Vector], labels: list[int], names: list[int | None], block: int, n_terms: int) -> None:
         order = sorted(range(len(rows)), key=lambda i: (labels[i], int(rows[i][0][rows[i][1].argmax()]), i))
@@ -78,7 +77,6 @@ class Index:
         self.labels = np.array([labels[i] for i in order], dtype=np.int64)
         self.names = [names[i] for i in order]
         n = len(rows)
-        self.of_block = np.arange(n) // block
         self.starts = np.arange(0, n, block)
         term = np.concatenate([t for t, _ in self.rows])
         at = np.repeat(np.arange(n), [len(t) for t, _ in self.rows])
@@ -87,48 +85,57 @@ class Index:
         self.column = np.full(n_terms, -1)
         self.column[common] = np.arange(len(common))
         own = self.column[term] >= 0
-        self.matrix = np.zeros((len(common), n))
-        self.matrix[self.column[term[own]], at[own]] = weight[own]
+        self.dense = self.column[term[own]], at[own], weight[own]
+        self.matrix = self._matrix()
         term, at, weight = term[~own], at[~own], weight[~own]
         order = np.lexsort((at, term))
-        term, self.at, self.weight = term[order], at[order].astype(np.int32), weight[order]
-        both = term * len(self.starts) + self.of_block[self.at]
-        lists, self.first = np.unique(both, return_index=True)
-        self.blocks = lists % len(self.starts)
-        self.most = np.maximum.reduceat(self.weight, self.first) if len(lists) else np.zeros(0)
-        self.first = np.append(self.first, len(both))
-        self.lists = np.searchsorted(lists // len(self.starts), np.arange(n_terms + 1))
-
-    def _best(self, terms: np.ndarray, q: np.ndarray, start: np.ndarray, most: np.ndarray, k: int) -> Vector:
-        """Cosines above 0 and numbers of the k nearest; start: what the matrix gives each example, most: its largest by block."""
-        own = _ranges(self.lists[terms], self.lists[terms + 1])
-        weight = np.repeat(q, self.lists[terms + 1] - self.lists[terms])
-        blocks = self.blocks[own]
-        bound = most + np.bincount(blocks, weight * self.most[own], len(most))
-        done = np.zeros(len(most), dtype=bool)
-        done[np.argsort(-bound, kind="stable")[: self.FIRST]] = True
-        todo, score, found = done.copy(), start.copy(), np.zeros(0, dtype=np.int64)
-        while todo.any():
-            some = todo[blocks]
-            at, z = own[some], weight[some]
-            rows = _ranges(self.first[at], self.first[at + 1])
-            score += np.bincount(self.at[rows], np.repeat(z, self.first[at + 1] - self.first[at]) * self.weight[rows], len(score))
-            found = np.flatnonzero(done[self.of_block] & (score > 0))
-            least = np.partition(score[found], -k)[-k] if len(found) >= k else 0.0
-            todo = (bound >= least - 1e-9) & (bound > 0) & ~done
-            done |= todo
+        term, self.at, self.weight = term[order], at[order], weight[order]
+        n_blocks = len(self.starts)
+        both = term * n_blocks + self.at // block
+        self.lists = np.searchsorted(both, np.arange(n_terms * n_blocks + 1))
+        self.most = np.zeros(n_terms * n_blocks)
+        np.maximum.at(self.most, both, self.weight)
+        self.most = self.most.reshape(n_terms, n_blocks)
+
+    def _matrix(self) -> np.ndarray:
+        out = np.zeros((int(self.column.max(initial=-1)) + 1, len(self.labels)))
+        out[self.dense[0], self.dense[1]] = self.dense[2]
+        return out
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "matrix"} | {"at": self.at.astype(np.int32)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state | {"at": state["at"].astype(np.int64)}
+        self.matrix = self._matrix()
+
+    def _best(self, terms: np.ndarray, q: np.ndarray, start: np.ndarray, k: int) -> Vector:
+        """Cosines above 0 and numbers of the k nearest; start: what the matrix gives each example."""
+        n_blocks = len(self.starts)
+        least = np.partition(start, -k)[-k] if len(start) > k else 0.0
+        bound = np.maximum.reduceat(start, self.starts) + q @ self.most[terms]
+        blocks = np.flatnonzero(bound >= least - 1e-9)
+        if len(blocks) == n_blocks:
+            first, last = self.lists[terms * n_blocks], self.lists[terms * n_blocks + n_blocks]
+        else:
+            own = (terms[:, None] * n_blocks + blocks).ravel()
+            first, last, q = self.lists[own], self.lists[own + 1], np.repeat(q, len(blocks))
+        rows = ranges(first, last)
+        score = start + np.bincount(self.at.take(rows), np.repeat(q, last - first) * self.weight.take(rows), len(start))
+        found = np.flatnonzero(score >= np.partition(score, -k)[-k]) if len(score) > k else np.arange(len(score))
+        found = found[score[found] > 0]
         found = found[np.lexsort((found, -score[found]))[:k]]
         return score[found], found
 
     def nearest(self, queries: list[Vector], k: int) -> list[Vector]:
         q = np.zeros((len(queries), len(self.matrix)))
+        rest = []
         for i, (t, w) in enumerate(queries):
-            own = self.column[t] >= 0
-            q[i, self.column[t[own]]] = w[own]
-        start = q @ self.matrix
-        most = np.maximum.reduceat(start, self.starts, axis=1)
-        rest = [self.column[t] < 0 for t, _ in queries]
-        return [self._best(t[r], w[r], s, m, k) for (t, w), r, s, m in zip(queries, rest, start, most, strict=True)]
+            column = self.column[t]
+            own = column >= 0
+            q[i, column[own]] = w[own]
+            rest.append((t[~own], w[~own]))
+        return [self._best(t, w, s, k) for (t, w), s in zip(rest, q @ self.matrix, strict=True)]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,25 +161,41 @@ class Model:
         self.none = 0.0
         self.index: Index | None = None
         self.knots: tuple[np.ndarray, np.ndarray] | None = None
-        self._words: dict[str, tuple[int, ...]] = {}
+        self._words = Interned()
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_words": {}}
-
-    def _learn(self, word: str) -> tuple[int, ...]:
-        got = self._words[word] = tuple(self.terms[t] for t in terms_of(word) if t in self.terms)
-        return got
-
-    def counts(self, text: str) -> Vector:
-        """The terms of a text, ascending, and how often each occurs."""
-        get, learn = self._words.get, self._learn
-        words = text.split()
-        hits = [c if c is not None else learn(w) for w, c in zip(words, map(get, words), strict=True)]
-        if len(self._words) > _CACHE_WORDS:
-            self._words = {}
-        found = np.sort(np.fromiter(itertools.chain.from_iterable(hits), dtype=np.int64))
+        return self.__dict__ | {"_words": Interned()}
+
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The known terms of words, as terms_of() gives them, and how many each has."""
+        get, starts, flat, length, done = self.terms.get, {}, [], [], 0
+        for piece in _PIECES.findall(" ".join([*words, ""]).lower()):
+            if piece == " ":
+                length.append(len(flat) - done)
+                done = len(flat)
+                continue
+            if (own := get(piece)) is not None:
+                flat.append(own)
+            start = piece[:-1][:6]
+            if (more := starts.get(start)) is None:
+                found = (get("^" + start[:n]) for n in range(3, len(start) + 1))
+                more = starts[start] = [t for t in found if t is not None]
+            flat += more
+        return np.array(flat, dtype=np.uint32), np.array(length, dtype=np.int64)
+
+    def counts(self, texts: list[str]) -> list[Vector]:
+        """The terms of each text, ascending, and how often each occurs."""
+        self._words.bound(_CACHE_WORDS)
+        words, of_word, at = split(pa.array(texts, pa.large_string()))
+        codes = self._words.codes(words.to_pylist(), self._learn)[of_word]
+        terms, ends = self._words.gather(codes)
+        n = max(1, len(self.terms))
+        found = np.repeat(np.arange(len(texts)) * n, np.diff(ends[at])) + terms
+        found.sort()
         first = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(found) else np.zeros(0, dtype=np.int64)
-        return found[first], np.diff(np.append(first, len(found)))
+        size, found = np.diff(np.append(first, len(found))), found[first]
+        ends = np.searchsorted(found, np.arange(len(texts) + 1) * n).tolist()
+        return [(found[a:z] - i * n, size[a:z]) for i, (a, z) in enumerate(itertools.pairwise(ends))]
 
     def vector(self, counts: Vector) -> Vector:
         raw = (1 + np.log(counts[1])) * self.weight[counts[0]]
@@ -187,8 +210,8 @@ class Model:
         if rows:
             self.index = Index([self.vector(c) for _, _, c in rows], [y for _, y, _ in rows], [d for d, _, _ in rows], block, len(self.terms))
             votes, labels = [], []
-            for at in range(0, len(rows), 64):
-                for i, (score, near) in enumerate(self.index.nearest(self.index.rows[at : at + 64], self.k + 1), at):
+            for at in range(0, len(rows), _BATCH):
+                for i, (score, near) in enumerate(self.index.nearest(self.index.rows[at : at + _BATCH], self.k + 1), at):
                     others = near != i
                     if others.any():
                         votes.append(self.vote((score[others][: self.k], near[others][: self.k])))
@@ -202,9 +225,9 @@ class Model:
         out = [(self.none, "")] * len(texts)
         if self.index is None or self.knots is None:
             return out
-        counts = [self.counts(t) for t in texts]
-        some = [i for i, (t, _) in enumerate(counts) if len(t)]
-        for i, near in zip(some, self.index.nearest([self.vector(counts[i]) for i in some], self.k) if some else [], strict=True):
+        vectors = [(i, self.vector(c)) for i, c in enumerate(self.counts(texts)) if len(c[0])]
+        near = (x for at in range(0, len(vectors), _BATCH) for x in self.index.nearest([v for _, v in vectors[at : at + _BATCH]], self.k))
+        for (i, _), near in zip(vectors, near, strict=True):
             if len(near[0]):
                 seen = ",".join(f"{self.index.names[j]}:{s:.4f}:{self.index.labels[j]}" for s, j in zip(near[0][:3].tolist(), near[1][:3].tolist(), strict=True))
                 out[i] = float(np.interp(self.vote(near), *self.knots)), seen
@@ -262,9 +285,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, settings: Settings =
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for d, text, y in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                t, c = model.counts(text.as_py())
-                rows.append((d, y, t.astype("<i4").tobytes(), c.astype("<i4").tobytes()))
+            for at in range(0, b.num_rows, _TEXTS):
+                own = b.slice(at, _TEXTS)
+                for d, y, (t, c) in zip(own.column(0).to_pylist(), own.column(2).to_pylist(), model.counts(own.column(1).to_pylist()), strict=True):
+                    rows.append((d, y, t.astype("<i4").tobytes(), c.astype("<i4").tobytes()))
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
             columns = zip(*rows, strict=True) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["doc_id", "label", "t", "c"])
@@ -281,8 +305,8 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = []
-            for at in range(0, b.num_rows, 64):
-                got += model.score([x or "" for x in b.column(1).slice(at, 64).to_pylist()])
+            for at in range(0, b.num_rows, _TEXTS):
+                got += model.score([x or "" for x in b.column(1).slice(at, _TEXTS).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s for s, _ in got], pa.float64()), pa.array([e for _, e in got], pa.string())], ["doc_id", "score", "evidence"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, score double, evidence string")
