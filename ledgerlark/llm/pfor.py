@@ -46,18 +46,21 @@ class Format:
     file_ids: int = 1 << 23
 
 
+def _bytes_of(bits: int) -> int:
+    return 1 if bits <= 8 else 2 if bits <= 16 else 4
+
+
 def _pack(values: np.ndarray, bits: int) -> np.ndarray:
     """Rows of BLOCK values to rows of BLOCK * bits / 8 bytes, lowest bit first."""
-    planes = (values[:, :, None] >> np.arange(bits, dtype=np.uint32)) & np.uint32(1)
-    return np.packbits(planes.astype(np.uint8).reshape(len(values), -1), axis=1, bitorder="little")
+    raw = values.astype(f"<u{_bytes_of(bits)}").view(np.uint8).reshape(-1)
+    planes = np.unpackbits(raw, bitorder="little").reshape(len(values), BLOCK, -1)[:, :, :bits]
+    return np.packbits(planes.reshape(len(values), -1), axis=1, bitorder="little")
 
 
 def _unpack(data: np.ndarray, bits: int) -> np.ndarray:
-    planes = np.unpackbits(data, axis=1, bitorder="little").reshape(len(data), BLOCK, bits)
-    out = np.zeros((len(data), BLOCK), dtype=np.uint32)
-    for k in range(bits):
-        out |= planes[:, :, k].astype(np.uint32) << np.uint32(k)
-    return out
+    planes = np.zeros((len(data), BLOCK, 8 * _bytes_of(bits)), dtype=np.uint8)
+    planes[:, :, :bits] = np.unpackbits(data, axis=1, bitorder="little").reshape(len(data), BLOCK, bits)
+    return np.packbits(planes.reshape(-1), bitorder="little").view(f"<u{_bytes_of(bits)}").reshape(len(data), BLOCK)
 
 
 def _width(x: np.ndarray) -> np.ndarray:

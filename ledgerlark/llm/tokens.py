@@ -1,9 +1,9 @@
-"""Whole texts to ids by a tokenizers file, with a cache of words.
+"""Whole texts to ids by a tokenizers file, with a cache of parts of words.
 
 Texts are split at white space, which the tokenizer drops and no token spans, so a word's ids don't
-depend on its neighbours. A new word of printable ASCII and Latin-1 letters is lowered, taken apart as
-the tokenizer's pattern does and given to the tokenizer's model; any other new word goes through the
-whole tokenizer. The cache is bounded: when it is full, words seen only once or twice go. A file whose normalizer or
+depend on its neighbours. Arrow splits a run of texts and finds its different words. Those of printable ASCII and Latin-1 letters
+are lowered and taken apart as the tokenizer's pattern does, all at once, and their new parts given to the tokenizer's model;
+any other new word goes through the whole tokenizer. The cache is bounded: when it is full, parts seen only once or twice go. A file whose normalizer or
 pattern is another one (see _KNOWN) has no such words, so its texts go to the tokenizer whole.
 
 encoded() takes null texts as empty, gives each row its ids whether or not rows repeat, splits no text however long, and
@@ -23,19 +23,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from ledgerlark.llm.common import tidy, worker_cache
+from ledgerlark.llm.interned import Interned, ranges, split
 
-#: Words kept by one Python worker, about 80 MB.
+#: Parts of words, and words of other letters, kept by one Python worker, about 80 MB.
 CACHE_WORDS = 360_000
-#: Parts of words kept by one Python worker.
-CACHE_PARTS = 150_000
 
-_SPLIT = re.compile("[ \t-\r]+")
-#: Python's split() takes these as white space, the tokenizer doesn't.
-_ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
-#: Words that NFC leaves as they are and whose letters lower to one letter each.
-_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-#: Parts of such a word in lower case that the tokenizer's pattern takes apart.
-_PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+#: Words that NFC leaves as they are and whose letters lower to one letter each, a line each; what other words have, for Arrow.
+_PLAIN = re.compile("[\n!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+_ODD = "[^!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]|<[|]"
+#: Parts of the others in lower case that the tokenizer's pattern takes apart, and what ends a word.
+_PART = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|\n|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff\n]+")
+#: Stands for one of the odd words among the others.
+_PLACE = "\0"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -63,7 +62,7 @@ _KNOWN = {
 #: The name of the worker cache.
 CACHE = "tokens"
 #: Runs of texts after which freed memory goes back.
-_TIDY = 16
+_TIDY = 4
 
 _encoders: dict[str, Encoder] = {}
 worker_cache(CACHE, _encoders.clear)
@@ -75,12 +74,6 @@ def known(raw: str) -> bool:
     return all(own.get(k) == v for k, v in _KNOWN.items()) and own["model"].get("type") == "BPE" and all(t["content"].startswith("<|") for t in own.get("added_tokens") or ())
 
 
-def words_of(text: str) -> list[str]:
-    if any(c in text for c in _ODD):
-        return [w for w in _SPLIT.split(text) if w]
-    return text.split()
-
-
 class Encoder:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -89,55 +82,36 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.by_words = known(self.tokenizer.to_str())
-        self.index: dict[str, int] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
-        self.flat = np.zeros(1 << 16, dtype=np.uint32)
-        self.start = np.zeros(1 << 12, dtype=np.int64)
-        self.length = np.zeros(1 << 12, dtype=np.int64)
-        self.seen = np.zeros(1 << 12, dtype=np.int64)
-        self.used = self.turn = 0
-
-    def _shrink(self) -> None:
-        """Keep the words seen three times or more; halve what they have been seen."""
-        n = len(self.index)
-        stay = np.flatnonzero(self.seen[:n] > 2)
-        if len(stay) > CACHE_WORDS // 2:
-            stay = stay[:0]
-        names = list(self.index)
-        self.index = dict(zip((names[i] for i in stay.tolist()), range(len(stay)), strict=True))
-        length = self.length[stay]
-        at = np.cumsum(length) - length
-        flat = self.flat[np.repeat(self.start[stay] - at, length) + np.arange(int(length.sum()))]
-        self.flat[: len(flat)] = flat
-        self.used = len(flat)
-        for own, new in ((self.start, at), (self.length, length), (self.seen, self.seen[stay] // 2)):
-            own[: len(stay)] = new
-        self.seen[len(stay) :] = 0
-        self.parts = {}
-
-    def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.parts = Interned()
+        self.turn = 0
+
+    def encode(self, texts: Sequence[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and their n + 1 offsets."""
         if not self.by_words:
-            coded = [c.ids for c in self.tokenizer.encode_batch(list(texts), add_special_tokens=False)]
+            texts = texts.to_pylist() if isinstance(texts, pa.Array) else list(texts)
+            coded = [c.ids for c in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
             return np.fromiter(itertools.chain.from_iterable(coded), dtype=np.uint32), np.append(0, np.cumsum([len(c) for c in coded], dtype=np.int64))
-        words: list[str] = []
-        ends = np.zeros(len(texts) + 1, dtype=np.int64)
-        for k, text in enumerate(texts):
-            words += words_of(text)
-            ends[k + 1] = len(words)
-        if len(self.index) > CACHE_WORDS:
-            self._shrink()
-        codes = np.fromiter(map(self.index.get, words, itertools.repeat(-1)), dtype=np.int64, count=len(words))
-        missing = np.flatnonzero(codes < 0)
-        if len(missing):
-            self._learn(list(dict.fromkeys(words[i] for i in missing.tolist())))
-            codes[missing] = np.fromiter((self.index[words[i]] for i in missing.tolist()), dtype=np.int64, count=len(missing))
-        self.seen += np.bincount(codes, minlength=len(self.seen))
-        length = self.length[codes]
-        total = np.zeros(len(words) + 1, dtype=np.int64)
-        np.cumsum(length, out=total[1:])
-        ids = self.flat[np.repeat(self.start[codes] - total[:-1], length) + np.arange(total[-1])]
-        return ids, total[ends]
+        names, words, at = split(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+        ids, ends = self._words(names)
+        first, last = ends[words], ends[words + 1]
+        return ids[ranges(first, last)], np.append(0, np.cumsum(last - first))[at]
+
+    def _words(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different words end to end, and their n + 1 offsets."""
+        self.parts.bound(CACHE_WORDS)
+        lines, odd = _lines(names), []
+        if "<|" in lines or not _PLAIN.fullmatch(lines):
+            found = pc.match_substring_regex(names, _ODD)
+            odd = names.filter(found).to_pylist()
+            lines = _lines(pc.if_else(found, _PLACE, names))
+        parts = _PART.findall(lines.lower())
+        if odd:
+            rest = iter(odd)
+            parts = [next(rest) if p == _PLACE else p for p in parts]
+        codes = self.parts.codes(parts, lambda new: self._learn(new, set(odd)))
+        ids, at = self.parts.gather(codes)
+        ended = codes == self.parts.index["\n"] if len(codes) else np.zeros(0, dtype=bool)
+        return ids, at[np.append(0, np.flatnonzero(ended) + 1)]
 
     def _whole(self, words: list[str]) -> list[tuple[int, ...]]:
         if not words:
@@ -146,38 +120,22 @@ class Encoder:
         at = np.searchsorted(np.array(coded.word_ids, dtype=np.int64), np.arange(len(words) + 1)).tolist()
         return [tuple(coded.ids[a:b]) for a, b in itertools.pairwise(at)]
 
-    def _part(self, part: str) -> tuple[int, ...]:
-        ids = tuple(t.id for t in self.model.tokenize(part if part.isascii() else part.translate(_LETTERS)))
-        self.parts[part] = ids
-        return ids
-
-    def _learn(self, words: list[str]) -> None:
-        odd = [w for w in words if not _PLAIN.fullmatch(w) or "<|" in w]
-        whole = dict(zip(odd, self._whole(odd), strict=True))
-        if len(self.parts) > CACHE_PARTS:
-            self.parts = {}
-        get, part, runs = self.parts.get, self._part, []
-        for w in words:
-            if (ids := whole.get(w)) is None:
-                split = _PART.findall(w.lower())
-                ids = get(split[0]) or part(split[0])
-                for x in split[1:]:
-                    ids += get(x) or part(x)
-            runs.append(ids)
-        n = len(self.index)
-        if n + len(words) > len(self.start):
-            size = 2 * (n + len(words))
-            self.start, self.length = np.resize(self.start, size), np.resize(self.length, size)
-            self.seen = np.concatenate([self.seen, np.zeros(size - len(self.seen), dtype=np.int64)])
-        size = np.fromiter(map(len, runs), dtype=np.int64, count=len(runs))
-        flat = np.fromiter(itertools.chain.from_iterable(runs), dtype=np.uint32, count=int(size.sum()))
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.start[n : n + len(words)] = self.used + np.cumsum(size) - size
-        self.length[n : n + len(words)] = size
-        self.used += len(flat)
-        self.index.update(zip(words, range(n, n + len(words)), strict=True))
+    def _learn(self, parts: list[str], odd: set[str]) -> tuple[np.ndarray, np.ndarray]:
+        whole = [p for p in parts if p in odd] if odd else []
+        known = {"\n": (), **dict(zip(whole, self._whole(whole), strict=True))}
+        tokenize, flat, size = self.model.tokenize, [], []
+        for p in parts:
+            ids = known.get(p)
+            if ids is None:
+                ids = [t.id for t in tokenize(p if p.isascii() else p.translate(_LETTERS))]
+            flat += ids
+            size.append(len(ids))
+        return np.array(flat, dtype=np.uint32), np.array(size, dtype=np.int64)
+
+
+def _lines(words: pa.Array) -> str:
+    """The words, each with a line end after it."""
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), pa.scalar("\n", words.type))[0].as_py() + "\n" * (len(words) > 0)
 
 
 def encoder(path: str) -> Encoder:
@@ -187,7 +145,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encoded(column: pa.Array, path: str, end: int, size: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def encoded(column: pa.Array, path: str, end: int, size: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For runs of whole texts of about size bytes: the first row, all ids with end after each text, offsets."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
     sizes = np.cumsum(np.asarray(pc.binary_length(column), dtype=np.int64)) if len(column) else np.zeros(0, dtype=np.int64)
@@ -198,7 +156,7 @@ def encoded(column: pa.Array, path: str, end: int, size: int = 1 << 19) -> Itera
             tidy(CACHE)
         done = sizes[first - 1] if first else 0
         last = max(first + 1, int(np.searchsorted(sizes, done + size, side="right")))
-        ids, at = own.encode(column.slice(first, last - first).to_pylist())
+        ids, at = own.encode(column.slice(first, last - first))
         ids = np.insert(ids, at[1:], np.uint32(end))
         yield first, ids, at + np.arange(len(at))
         first = last

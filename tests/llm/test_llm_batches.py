@@ -7,9 +7,11 @@ import pickle
 import random
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 
-from ledgerlark.llm import toxicity
+from ledgerlark.llm import pfor, tokens, toxicity
 from ledgerlark.llm.interned import Interned
 
 ODD = ["", "  ", "Ünï x_y 12ab ΑΣ Β it's", "İİ a\x1cb\x85c don't½", "日本 語  abcdefghij\n\nabcdef", "The theme, THE THEMES", "the theme"]
@@ -67,3 +69,27 @@ def test_new_strings_are_learned_once_and_the_bound_holds():
     assert list(own.index) == ["b", "", "ab", "abc"]
     flat, at = own.gather(own.codes(["abc", "x7", "ab"], learn))
     assert "".join(map(chr, flat)) == "abcx7ab" and at.tolist() == [0, 3, 5, 7]
+
+
+def test_a_part_of_words_is_learned_once(monkeypatch):
+    """Words that differ in case and marks share their parts; a long text and many short ones give the tokenizer's ids."""
+    own, asked = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json")), []
+    learn = own._learn
+    monkeypatch.setattr(own, "_learn", lambda parts, odd: asked.extend(parts) or learn(parts, odd))
+    texts = [*ODD, "Theme, theme; THEME's (theme)", "thême\u0301 <|endoftext|>x a<b|c '\x00' ''re're", "日本 日本, Theme\x00theme", "theme\n" * 3000]
+    want = [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for column in (texts, pa.array(texts, pa.large_string()), pa.array(texts, pa.large_string()).slice(0)):
+        ids, at = own.encode(column)
+        assert [ids[a:z].tolist() for a, z in zip(at[:-1], at[1:], strict=True)] == want
+    assert len(asked) == len(set(asked)) and asked.count("theme") == 1
+    assert own.encode([])[1].tolist() == [0]
+
+
+@pytest.mark.parametrize("bits", [*range(1, 34, 3), 8, 16, 32])
+def test_bits_lie_lowest_first(bits):
+    bits = min(bits, 32)
+    x = np.random.default_rng(bits).integers(0, 1 << bits, (3, pfor.BLOCK), dtype=np.uint64).astype(np.uint32)
+    data = pfor._pack(x, bits)
+    for row, raw in zip(x.tolist(), data, strict=True):
+        assert int.from_bytes(raw.tobytes(), "little") == sum(v << bits * k for k, v in enumerate(row))
+    assert (pfor._unpack(data, bits) == x).all()
