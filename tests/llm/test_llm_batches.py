@@ -93,3 +93,18 @@ def test_bits_lie_lowest_first(bits):
     for row, raw in zip(x.tolist(), data, strict=True):
         assert int.from_bytes(raw.tobytes(), "little") == sum(v << bits * k for k, v in enumerate(row))
     assert (pfor._unpack(data, bits) == x).all()
+
+
+def test_runs_of_texts_stay_in_arrow(monkeypatch):
+    """Runs of some bytes reach the encoder as Arrow, whole texts however long, nulls as empty, an end after each."""
+    path, runs = public_tokenizers.path("word_bpe_49k.json"), []
+    own = tokens.Encoder(path)
+    encode = own.encode
+    monkeypatch.setattr(tokens, "encoder", lambda _: own)
+    monkeypatch.setattr(own, "encode", lambda x: runs.append(x) or encode(x))
+    texts = ["skipped", "a b", None, "", "long words " * 100, "c", None, "thé end"]
+    got = {}
+    for first, ids, at in tokens.encoded(pa.array(texts).slice(1), path, 2, size=20):
+        got |= {first + k: ids[a:z].tolist() for k, (a, z) in enumerate(zip(at[:-1], at[1:], strict=True))}
+    assert [got[k] for k in range(7)] == [[*own.tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts[1:]]
+    assert len(runs) > 2 and all(isinstance(x, pa.Array) for x in runs)
