@@ -35,10 +35,32 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return overlap(trigrams(a), trigrams(b))
 
 
+def matching_share(a: str, b: str) -> float:
+    """SequenceMatcher(None, a, b).ratio() of texts that aren't empty; it leaves out frequent characters from 200 on, so those go to it."""
+    if a == b:
+        return 1.0
+    if len(b) >= 200:
+        return SequenceMatcher(None, a, b).ratio()
+    same, parts = 0, [(0, len(a), 0, len(b))]
+    while parts:
+        a_from, a_to, b_from, b_to = parts.pop()
+        size, at, i = 0, 0, a_from
+        while i + size < a_to:  # the longest run, the first in a, and there the first in b
+            if b.find(a[i : i + size + 1], b_from, b_to) >= 0:
+                size, at = size + 1, i
+            else:
+                i += 1
+        if size:
+            j = b.find(a[at : at + size], b_from, b_to)
+            same += size
+            parts += [(a_from, at, b_from, j), (at + size, a_to, j + size, b_to)]
+    return 2.0 * same / (len(a) + len(b))
+
+
 @F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     pairs = zip(a.fillna(""), b.fillna(""), strict=True)
-    return pd.Series([0.0 if not x or not y else 1.0 if x == y else SequenceMatcher(None, x, y).ratio() for x, y in pairs], dtype="float64")
+    return pd.Series([matching_share(x, y) if x and y else 0.0 for x, y in pairs], dtype="float64")
 
 
 def ratio(a: Column, b: Column) -> Column:

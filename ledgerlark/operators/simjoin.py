@@ -4,7 +4,8 @@ Rows with the same block and value are one class first, with their least key as
 nothing. Sets are joined on the rarest tokens of each: two sets of Jaccard similarity t share one
 of the first n - ceil(t * n) + 1 in any common order, and their lengths and the places of that token bound what they
 can still share. Strings at edit similarity t differ by k = (1 - t) * length edits at most, so of k + 1 pieces of the
-shorter one at least one stands unchanged in the longer one, near its place. Every candidate is then
+shorter one at least one stands unchanged in the longer one, near its place. Texts with a share of matching runs of t
+have a common subsequence of t times their mean length: both come to it by leaving out a few characters. Every candidate is then
 compared in full. NULL blocks and NULL values are like nothing; ties among representatives don't matter, as a
 pair is told once with the lesser key on the left.
 """
@@ -125,6 +126,36 @@ def similar_strings(heads: DataFrame, key: str, text: str, block: Sequence[str],
     return out.where(F.col("similarity") >= least)
 
 
+#: The most ways (about) to leave out characters of a text; where there are more, the texts of a block and two lengths are compared pair by pair.
+MOST_WAYS = 512
+
+
+def subsequence_candidates(heads: DataFrame, key: str, text: str, block: Sequence[str], least: float) -> DataFrame:
+    """_a, _b: heads of a block whose different texts can have a ratio() of `least` (above 0) or more, either way round.
+
+    Such texts of n and m characters have a common subsequence of least * (n + m) / 2. What all texts of a block begin and
+    end with is part of it. Of the rest, each offers all subsequences of that length, once for each length
+    that the block has. For pairs of lengths with too many of them it offers none, and only the edits tell them apart.
+    """
+    back, n = F.reverse(text), F.length(text)
+    alike = "size(filter(sequence(0, least(length({0}), length({1}))), i -> left({0}, i) = left({1}, i))) - 1"
+    of_block = heads.groupBy(*block).agg(F.min(text).alias("x"), F.max(text).alias("y"), F.min(back).alias("v"), F.max(back).alias("w"), F.min(n).alias("short"), F.collect_set(n).alias("lengths"))
+    of_block = of_block.withColumn("first", F.expr(alike.format("x", "y"))).withColumn("last", F.least(F.expr(alike.format("v", "w")), F.expr("short - first")))
+    of_block = of_block.select(*block, "first", (F.col("first") + F.col("last")).alias("told"), "lengths")
+    common = f"cast(ceil(({{0}} + {{1}}) * {least}D / 2 - 1e-9D) as int)"
+    rows = heads.select(key, *block, F.col(text).alias("text"), n.alias("n")).join(of_block, list(block)).withColumn("m", F.explode("lengths"))
+    rows = rows.withColumn("kept", F.expr(f"greatest(0, {common.format('n', 'm')} - told)")).where(f"{common.format('n', 'm')} <= least(n, m)")
+    many = f"pow(n - told, n - told - kept) > {MOST_WAYS} or pow(m - told, m - told - kept) > {MOST_WAYS}"
+    shorter = "aggregate(array_repeat(0, n - told - kept), array(substring(text, first + 1, n - told)), (all, _) -> array_distinct(flatten(transform(all, s -> transform(sequence(1, length(s)), i -> concat(left(s, i - 1), substring(s, i + 1)))))))"
+    rows = rows.select(key, *block, "text", "n", F.expr("least(n, m)").alias("lo"), F.expr("greatest(n, m)").alias("hi"), F.expr(many).alias("many"), F.explode(F.expr(f"if({many}, array(''), {shorter})")).alias("piece"))
+    names = [*block, "lo", "hi", "many", "piece"]
+    index = rows.withColumn("hash", F.xxhash64(*names))  # the first key of the join, so that it sorts by a number
+    fits = (F.col("a.text") < F.col("b.text")) & (F.col("a.n") + F.col("b.n") == F.col("a.lo") + F.col("a.hi"))
+    near = index.alias("a").join(index.alias("b"), _same("a", "b", ["hash", *names]) & fits)
+    near = near.where(~F.col("a.many") | (F.levenshtein("a.text", "b.text") <= F.col("a.n") + F.col("b.n") - 2 * F.expr(common.format("a.n", "b.n"))))
+    return near.select(F.col(f"a.{key}").alias("_a"), F.col(f"b.{key}").alias("_b")).distinct()
+
+
 def row_pairs(links: DataFrame, members: DataFrame, key: str) -> DataFrame:
     """Links of representatives as pairs of rows, and the pairs of rows of one class (similarity 1)."""
     a, b = (members.select(F.col(key).alias(f"_{s}"), F.col("representative").alias(s)) for s in ("left", "right"))

@@ -199,6 +199,17 @@ def test_linked_colleges_against_all_pairs(spark):
     _against_all_pairs(spark, rows, "id int, code_key string, site string, state_key string, name_key string, city_key string, district_key string", matching.COLLEGE_BLOCKS, matching.same_college)
 
 
+def test_linked_colleges_with_many_names_against_all_pairs(spark):
+    """Names on both sides of what is missing with and without the district, in blocks and without one."""
+    import random
+
+    rng = random.Random(6)
+    stems = ("customer000", "governmentcollegeofartsand", "")
+    rows = [(i, rng.choice(("", None)), rng.choice((None, None, None, "a.edu")), rng.choice(("goa", "goa", "goa", "", None)), rng.choice(stems) + f"{rng.randrange(900):06d}", rng.choice(("panaji", "panaji", "")), rng.choice("123") or None) for i in range(260)]
+    rows += [(300 + i, *rows[i][1:5], "panaji", None) for i in range(30)]
+    _against_all_pairs(spark, rows, "id int, code_key string, site string, state_key string, name_key string, city_key string, district_key string", matching.COLLEGE_BLOCKS, matching.same_college)
+
+
 def test_linked_without_rows(spark):
     df = spark.createDataFrame([], "id int, code_key string, site string, state_key string, name_key string, city_key string, district_key string")
     links, members = matching.linked(df, "id", [c for c in df.columns if c != "id"], matching.COLLEGE_BLOCKS, matching.same_college)

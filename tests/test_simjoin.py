@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import itertools
 import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlark.functions import similarity
 from ledgerlark.operators import matching, simjoin
 
 
@@ -85,3 +87,31 @@ def test_candidates_grow_with_the_rows(spark):
 
     few, many = candidates(300), candidates(3000)  # of 44,850 and 4,498,500 pairs
     assert max(few) < 300 and max(many) < 3000
+
+
+@pytest.mark.parametrize(("least", "most"), [(0.3, 512), (0.7, 512), (0.86, 512), (0.86, 0), (1.0, 512)])
+def test_subsequence_candidates_against_all_pairs(spark, monkeypatch, least, most):
+    monkeypatch.setattr(simjoin, "MOST_WAYS", most)
+    many = [("college" if i % 3 else "") + s + ("city" if i % 2 else "") for i, s in enumerate(names(11, 120))]
+    rows = [(i, s, "xyz"[i % 3] if i % 17 else None) for i, s in enumerate([*many, "", "a", "ab", *(f"customer{i * 7919 % 100000:09d}" for i in range(60))])]
+    heads, _ = simjoin.classes(spark.createDataFrame(rows, "id long, name string, b string"), "id", "name", ["b"])
+    texts = {r.id: (r.b, r.name) for r in heads.collect()}
+    got = [tuple(sorted((r._a, r._b))) for r in simjoin.subsequence_candidates(heads, "id", "name", ["b"], least).collect()]
+    ratio = lambda a, b: max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio()) if a and b else 0.0
+    want = {(i, j) for (i, (x, a)), (j, (y, b)) in itertools.combinations(sorted(texts.items()), 2) if x == y and ratio(a, b) >= least}
+    assert len(got) == len(set(got)) and want <= set(got) and (want or least == 1.0)
+    assert all(texts[i][0] == texts[j][0] for i, j in got)
+
+
+def test_subsequence_candidates_grow_with_the_rows(spark):
+    """Names of one block that differ in a few characters behind what all begin with: 1,000 names, 499,500 pairs."""
+    df = spark.createDataFrame([(i, f"customer{i * 7919 % 1000000:09d}", "b") for i in range(1000)], "id long, name string, b string")
+    assert simjoin.subsequence_candidates(df, "id", "name", ["b"], 0.92).count() < 500
+    assert simjoin.subsequence_candidates(df, "id", "name", ["b"], 0.86).count() < 15000
+
+
+def test_matching_share_against_difflib():
+    r = random.Random(9)
+    texts = ["".join(r.choices("ab é😀0", k=r.choice((1, 2, 5, 12, 30, 199, 200, 260)))) for _ in range(400)]
+    for a, b in zip(texts, [*texts[1:200], *(t[1:] + "a" for t in texts[199:])], strict=True):
+        assert similarity.matching_share(a, b) == SequenceMatcher(None, a, b).ratio()
