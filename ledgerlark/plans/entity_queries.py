@@ -74,7 +74,7 @@ def posting_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def difflib_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.fuzzy_pairs(table(spark, sf_dir, "part"), "p_partkey", "p_name", ["p_brand", "p_size"], L.ratio, 0.7)
+    return matching.ratio_pairs(table(spark, sf_dir, "part"), "p_partkey", "p_name", ["p_brand", "p_size"], 0.7)
 
 
 def _links_and_members(keys: DataFrame, key: str, blocks: Sequence[Sequence[str]], rule: Callable[[str, str], tuple[Column, Column]]) -> DataFrame:

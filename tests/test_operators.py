@@ -132,6 +132,37 @@ def test_ratio_pairs_against_difflib(spark):
     assert got == want
 
 
+def test_ratio_pairs_tell_each_two_texts_once(spark, monkeypatch):
+    """Rows, keys out of order, repeated texts and blocks, against difflib; 3,000 rows of 6 texts need no more than their 30 ratios."""
+    import random
+    from difflib import SequenceMatcher
+    from itertools import combinations
+
+    r = random.Random(2)
+    words = ["tide", "diet", "blue ring", "blue rings", "bue rinlg", "", None, *("".join(r.choices("abc", k=r.randint(1, 9))) for _ in range(30))]
+    rows = [(r.randrange(10**6), r.choice(words), r.choice(("x", "y", None))) for _ in range(250)] + [(None, "tide", "x")]
+    df = spark.createDataFrame(rows, "id long, t string, b string")
+    got = {(k.left, k.right): k.similarity for k in matching.ratio_pairs(df, "id", "t", ["b"], 0.5).collect()}
+    want = {}
+    for (i, a, x), (j, b, y) in combinations(sorted(rows[:-1], key=lambda t: t[0]), 2):
+        s = SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+        if x and x == y and s >= 0.5:
+            want[i, j] = s
+    assert got == want and len(set(want.values())) > 5
+    assert SequenceMatcher(None, "tide", "diet").ratio() != SequenceMatcher(None, "diet", "tide").ratio()
+
+    told = []
+
+    def counted(a, b):
+        told.append(spark.sparkContext.accumulator(0))
+        return F.udf(lambda x, y, n=told[-1]: n.add(1) or SequenceMatcher(None, x, y).ratio(), "double")(a, b)
+
+    monkeypatch.setattr(matching, "ratio", counted)
+    many = spark.range(3000).select("id", F.concat(F.lit("part"), F.col("id") % 6).alias("t"), (F.col("id") % 7 % 2).alias("b"))
+    pairs = matching.ratio_pairs(many, "id", "t", ["b"], 0.7).count()
+    assert pairs == sum(n * (n - 1) // 2 for n in (many.where("b = 0").count(), many.where("b = 1").count())) and sum(n.value for n in told) <= 30
+
+
 def test_same_college(spark):
     fields = "id int, code_key string, site string, state_key string, name_key string, city_key string, district_key string"
     rows = [
