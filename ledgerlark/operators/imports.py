@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import strings as S
-from ledgerlark.functions.similarity import trigram_similarity
+from ledgerlark.functions.similarity import trigrams
+from ledgerlark.operators import simjoin
 from ledgerlark.operators.matching import SAME
 from ledgerlark.operators.ranking import best_per
 
@@ -27,14 +28,32 @@ def suppressed(rows: DataFrame, key: str, email: str, mobile: str, optouts: Data
     return rows.join(hit, F.col(key) == F.col("_k"), "left").withColumn("suppressed", F.col("_k").isNotNull()).drop("_k")
 
 
-def with_keys(df: DataFrame) -> DataFrame:
-    """Columns of the ladder for rows with company, title and url."""
-    return df.withColumns({
+def with_keys(df: DataFrame, *names: str) -> DataFrame:
+    """Columns of the ladder for rows with company, title and url, or those named.
+
+    They come out of a generator, so that filters on them don't have them told again at the scan.
+    """
+    keys = {
         "fingerprint": S.fingerprint(F.col("company"), F.col("title"), F.col("url")),
         "company_key": S.company_key(F.col("company")),
         "url_key": S.url_key(F.col("url")),
         "host_key": S.host(F.col("url")),
-    })
+    }
+    return df.select("*", F.inline(F.array(F.struct(*(keys[n].alias(n) for n in names or keys)))))
+
+
+def near_titles(new: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """company_key, host_key and title of new (which has the keys) with _near: the newest lead of that company and host with a title of like trigrams.
+
+    Titles are compared once each, however many rows and leads have them, and only those that share a rare trigram.
+    """
+    block = ["company_key", "host_key"]
+    told = F.struct(*block, "title")
+    with_title = (F.col("company_key") != "") & F.col("host_key").isNotNull() & F.col("title").isNotNull()
+    newest = best_per(with_keys(known, *block).where(with_title), [*block, "title"], [F.col("seen").desc_nulls_last(), F.col("lead_id")]).select(told.alias("of"), "seen", "lead_id")
+    mine, theirs = (df.select("of", "of.company_key", "of.host_key", F.sort_array(trigrams(F.col("of.title"))).alias("grams")) for df in (new.where(with_title).select(told.alias("of")).distinct(), newest))
+    near = simjoin.sets_between(mine, theirs, "of", "grams", block, least).join(newest, F.col("_b") == F.col("of"))
+    return best_per(near, "_a", [F.col("seen").desc_nulls_last(), F.col("lead_id")]).select("_a.*", F.col("lead_id").alias("_near"))
 
 
 def resolve(rows: DataFrame, leads: DataFrame, least: float = SAME) -> DataFrame:
@@ -42,15 +61,15 @@ def resolve(rows: DataFrame, leads: DataFrame, least: float = SAME) -> DataFrame
 
     rows have row (its number in the file), lead_id, company, title and url; leads have lead_id, company, title,
     url and seen. Every step takes only what the steps above left, and of several leads the newest. A row
-    whose fingerprint came earlier in the file merges into that row's lead.
+    whose fingerprint came earlier in the file merges into that row's lead. `least` is above 0.
     """
-    new, known = with_keys(rows), with_keys(leads)
+    new, known = with_keys(rows.repartition("row")), leads.repartition("lead_id")  # keys cost time that the bytes of a small file don't tell
     new = new.withColumn("valid", (F.col("company_key") != "") | (F.coalesce(F.col("url_key"), F.lit("")) != ""))
     first = Window.partitionBy("fingerprint").orderBy("row")
     new = new.withColumn("_first", F.min("row").over(first))
 
     def newest(keys: list[str], name: str) -> DataFrame:
-        best = best_per(known.where(F.col(keys[0]).isNotNull() & (F.col(keys[0]) != "")), keys, [F.col("seen").desc_nulls_last(), F.col("lead_id")])
+        best = best_per(with_keys(known, *keys).where(F.col(keys[0]) != ""), keys, [F.col("seen").desc_nulls_last(), F.col("lead_id")])
         return best.select(*(F.col(k).alias(f"_{name}_{k}") for k in keys), F.col("lead_id").alias(f"_{name}"))
 
     def hit(df: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -62,10 +81,8 @@ def resolve(rows: DataFrame, leads: DataFrame, least: float = SAME) -> DataFrame
 
     got = new.join(known.select(F.col("lead_id").alias("_by_id")).distinct(), F.col("lead_id") == F.col("_by_id"), "left")
     got = hit(hit(got, ["fingerprint"], "by_print"), ["url_key", "company_key"], "by_url")
-    open_ = got.where(F.coalesce("_by_id", "_by_print", "_by_url").isNull() & F.col("valid") & (F.col("company_key") != "") & F.col("host_key").isNotNull())
-    near = open_.select("row", "title", "company_key", "host_key").join(known.select(F.col("lead_id").alias("_near"), F.col("title").alias("_title"), "company_key", "host_key", "seen"), ["company_key", "host_key"])
-    near = best_per(near.where(trigram_similarity(F.col("title"), F.col("_title")) >= least), "row", [F.col("seen").desc_nulls_last(), F.col("_near")])
-    got = got.join(near.select(F.col("row").alias("_row"), "_near"), F.col("row") == F.col("_row"), "left")
+    got = got.join(near_titles(with_keys(rows.repartition("row"), "company_key", "host_key"), known, least), ["company_key", "host_key", "title"], "left")
+    got = got.withColumn("_near", F.when(F.col("valid") & F.col("row").isNotNull(), F.col("_near")))
     outcome = (
         F.when(~F.col("valid"), "invalid")
         .when(F.col("_first") < F.col("row"), "in_file")

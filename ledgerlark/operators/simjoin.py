@@ -76,6 +76,24 @@ def similar_sets(heads: DataFrame, key: str, tokens: str, block: Sequence[str],
     return out.where(F.col("similarity") >= least)
 
 
+def sets_between(new: DataFrame, known: DataFrame, key: str, tokens: str, block: Sequence[str], least: float) -> DataFrame:
+    """_a, _b: keys of new and of known whose token lists (without repeats) have a Jaccard similarity of `least` (above 0) or more.
+
+    Both have the key, the tokens and the block's columns. Pairs meet as in set_candidates(), in one order of the tokens of both sides.
+    """
+    sides = [df.select(F.struct(F.lit(i).alias("side"), F.col(key).alias("of")).alias("_row"), F.col(tokens).alias("_set"), *block).where(F.size("_set") > 0) for i, df in enumerate((new, known))]
+    rows = by_rarity(sides[0].unionAll(sides[1]), "_row", "_set", block)
+    n = F.size("ordered")
+    first = F.slice("ordered", F.lit(1), n - F.ceil(n * least - 1e-9).cast("int") + 1)
+    index = rows.select("_row", *block, n.alias("n"), F.posexplode(first).alias("at", "token"))
+    shared = F.ceil((F.col("a.n") + F.col("b.n")) * (least / (1 + least)) - 1e-9)
+    sizes = (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * least - 1e-9) & (F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= shared)
+    near = index.where("_row.side = 0").alias("a").join(index.where("_row.side = 1").alias("b"), _same("a", "b", [*block, "token"]) & sizes)
+    near = near.select(F.col("a._row").alias("_x"), F.col("b._row").alias("_y")).distinct()
+    x, y = (df.select(F.col("_row").alias(f"_{s}"), F.col("_set").alias(f"_{s}_set")) for s, df in zip("xy", sides, strict=True))
+    return near.join(x, "_x").join(y, "_y").where(overlap(F.col("_x_set"), F.col("_y_set")) >= least).select(F.col("_x.of").alias("_a"), F.col("_y.of").alias("_b"))
+
+
 def _edits(length: str, least: float) -> str:
     """The most edits that leave strings of which the longer one has this length alike."""
     return f"cast(floor((1 - {least}D) * ({length}) + 1e-6D) as int)"

@@ -286,3 +286,58 @@ def test_import_ladder_steps(spark):
     resolved = imports.resolve(spark.createDataFrame([r[:5] for r in rows], "row int, lead_id string, company string, title string, url string"), leads)
     assert sorted((r.row, r.outcome, r.target) for r in resolved.collect()) == [(r[0], r[5], r[6]) for r in rows]
     assert tuple(imports.tally(resolved).first()) == (9, 2, 4, 2, 1)
+
+
+def _import_of_repeated_titles(spark, n: int = 1200):
+    """n rows and n leads of two companies at one host each with the same dozen of titles, none with a known id, fingerprint or URL."""
+    title = F.concat(F.lit("Senior Backend Engineer of Area "), F.col("id") % 12)
+    base = spark.range(n).select("id", F.when(F.col("id") % 5 == 0, "Acme").otherwise("Globex").alias("company"), title.alias("title"))
+    leads = base.select(F.format_string("L%05d", "id").alias("lead_id"), "company", "title", F.concat(F.lit("https://"), F.lower("company"), F.lit(".com/j/"), "id").alias("url"), (F.col("id") % 50).alias("seen"))
+    rows = base.select(F.col("id").alias("row"), F.lit(None).cast("string").alias("lead_id"), "company", F.concat("title", F.lit("s")).alias("title"), F.concat(F.lit("https://"), F.lower("company"), F.lit(".com/x/"), "id").alias("url"))
+    return rows, leads
+
+
+def _counted(spark, monkeypatch):
+    from ledgerlark.operators import simjoin
+
+    told = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(simjoin, "overlap", lambda x, y: F.udf(lambda a, b: told.add(1) or len(set(a) & set(b)) / max(1, len(set(a) | set(b))), "double")(x, y))
+    return told
+
+
+def test_import_compares_titles_once(spark, monkeypatch):
+    """Of 1,200 rows and as many leads the titles of a company meet, not the rows: the newest lead of all like titles is the same."""
+    from ledgerlark.functions.similarity import trigram_similarity
+
+    rows, leads = _import_of_repeated_titles(spark)
+    a, b = (df.select(F.col("title").alias(n)).distinct() for df, n in ((rows, "a"), (leads, "b")))
+    like = {(r.a, r.b) for r in a.crossJoin(b).where(trigram_similarity(F.col("a"), F.col("b")) >= 0.85).collect()}
+    known = sorted(((r.company, r.title, -r.seen, r.lead_id) for r in leads.collect()), key=lambda r: r[2:])
+    want = {}
+    for company, title in {(r.company, r.title) for r in rows.collect()}:
+        want[company, title] = next((k[3] for k in known if k[0] == company and (title, k[1]) in like), None)
+    told = _counted(spark, monkeypatch)
+    got = imports.resolve(rows, leads).where("first_row = row").collect()
+    assert {(r.company, r.title): r.target for r in got} == want and {r.outcome for r in got} == {"fuzzy"}
+    assert 0 < told.value <= 2 * 12 * 12
+
+
+@pytest.mark.parametrize("least", [0.3, 0.85, 1.0])
+def test_sets_between_against_all_pairs(spark, least):
+    import random
+
+    from ledgerlark.operators import simjoin
+
+    r = random.Random(3)
+    a, b = ([(i, sorted(set(r.choices("abcdefghij", k=r.randint(0, 9)))), r.choice(("x", "y", None))) for i in range(90)] for _ in range(2))
+    new, known = (spark.createDataFrame(rows, "id long, words array<string>, b string") for rows in (a, b))
+    got = [tuple(p) for p in simjoin.sets_between(new, known, "id", "words", ["b"], least).collect()]
+    want = {(i, j) for i, x, p in a for j, y, q in b if p and p == q and x and y and len(set(x) & set(y)) / len(set(x) | set(y)) >= least}
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_import_without_titles_or_row_numbers(spark):
+    """NULL titles are like nothing, and a row without a number has no like title."""
+    rows = spark.createDataFrame([(1, None, "Acme", None, "https://acme.com/1"), (None, None, "Acme", "Tester of Parts", "https://acme.com/2"), (3, None, "Acme", "Tester of Part", "https://acme.com/3")], "row int, lead_id string, company string, title string, url string")
+    leads = spark.createDataFrame([("L1", "Acme", "Tester of Parts", "https://www.acme.com/9", None), ("L2", "Acme", None, "https://www.acme.com/8", 1)], "lead_id string, company string, title string, url string, seen int")
+    assert sorted((r.row or 0, r.outcome, r.target) for r in imports.resolve(rows, leads, 0.8).collect()) == [(0, "created", None), (1, "created", None), (3, "fuzzy", "L1")]
