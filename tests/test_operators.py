@@ -341,3 +341,10 @@ def test_import_without_titles_or_row_numbers(spark):
     rows = spark.createDataFrame([(1, None, "Acme", None, "https://acme.com/1"), (None, None, "Acme", "Tester of Parts", "https://acme.com/2"), (3, None, "Acme", "Tester of Part", "https://acme.com/3")], "row int, lead_id string, company string, title string, url string")
     leads = spark.createDataFrame([("L1", "Acme", "Tester of Parts", "https://www.acme.com/9", None), ("L2", "Acme", None, "https://www.acme.com/8", 1)], "lead_id string, company string, title string, url string, seen int")
     assert sorted((r.row or 0, r.outcome, r.target) for r in imports.resolve(rows, leads, 0.8).collect()) == [(0, "created", None), (1, "created", None), (3, "fuzzy", "L1")]
+
+
+def test_import_tally_compares_titles_once(spark, monkeypatch):
+    """A tally of 1,200 rows takes the titles' comparisons only: 24 first rows are fuzzy, the others come earlier in the file."""
+    told = _counted(spark, monkeypatch)
+    assert tuple(imports.tally(imports.resolve(*_import_of_repeated_titles(spark))).first()) == (1200, 0, 1176, 24, 0)
+    assert 0 < told.value <= 2 * 12 * 12
